@@ -25,27 +25,27 @@ def tokens_of(value: str) -> list[str]:
 def edit_distance(left: str, right: str) -> str:
     """SQL for the edit distance in which swapping two neighbours is one edit.
 
-    Row by row over the characters; a swapped pair is not edited again (optimal
-    string alignment).
+    Row by row over the characters of two non-empty texts; a swapped pair is not
+    edited again (optimal string alignment).
     """
     return f"""
     aggregate(
       sequence(1, length({left})),
       named_struct('two', cast(array() AS array<int>), 'one', sequence(0, length({right}))),
-      (acc, i) -> named_struct(
-        'two', acc.one,
+      (past, i) -> named_struct(
+        'two', past.one,
         'one', aggregate(
           sequence(1, length({right})),
           array(i),
           (row, j) -> array_append(row, least(
-            acc.one[j] + 1,
-            row[j - 1] + 1,
-            acc.one[j - 1] + if(substr({left}, i, 1) = substr({right}, j, 1), 0, 1),
+            get(past.one, j) + 1,
+            get(row, j - 1) + 1,
+            get(past.one, j - 1) + if(substr({left}, i, 1) = substr({right}, j, 1), 0, 1),
             if(i > 1 AND j > 1
                  AND substr({left}, i, 1) = substr({right}, j - 1, 1)
                  AND substr({left}, i - 1, 1) = substr({right}, j, 1),
-               get(acc.two, j - 2) + 1, NULL))))),
-      acc -> element_at(acc.one, -1))
+               get(past.two, j - 2) + 1, NULL))))),
+      past -> element_at(past.one, -1))
     """
 
 
