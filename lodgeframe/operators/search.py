@@ -16,6 +16,11 @@ MAX_HITS = 10_000
 TOTAL_CAP = 10_000
 K1, B = 1.2, 0.75
 
+# Up to this many rows per answer an ordinary top-k is used.
+_PLAIN_TOP = 1_000
+# Ids per counting block: 2 ** 20.
+_BLOCK_BITS = 20
+
 _RANGE_OPS = {
     "gte": lambda c, v: c >= v,
     "gt": lambda c, v: c > v,
@@ -150,6 +155,37 @@ def with_score(
     return scored.withColumn("score", reduce(Column.__add__, parts)).drop("_stats")
 
 
+def _best(hits: DataFrame, size: int, scored: bool) -> DataFrame:
+    """The first ``size`` rows by score (if any) and id.
+
+    A plain top-k hands ``size`` full rows of every partition to one task. For
+    many rows per answer the hits are first counted per score and block of ids;
+    the blocks that make up the answer are found on that small table, and only
+    their rows (at most ``size`` plus one block) are ordered.
+    """
+    order = [F.desc("score"), F.asc("id")] if scored else [F.asc("id")]
+    if size <= _PLAIN_TOP:
+        return hits.orderBy(*order).limit(size)
+    score = "score" if scored else "0D"
+    blocks = (
+        hits.selectExpr(f"{score} AS score", f"shiftright(id, {_BLOCK_BITS}) AS block")
+        .groupBy("score", "block")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("score"), F.asc("block"))
+        .limit(size)
+    )
+    upto = "sum(n) OVER (ORDER BY score DESC, block ROWS UNBOUNDED PRECEDING) AS upto"
+    last = (
+        blocks.selectExpr("*", upto)
+        .where(F.col("upto") - F.col("n") < size)
+        .agg(F.max_by(F.struct("score", "block"), "upto"))
+        .scalar()
+    )
+    here = f"struct(-({score}), shiftright(id, {_BLOCK_BITS}))"
+    wanted = hits.withColumn("_last", last).where(f"{here} <= struct(-_last.score, _last.block)")
+    return wanted.drop("_last").orderBy(*order).limit(size)
+
+
 def search(
     df: DataFrame,
     must: Mapping[str, object] | None = None,
@@ -162,9 +198,8 @@ def search(
     """At most ``size`` matching rows, best score first, then lowest id."""
     wanted = condition(must, must_not, should, ranges)
     if not scored:
-        return df.where(wanted).orderBy("id").limit(size)
-    hits = with_score(df, must, should, ranges, must_not).where(wanted)
-    return hits.orderBy(F.desc("score"), F.asc("id")).limit(size)
+        return _best(df.where(wanted), size, scored=False)
+    return _best(with_score(df, must, should, ranges, must_not).where(wanted), size, scored=True)
 
 
 def search_total(df: DataFrame, **conditions) -> DataFrame:

@@ -400,7 +400,7 @@ def _(spark, sf_dir):
 
 @query("search_score")
 def _(spark, sf_dir):
-    hits = search.search(_searchable(spark, sf_dir), **_SEARCH, size=500, scored=True)
+    hits = search.search(_searchable(spark, sf_dir), **_SEARCH, scored=True, size=2000)
     return rounded(hits.select("id", "score"), 5)
 
 
@@ -617,6 +617,12 @@ for _name in shaping.SHAPES:
     QUERIES[_name] = _shape_query(_name)
 
 
+@query("group_revenue_series")
+def _(spark, sf_dir):
+    series = shaping.group_revenue_series(rounded(run_report(spark, sf_dir, "revenue"), 4))
+    return series.withColumn("series", F.to_json("series"))
+
+
 @query("mean_of_segment_rates")
 def _(spark, sf_dir):
     return rounded(shaping.mean_of_segment_rates(run_report(spark, sf_dir, "cancellation_rate")))

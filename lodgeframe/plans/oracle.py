@@ -501,7 +501,7 @@ def _build() -> dict[str, str]:
         f""", st AS (SELECT {stats} FROM clean),
         sc AS (SELECT clean.*, 1.0 + CASE WHEN adults = 3 THEN 1 ELSE 0 END + {score} AS score FROM clean, st)
         SELECT id, round(CAST(score AS DOUBLE), 5) AS score FROM sc WHERE {searched}
-        ORDER BY sc.score DESC, id LIMIT 500"""
+        ORDER BY sc.score DESC, id LIMIT 2000"""
     )
     sql["project_hits"] = clean_sql(
         f", x AS (SELECT * FROM clean WHERE adults = 3 ORDER BY id LIMIT 100) {_select(CLEAN_COLUMNS, 'x')}"
@@ -665,6 +665,18 @@ def _build() -> dict[str, str]:
         FROM d WHERE agg <> 'lead_time_stats'"""
     )
 
+    sql["group_revenue_series"] = _shaped(
+        "revenue",
+        """SELECT reserved_room_type AS "Room Type",
+           CAST(to_json(list({'month': month, 'revenue': revenue} ORDER BY month)) AS VARCHAR) AS series
+           FROM rep GROUP BY 1""",
+    )
+    sql["report_payload"] = _shaped(
+        "room_types",
+        """SELECT 'room_types' AS report, CAST(to_json(list({'Room Type': reserved_room_type,
+           'Bookings': doc_count} ORDER BY reserved_room_type)) AS VARCHAR) AS payload FROM rep""",
+    )
+
     # text
     toks = _TOKENS.format("text")
     sql["tokenize"] = f"""SELECT doc_id, len({toks}) AS n_tokens, len(list_distinct({toks})) AS n_distinct,
