@@ -45,7 +45,7 @@ def null_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_constants(df: DataFrame, row: DataFrame) -> DataFrame:
+def with_constants(df: DataFrame, row: DataFrame) -> DataFrame:
     """Attach a one-row DataFrame as the struct column ``_const`` (one subquery)."""
     return df.withColumn("_const", row.select(F.struct("*")).scalar())
 
@@ -67,7 +67,7 @@ def fill_median(df: DataFrame, columns: Sequence[str] = tuple(MEDIAN_FILLED)) ->
         order_statistics(value_counts(df, columns), []),
         {f"{c}_median": (c, "median") for c in columns},
     )
-    return _with_constants(df, medians).selectExpr(
+    return with_constants(df, medians).selectExpr(
         *[
             f"coalesce(`{c}`, CAST(_const.{c}_median AS {types[c]})) AS `{c}`" if c in columns else f"`{c}`"
             for c in df.columns
@@ -147,7 +147,7 @@ def suppress_outliers(
 ) -> DataFrame:
     """Clip flagged columns on both sides to their limits, rounded half to even."""
     types = dict(df.dtypes)
-    return _with_constants(df, _constants(df, columns, detect)).selectExpr(
+    return with_constants(df, _constants(df, columns, detect)).selectExpr(
         *[_clip(c, types[c]) if c in columns else f"`{c}`" for c in df.columns]
     )
 
@@ -191,7 +191,7 @@ def clean(
     clipped = [c for c in OUTLIER_COLUMNS if c in wanted]
     if clipped:
         filled = [c for c in MEDIAN_FILLED if c in clipped]
-        df = _with_constants(df, _constants(df, clipped, detect, filled))
+        df = with_constants(df, _constants(df, clipped, detect, filled))
 
     def filled_or_checked(c: str) -> str:
         if c in MEDIAN_FILLED:

@@ -65,6 +65,29 @@ def vocabulary(
     return occurring.groupBy("field", "token").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
+def _field_counts(df: DataFrame, fields: Sequence[str], words: Sequence[str]) -> DataFrame:
+    """:func:`vocabulary` near ``words`` plus one row per field with its row count and length.
+
+    Both come from the same pass: every text also counts once under a null token,
+    with its number of tokens as ``length`` (null for real tokens).
+    """
+    near = " OR ".join(_near("t", w) for w in words)
+    return (
+        df.select(*[tokens(f).alias(f) for f in fields])
+        .unpivot([], list(fields), "field", "_tokens")
+        .where("_tokens IS NOT NULL")
+        .selectExpr(
+            "field",
+            f"""inline(concat(
+                  array(struct(CAST(NULL AS string) AS token, bigint(size(_tokens)) AS length)),
+                  transform(filter(array_distinct(_tokens), t -> {near}),
+                    t -> struct(t AS token, CAST(NULL AS bigint) AS length))))""",
+        )
+        .groupBy("field", "token")
+        .agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("length").alias("length"))
+    )
+
+
 def expand_terms(
     vocab: DataFrame, words: Sequence[str], max_expansions: int = MAX_EXPANSIONS
 ) -> DataFrame:
@@ -109,17 +132,19 @@ def _matching(
 
     # One row of constants: per field its row count and mean length, per word and
     # field the expansions with their weights (at most max_expansions each).
-    lengths = df.select(*[F.size(tokens(f)).alias(f) for f in fields]).selectExpr(
-        *[f"count_if({f} >= 0) AS n_{j}" for j, f in enumerate(fields)],
-        *[f"sum(if({f} >= 0, {f}, 0)) AS len_{j}" for j, f in enumerate(fields)],
+    counted = _field_counts(df, fields, words)
+    lengths = counted.where("length IS NOT NULL").agg(
+        *[
+            F.expr(f"coalesce(max(CASE WHEN field = '{f}' THEN {c} END), 0L) AS {name}_{j}")
+            for j, f in enumerate(fields)
+            for name, c in (("n", "doc_freq"), ("len", "length"))
+        ]
     )
+    docs = " ".join(f"WHEN '{f}' THEN n_{j}" for j, f in enumerate(fields))
     weights = (
-        expand_terms(vocabulary(df, fields, words), words, max_expansions)
+        expand_terms(counted.where("length IS NULL"), words, max_expansions)
         .crossJoin(F.broadcast(lengths))
-        .withColumn(
-            "docs",
-            F.expr("CASE field " + " ".join(f"WHEN '{f}' THEN n_{j}" for j, f in enumerate(fields)) + " END"),
-        )
+        .withColumn("docs", F.expr(f"CASE field {docs} END"))
         .withColumn(
             "weight",
             F.expr(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgeframe.operators.cleaning import null_counts
+from lodgeframe.operators.cleaning import null_counts, with_constants
 from lodgeframe.operators.quantiles import order_statistics, value_counts
 from lodgeframe.schema import FACET_COLUMNS
 
@@ -113,30 +114,77 @@ def classify_columns(df: DataFrame) -> DataFrame:
     )
 
 
+_PARTIAL = (
+    "a int, b int, n bigint, sx double, sy double, sxx double, syy double, sxy double,"
+    " min_x double, max_x double, min_y double, max_y double"
+)
+
+
+def _pair_sums_function():
+    """The partition function; a closure, so executors need no copy of this package."""
+
+    def pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per partition: sums of all column pairs over the rows where both are set."""
+        total = None
+        for batch in batches:
+            x = np.column_stack(
+                [np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns]
+            )
+            seen = (~np.isnan(x)).astype(float)
+            v = np.nan_to_num(x)
+            sums = np.stack([seen.T @ seen, v.T @ seen, (v * v).T @ seen, v.T @ v])
+            if seen.all():
+                low = np.repeat(x.min(axis=0)[:, None], x.shape[1], axis=1)
+                high = np.repeat(x.max(axis=0)[:, None], x.shape[1], axis=1)
+            else:
+                both = [np.where(seen[:, [j]] > 0, x, np.nan) for j in range(x.shape[1])]
+                low = np.stack([np.nanmin(np.vstack([m, np.full(m.shape[1], np.inf)]), axis=0) for m in both], 1)
+                high = np.stack([np.nanmax(np.vstack([m, np.full(m.shape[1], -np.inf)]), axis=0) for m in both], 1)
+            if total is None:
+                total = [sums, low, high]
+            else:
+                total = [total[0] + sums, np.minimum(total[1], low), np.maximum(total[2], high)]
+        if total is None:
+            return
+        (n, sx, sxx, sxy), low, high = total
+        i, j = np.indices(n.shape).reshape(2, -1)
+        cells = [
+            i.astype("int32"), j.astype("int32"), n[i, j].astype("int64"),
+            sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j],
+            low[i, j], high[i, j], low[j, i], high[j, i],
+        ]
+        names = [f.split()[0] for f in _PARTIAL.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=names)
+
+    return pair_sums
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(col_a, col_b, r): Pearson correlation of all pairs, over rows where both are set.
 
-    A constant column gives NaN.
+    A constant column gives NaN. Columns are centred first; every partition then
+    turns into one small table of pair sums (a matrix product per Arrow batch),
+    and only those tables are shuffled.
     """
     columns = list(columns or numeric_columns(df))
-    pairs = list(combinations_with_replacement(columns, 2))
-    cells = ", ".join(f"struct({i} AS pair, double(`{a}`) AS x, double(`{b}`) AS y)" for i, (a, b) in enumerate(pairs))
-    names = ", ".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in pairs)
+    centred = with_constants(df, df.selectExpr(*[f"avg({c}) AS {c}" for c in columns])).selectExpr(
+        *[f"double({c}) - _const.{c} AS {c}" for c in columns]
+    )
+    names = ", ".join(f"'{c}'" for c in columns)
     return (
-        df.selectExpr(f"inline(array({cells}))")
-        .where("x IS NOT NULL AND y IS NOT NULL")
-        .groupBy("pair")
+        centred.mapInArrow(_pair_sums_function(), _PARTIAL)
+        .groupBy("a", "b")
         .agg(
-            F.expr(
-                """CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN double('NaN')
-                        ELSE try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y)) END AS r"""
-            )
+            *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
+            *[F.min(c).alias(c) for c in ("min_x", "min_y")],
+            *[F.max(c).alias(c) for c in ("max_x", "max_y")],
         )
-        .selectExpr(f"element_at(array({names}), pair + 1) AS p", "r")
         .selectExpr(
-            """inline(array_distinct(array(
-                 named_struct('col_a', p.a, 'col_b', p.b, 'r', r),
-                 named_struct('col_a', p.b, 'col_b', p.a, 'r', r))))"""
+            f"element_at(array({names}), a + 1) AS col_a",
+            f"element_at(array({names}), b + 1) AS col_b",
+            """CASE WHEN min_x = max_x OR min_y = max_y THEN double('NaN')
+                    WHEN n > 0 THEN try_divide(sxy - sx * sy / n,
+                      sqrt(sxx - sx * sx / n) * sqrt(syy - sy * sy / n)) END AS r""",
         )
     )
 

@@ -25,6 +25,7 @@ from lodgeframe.operators.buckets import (
     top_then_months,
     top_within,
 )
+from lodgeframe.sources.workspace import checkpointed
 
 _MONTH = month_of("arrival_date")
 _CANCELLATION = {"cancellation_rate": "avg(is_canceled)"}
@@ -149,7 +150,7 @@ def report_groups(df: DataFrame) -> DataFrame:
     """Every grouping any report needs, from one scan and one shuffle (grouping sets).
 
     The result is small next to the table (one row per distinct report key), so
-    this is what to persist when several reports are wanted.
+    this is what to keep when several reports are wanted.
     """
     keys: dict[str, str] = {}
     metrics: dict[str, str] = {}
@@ -195,10 +196,10 @@ def reports_from_groups(groups: DataFrame) -> dict[str, DataFrame]:
 def all_reports(df: DataFrame) -> dict[str, DataFrame]:
     """All sixteen reports by name over one shared pass.
 
-    The grouped rows are persisted, not the table: each report prunes and filters
-    them differently, which would otherwise repeat the scan.
+    The grouped rows are written once to the shared checkpoint folder: each report
+    filters and prunes them differently, which would otherwise repeat the scan.
     """
-    return reports_from_groups(report_groups(df).persist())
+    return reports_from_groups(checkpointed(report_groups(df)))
 
 
 def report_sizes(df: DataFrame) -> DataFrame:
