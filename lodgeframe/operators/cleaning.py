@@ -30,7 +30,6 @@ _DETECTION = {
     "two_sided": "min_value < lower_limit OR max_value > upper_limit",
 }
 
-_DATE_PARTS = ("arrival_date_year", "arrival_date_month", "arrival_date_day_of_month")
 _MONTHS = ", ".join(f"'{m}'" for m in MONTH_NAMES)
 _ARRIVAL_DATE = (
     f"make_date(arrival_date_year, int(array_position(array({_MONTHS}), arrival_date_month)),"
@@ -180,10 +179,10 @@ def clean(
     """The whole cleaning as one lazy projection.
 
     All data-dependent constants (median, limits) come from a single counting
-    scan and enter through one scalar subquery. The null gate is part of the plan
-    and costs no pass of its own: a row with a null in an unfillable column fails
-    the job. ``columns`` names the output columns to build; others are neither
-    read nor checked.
+    scan and enter through one scalar subquery. The null gate is part of the
+    projection and costs no pass of its own: a row with a null in an unfillable
+    column fails the job. ``columns`` names the output columns to build; others are
+    neither read nor checked.
     """
     extra = [c for c in df.columns if c not in RAW_COLUMNS]
     wanted = list(columns) if columns is not None else [*extra, *CLEAN_COLUMNS]
@@ -198,13 +197,13 @@ def clean(
             return f"coalesce({c}, CAST(_const.{c}_median AS {types[c]})) AS {c}"
         if c in CONSTANT_FILLS:
             return f"coalesce({c}, CAST('{CONSTANT_FILLS[c]}' AS {types[c]})) AS {c}"
+        # A check per column rather than one filter: a condition over many columns
+        # makes the optimizer's constraint inference explode.
+        if c in RAW_COLUMNS:
+            return f"coalesce({c}, raise_error('null value in {c}')) AS {c}"
         return f"`{c}`"
 
-    needed = {*wanted, *(_DATE_PARTS if "arrival_date" in wanted else ())}
-    checked = [
-        c for c in RAW_COLUMNS if c in needed and c not in MEDIAN_FILLED and c not in CONSTANT_FILLS
-    ]
-    rows = df.where(_null_gate(checked)).selectExpr(
+    rows = df.selectExpr(
         *[_ARRIVAL_DATE if c == "arrival_date" else filled_or_checked(c) for c in wanted],
         *(["_const"] if clipped else []),
     )
@@ -213,15 +212,6 @@ def clean(
     return map_country(rows, unmapped=unmapped) if "country" in wanted else rows
 
 
-def _null_gate(columns: Sequence[str]) -> str:
-    """A condition that is true, or fails the job naming the null columns of the row."""
-    if not columns:
-        return "true"
-    is_null = " OR ".join(f"{c} IS NULL" for c in columns)
-    names = ", ".join(f"IF({c} IS NULL, '{c}', NULL)" for c in columns)
-    return f"IF({is_null}, raise_error(concat('null value in ', concat_ws(', ', {names}))), true)"
-
-
 def cast_bookings(df: DataFrame, types: Mapping[str, str] = CLEAN_COLUMNS) -> DataFrame:
     """Strict casts of text columns; a value that does not fit fails the job."""
     return df.selectExpr(

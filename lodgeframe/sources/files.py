@@ -13,19 +13,18 @@ _TOKENS = ", ".join(f"'{t}'" for t in NA_TOKENS)
 def parse_cells(df: DataFrame, columns: dict[str, str] = RAW_COLUMNS) -> DataFrame:
     """Typed columns from text cells; null tokens and cells of the wrong type become null."""
 
+    # Short on purpose: later steps repeat these expressions. Null tokens are not
+    # numbers or dates, so a failed cast covers them; only NaN needs care.
     def typed(c: str) -> str:
         kind = columns[c]
-        cell = f"IF(`{c}` IN ({_TOKENS}), NULL, `{c}`)"
         if kind == "string":
-            return f"{cell} AS `{c}`"
+            return f"IF(`{c}` IN ({_TOKENS}), NULL, `{c}`) AS `{c}`"
         if kind in ("int", "bigint"):
             # Whole numbers may be written with a fraction of zero.
-            number = f"try_cast({cell} AS double)"
-            return (
-                f"coalesce(try_cast({cell} AS {kind}),"
-                f" IF({number} = floor({number}), try_cast({number} AS {kind}), NULL)) AS `{c}`"
-            )
-        return f"try_cast({cell} AS {kind}) AS `{c}`"
+            return rf"try_cast(regexp_replace(`{c}`, r'\.0*$', '') AS {kind}) AS `{c}`"
+        if kind == "double":
+            return f"nullif(try_cast(`{c}` AS double), double('NaN')) AS `{c}`"
+        return f"try_cast(`{c}` AS {kind}) AS `{c}`"
 
     return df.selectExpr(*[typed(c) for c in columns if c in df.columns])
 
