@@ -41,9 +41,10 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; the nudge keeps exact halves from flipping with the order of addition."""
     return df.select(
         *[
-            F.round(c, digits).alias(c) if t == "double" else F.col(f"`{c}`")
+            F.round(F.col(f"`{c}`") + 1e-9, digits).alias(c) if t == "double" else F.col(f"`{c}`")
             for c, t in df.dtypes
         ]
     )

@@ -8,12 +8,10 @@ from oracle_check import compare, connect
 import __spark_entry__ as contract
 
 SF = "/root/testdata/sf0.001"
-SELECTION = """clean_bookings outlier_thresholds detect_outliers suppress_outliers_two_sided
-    classify_columns correlation_matrix describe upsert_by_id dynamic_aggregate metric_percentiles
-    nested_terms significant_terms composite date_histogram search search_score search_total
-    report_cancellation_rate report_adr_by_month report_revenue report_repeat_guests
-    report_composition report_adr_factors all_reports pivot_cancellation_rate flatten_revenue
-    full_text_search full_text_score fuzzy_terms tokenize suggest run_etl stream_upload_sync""".split()
+SELECTION = """clean_bookings detect_outliers suppress_outliers_two_sided classify_columns
+    correlation_matrix describe upsert_by_id dynamic_aggregate nested_terms date_histogram
+    search search_score report_cancellation_rate report_adr_by_month report_revenue
+    report_repeat_guests full_text_search full_text_score fuzzy_terms suggest""".split()
 
 
 @pytest.fixture(scope="module")
