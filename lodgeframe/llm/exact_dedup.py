@@ -13,47 +13,12 @@ An empty table gives an empty result. Further columns, whatever their names, are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodgeframe.llm.bloom import bitmaps, filter_blocks, tested
 from lodgeframe.llm.textarrays import ascii_lower
 
-#: Bits of one block of the filter: what bitmap_construct_agg makes.
-BLOCK_BITS = 32_768
-#: Filter bits for each row, and the most blocks: 4096 blocks of 4 KB are 16 MB to broadcast at most.
-BITS_A_ROW = 32
-MOST_BLOCKS = 4_096
-CELLS = 3
-
-
-def filter_blocks(rows: int) -> int:
-    """Blocks of the filter. Beyond the bound it only fills up: more rows shuffle, the result is the same."""
-    return max(1, min(MOST_BLOCKS, -(-rows * BITS_A_ROW // BLOCK_BITS)))
-
-
-def _block(hashed: Column, blocks: int) -> Column:
-    return F.pmod(hashed, F.lit(blocks)).cast("int")
-
-
-def _cells(hashed: Column) -> Column:
-    """The positions, from 0, that a hash sets within its block; distinct."""
-    return F.array_distinct(
-        F.array(*(F.pmod(F.xxhash64(hashed, F.lit(k)), F.lit(BLOCK_BITS)).cast("int") for k in range(CELLS)))
-    )
-
-
-def _is_set(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1
-
-
-def repeated_cells(hashes: DataFrame, blocks: int) -> DataFrame:
-    """Bitmaps (block, bitmap) of the filter cells that two rows or more of ``hashes`` (one column h) set."""
-    cells = hashes.select(_block(F.col("h"), blocks).alias("block"), F.explode(_cells(F.col("h"))).alias("cell"))
-    counted = cells.groupBy("block", "cell").count().where("count > 1")
-    return counted.groupBy("block").agg(F.bitmap_construct_agg(F.col("cell").cast("long")).alias("bitmap"))
-
-
 def duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row of ``df`` with _text_sha256, _keep_id, _group_size and _kept.
 
@@ -66,20 +31,17 @@ def duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     hashed = F.xxhash64(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     sha = F.sha2(ascii_lower(F.col(f"`{text}`")), 256)
     blocks = filter_blocks(df.select(F.lit(1)).count())
-    bitmaps = repeated_cells(df.select(hashed.alias("h")), blocks).toDF("_block", "_bitmap")
-
-    tested = df.withColumn("_h", hashed).withColumn("_block", _block(F.col("_h"), blocks))
-    tested = tested.join(F.broadcast(bitmaps), "_block", "left")
-    possible = F.col("_bitmap").isNotNull() & F.forall(_cells(F.col("_h")), lambda p: _is_set(F.col("_bitmap"), p))
+    repeated = bitmaps(df.select(hashed.alias("h")), blocks, least=2)
+    marked, possible = tested(df, hashed, repeated, blocks)
     own = [f"`{c}`" for c in df.columns]
-    single = tested.where(~possible).select(
+    single = marked.where(~possible).select(
         *own,
         sha.alias("_text_sha256"),
         F.col(f"`{key}`").alias("_keep_id"),
         F.lit(1).cast("long").alias("_group_size"),
         F.lit(True).alias("_kept"),
     )
-    several = tested.where(possible).select(*own, sha.alias("_text_sha256"))
+    several = marked.where(possible).select(*own, sha.alias("_text_sha256"))
     groups = several.groupBy("_text_sha256").agg(
         F.max(f"`{key}`").alias("_keep_id"), F.count(F.lit(1)).alias("_group_size")
     )

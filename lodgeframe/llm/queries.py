@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, exact_dedup, sharding
+from lodgeframe.llm import bpe, exact_dedup, near_dedup, sharding, toxicity
 
 SHARDS = 24
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -29,6 +29,22 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, labels(spark, sf_dir), toxicity.fold() != 0)
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select(
+        "doc_id",
+        F.coalesce(toxicity.fold() == 0, F.lit(False)).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), RANKS, PATTERN)
     return out.select(
@@ -39,6 +55,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(
+        F.col("_id").alias("doc_id"),
+        F.col("_shingles").alias("n_shingles"),
+        F.col("_component").alias("component_id"),
+        F.col("_kept").alias("kept"),
+    )
+
+
 def op7_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(
@@ -52,13 +78,35 @@ def op7_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_lpt_shards": op2_lpt_shards,
+    "op3_nb_toxicity": op3_nb_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_circulant_minhash": op5_circulant_minhash,
     "op7_bloom_exact_dedup": op7_bloom_exact_dedup,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op5_circulant_minhash": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex({LOWERED}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
+            FROM w),
+        e AS (SELECT doc_id, md5_number_lower(unnest(s)) AS h FROM s),
+        n AS (SELECT doc_id, len(s) AS n FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id
+            GROUP BY 1, 2),
+        l AS (
+            SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+        r(doc_id, seen) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
+        SELECT doc_id, any_value(n.n) AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept
+        FROM r JOIN n USING (doc_id) GROUP BY doc_id""",
     "op7_bloom_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
