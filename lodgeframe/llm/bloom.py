@@ -57,3 +57,12 @@ def matching(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     table = bitmaps(keys.select(F.xxhash64(key).alias("h")), blocks)
     marked, possible = tested(df, F.xxhash64(key), table, blocks)
     return marked.where(possible).select(*(f"`{c}`" for c in df.columns)).join(keys, key, "left_semi")
+
+
+def without(df: DataFrame, hashed: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose 64-bit hash is not in ``keys`` (one column h): only rows that the filter lets through shuffle."""
+    blocks = filter_blocks(keys.select(F.lit(1)).count())
+    marked, possible = tested(df, hashed, bitmaps(keys, blocks), blocks)
+    own = [f"`{c}`" for c in df.columns]
+    rest = marked.where(possible).join(keys, marked["_h"] == keys["h"], "left_anti")
+    return marked.where(~possible).select(*own).unionByName(rest.select(*own))

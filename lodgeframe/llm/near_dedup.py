@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgeframe.llm.bloom import matching
+from lodgeframe.llm.bloom import matching, without
 from lodgeframe.llm.components import components
 from lodgeframe.llm.storage import stored
 from lodgeframe.llm.textarrays import LOWER_BYTES, mixed, slices, utf8, word_hashes
@@ -326,5 +326,5 @@ def _with_fingerprints(df: DataFrame, text: str, key: str, wanted: DataFrame) ->
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that stay: of linked documents the one with the smallest id."""
-    dropped = near_duplicates(df, text, key).where("NOT _kept").select(F.col("_id").alias("_dropped")).distinct()
-    return df.join(dropped, F.col(f"`{key}`") == F.col("_dropped"), "left_anti")
+    dropped = near_duplicates(df, text, key).where("NOT _kept").select(F.xxhash64("_id").alias("h")).distinct()
+    return without(df, F.xxhash64(F.col(f"`{key}`").cast("long")), stored(dropped, "dropped"))

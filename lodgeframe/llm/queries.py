@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, exact_dedup, near_dedup, sharding, toxicity
+from lodgeframe.llm import bpe, decontamination, exact_dedup, near_dedup, sharding, toxicity
 
 SHARDS = 24
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -33,6 +33,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def op3_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.train(docs, labels(spark, sf_dir), toxicity.fold() != 0)
@@ -76,12 +80,17 @@ def op7_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
+
+
 QUERIES = {
     "op2_lpt_shards": op2_lpt_shards,
     "op3_nb_toxicity": op3_nb_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op7_bloom_exact_dedup": op7_bloom_exact_dedup,
+    "op9_template_decontamination": op9_template_decontamination,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

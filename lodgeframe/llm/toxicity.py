@@ -3,9 +3,9 @@
 A document's features are the distinct character n-grams (orders NGRAMS) of its whole text, in lower case and with
 every run of white space as one space, hashed to 2**BITS buckets. Over all labelled training rows Spark
 counts in how many documents of either class each bucket occurs; the log ratio of the smoothed
-shares scales the bucket. A logistic regression over the scaled features is then fitted on a sample of
-SAMPLE rows of each class at most, about, chosen by a hash of the id, and of SAMPLE_FEATURES
-distinct features in total at most; its intercept is moved back to the classes' true shares.
+shares scales the bucket, and every document's vector of scaled buckets is given length 1. A logistic regression
+over these vectors is fitted on a sample of SAMPLE rows of each class at most, about, chosen by a hash of the id, and
+of SAMPLE_FEATURES distinct features in total at most. Scores are thus for equal shares of both classes.
 
 Only texts and labels of training rows are learnt from; ids, languages and sources are never features.
 
@@ -33,17 +33,22 @@ BITS = 18
 #: Bounds of the sample that the regression is fitted on.
 SAMPLE = 1_500
 SAMPLE_FEATURES = 12_000_000
-STEPS = 80
-PENALTY = 1e-4
+STEPS = 200
+PENALTY = 1e-5
 
 
 @dataclass(frozen=True)
 class Model:
-    """Score = logistic(intercept + sum of the weights of a text's distinct buckets)."""
+    """Score = logistic(intercept + sum of weights / root of the sum of squares, over a text's distinct buckets)."""
 
     weights: np.ndarray
+    squares: np.ndarray
     intercept: float
 
+    def margin(self, found: np.ndarray) -> float:
+        size = self.squares[found].sum()
+        return self.intercept + (self.weights[found].sum() / math.sqrt(size) if size else 0.0)
+
 
 def _buckets(texts: list[str]) -> Iterator[np.ndarray]:
     """The n-gram buckets of each text, with repeats."""
@@ -104,7 +109,9 @@ def _regression(lists: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray)
     lists, labels, sizes = [x for x in lists if len(x)], labels[sizes > 0], sizes[sizes > 0]
     at, firsts = np.concatenate(lists), np.cumsum(sizes) - sizes
     values = ratios[at]
-    rate = 4.0 / max(1.0, float(np.add.reduceat(values * values, firsts).mean()))
+    lengths = np.sqrt(np.add.reduceat(values * values, firsts))
+    values /= np.repeat(np.where(lengths > 0, lengths, 1.0), sizes)
+    rate = 4.0
     weights, ahead = np.zeros(len(ratios)), np.zeros(len(ratios))
     intercept = ahead_intercept = 0.0
     momentum = 1.0
@@ -129,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, text: str = "tex
     totals = {r._label: r["count"] for r in marked.groupBy("_label").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     smoothed = math.log((toxic + 0.5) / (clean + 0.5))
-    none = Model(np.zeros(1 << BITS), smoothed)
+    none = Model(np.zeros(1 << BITS), np.zeros(1 << BITS), smoothed)
     if not toxic or not clean:
         return none
 
@@ -161,8 +168,6 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, text: str = "tex
         ones = int(marks_array.sum())
         if ones and ones < len(marks):
             weights, intercept = _regression(found, marks_array, ratios)
-            # The sample has other shares of the classes than the rows it stands for.
-            intercept += math.log(toxic / clean) - math.log(ones / (len(marks) - ones))
         else:
             weights, intercept = np.zeros(len(ratios)), smoothed
         yield pa.RecordBatch.from_arrays(
@@ -171,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, text: str = "tex
 
     fitted = sampled.mapInArrow(lists, "label int, found binary").repartition(1).mapInArrow(fit, "weights binary, intercept double")
     row = fitted.first()
-    return Model(np.frombuffer(row.weights), row.intercept) if row else none
+    return Model(np.frombuffer(row.weights), ratios * ratios, row.intercept) if row else none
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -179,16 +184,16 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     if "_score" in df.columns:
         raise ValueError("column _score is used by this operator")
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast((model.weights.astype(np.float64), model.intercept))
+    sent = spark.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercept = sent.value
+        model = sent.value
         for batch in batches:
             for part in slices(batch, text):
                 texts = part.column(at).to_pylist()
-                margins = np.array([intercept + weights[x].sum() for x in features(texts)])
+                margins = np.array([model.margin(x) for x in features(texts)])
                 scores = pa.array(1 / (1 + np.exp(-np.clip(margins, -500, 500))))
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, "_score"])
 
