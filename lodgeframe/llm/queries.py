@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, decontamination, exact_dedup, near_dedup, sharding, toxicity
+from lodgeframe.llm import bpe, decontamination, exact_dedup, licence_scan, near_dedup, sharding, toxicity
 
 SHARDS = 24
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -80,6 +80,27 @@ def op7_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = licence_scan.scan(licence_scan.phrase_places(docs.withColumn("n_words", licence_scan.word_count())))
+    base = F.array_sort(F.array_distinct(F.transform("_places", lambda p: p["label"])))
+    labels = F.array_sort(F.array_union(base, F.transform("_detections", lambda d: d["label"])))
+    score = F.greatest(
+        F.when(F.size("_places") > 0, 0.6).otherwise(0.0), F.coalesce(F.array_max(F.transform("_detections", lambda d: d["weight"])), F.lit(0.0))
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("_places").cast("long").alias("n_base"),
+        F.array_min(F.transform("_places", lambda p: p["at"])).cast("long").alias("first_word"),
+        F.array_max(F.transform("_places", lambda p: p["at"])).cast("long").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        score.alias("score"),
+        F.array_join(F.transform("_detections", lambda d: F.concat_ws(":", d["label"], d["start"], d["end"])), ",").alias("detections"),
+    )
+
+
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
 
@@ -90,6 +111,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op7_bloom_exact_dedup": op7_bloom_exact_dedup,
+    "op8_licence_rules": op8_licence_rules,
     "op9_template_decontamination": op9_template_decontamination,
 }
 
