@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, decontamination, exact_dedup, licence_scan, near_dedup, sharding, toxicity
+from lodgeframe.llm import bpe, decontamination, exact_dedup, licence_scan, near_dedup, secrets_scan, sharding, toxicity
 
 SHARDS = 24
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -69,6 +69,23 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def of(*kinds: str):
+        return F.filter("_secrets", lambda s: s["kind"].isin(*kinds))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(of("assign", "access", "hex")), 256).alias("base_sha256"),
+        joined(F.col("_secrets")).alias("spans"),
+    )
+
+
 def op7_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(
@@ -110,6 +127,7 @@ QUERIES = {
     "op3_nb_toxicity": op3_nb_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_circulant_minhash": op5_circulant_minhash,
+    "op6_trigram_secrets": op6_trigram_secrets,
     "op7_bloom_exact_dedup": op7_bloom_exact_dedup,
     "op8_licence_rules": op8_licence_rules,
     "op9_template_decontamination": op9_template_decontamination,
