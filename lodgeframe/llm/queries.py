@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, decontamination, exact_dedup, licence_scan, near_dedup, secrets_scan, sharding, toxicity
+from lodgeframe.llm import bpe, decontamination, exact_dedup, licence_scan, near_dedup, secrets_scan, sharding, surrogates, toxicity
 
 SHARDS = 24
+#: The key of this query's surrogates; users pass their own.
+SECRET = b"surrogates of the documents table"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -122,6 +124,22 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), SECRET)
+    kinds = F.transform("_entities", lambda e: e["kind"])
+
+    def count(*names: str):
+        return F.size(F.filter(kinds, lambda k: k.isin(*names))).cast("long")
+
+    return out.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in ("mail", "phone", "ip", "card")),
+        count("given-f", "given-m", "family").alias("n_name"),
+        F.array_join(F.transform("_entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",").alias("spans"),
+        "text",
+    )
+
+
 QUERIES = {
     "op2_lpt_shards": op2_lpt_shards,
     "op3_nb_toxicity": op3_nb_toxicity,
@@ -131,6 +149,7 @@ QUERIES = {
     "op7_bloom_exact_dedup": op7_bloom_exact_dedup,
     "op8_licence_rules": op8_licence_rules,
     "op9_template_decontamination": op9_template_decontamination,
+    "op10_surrogates": op10_surrogates,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
