@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm import bpe, decontamination, exact_dedup, licence_scan, near_dedup, secrets_scan, sharding, surrogates, toxicity
+from lodgeframe.llm import bpe, decontamination, exact_dedup, licence_scan, near_dedup, pitman_yor, secrets_scan, sharding, surrogates, toxicity
 
 SHARDS = 24
 #: The key of this query's surrogates; users pass their own.
@@ -18,6 +18,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    out = pitman_yor.score(documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
+    return out.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("_n_tokens").alias("n_tokens"),
+        F.col("_n_known").alias("n_known"),
+        F.col("_train_tokens").alias("train_tokens"),
+        F.col("_base_score").alias("base_score"),
+        F.col("_score").alias("score"),
+    )
+
+
 def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), SHARDS)
     return out.select(
@@ -141,6 +156,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_lpt_shards": op2_lpt_shards,
     "op3_nb_toxicity": op3_nb_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
