@@ -20,10 +20,11 @@ MOST_LETTERS = 8
 
 @dataclass(frozen=True)
 class Known:
-    """What is known of a part: all strings it can match, or (None) only a query."""
+    """What is known of a part: all strings it can match, or (None) a query and perhaps strings at both its edges."""
 
     strings: frozenset[str] | None
     query: Query = ALL
+    edge: frozenset[str] | None = None
 
 
 NOTHING = Known(None)
@@ -96,7 +97,7 @@ def _part(kind, value) -> Known:
             return Known(known.strings | {""})
         if known.strings is not None and least == most == 1:
             return known
-        return Known(None, _query(known)) if least else NOTHING
+        return Known(None, _query(known), known.strings) if least else NOTHING
     return NOTHING  # classes of letters, any character, look-around: nothing is known
 
 
@@ -107,6 +108,10 @@ def _sequence(sequence) -> Known:
         if known.strings is not None and len(known.strings) * len(strings) <= MOST_STRINGS:
             strings = frozenset(a + b for a in strings for b in known.strings)
             continue
+        if known.edge and len(known.edge) * len(strings) <= MOST_STRINGS:
+            joined = frozenset(a + b for a in strings for b in known.edge)
+            query, strings, whole = _both(query, _of_strings(joined)), known.edge, False
+            continue
         query = _both(query, _of_strings(strings))
         if known.strings is None:
             query, strings = _both(query, known.query), frozenset([""])
