@@ -6,190 +6,186 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Code and display name, in code order. The oddities are kept on
 # purpose (CN is Canada, TMP is East Timor) so that results stay comparable.
-_NAMES = """
-ABW Aruba
-AGO Angola
-AIA Anguilla
-ALB Albania
-AND Andorra
-ARE United Arab Emirates
-ARG Argentina
-ARM Armenia
-ASM American Samoa
-ATA Antarctica
-ATF French Southern Territories
-AUS Australia
-AUT Austria
-AZE Azerbaijan
-BDI Burundi
-BEL Belgium
-BEN Benin
-BFA Burkina Faso
-BGD Bangladesh
-BGR Bulgaria
-BHR Bahrain
-BHS Bahamas
-BIH Bosnia and Herzegovina
-BLR Belarus
-BOL Bolivia
-BRA Brazil
-BRB Barbados
-BWA Botswana
-CAF Central African Republic
-CHE Switzerland
-CHL Chile
-CHN China
-CIV Ivory Coast
-CMR Cameroon
-CN Canada
-COL Colombia
-COM Comoros
-CPV Cape Verde
-CRI Costa Rica
-CUB Cuba
-CYM Cayman Islands
-CYP Cyprus
-CZE Czech Republic
-DEU Germany
-DJI Djibouti
-DMA Dominica
-DNK Denmark
-DOM Dominican Republic
-DZA Algeria
-ECU Ecuador
-EGY Egypt
-ESP Spain
-EST Estonia
-ETH Ethiopia
-FIN Finland
-FJI Fiji
-FRA France
-FRO Faroe Islands
-GAB Gabon
-GBR United Kingdom
-GEO Georgia
-GGY Guernsey
-GHA Ghana
-GIB Gibraltar
-GLP Guadeloupe
-GNB Guinea-Bissau
-GRC Greece
-GTM Guatemala
-GUY Guyana
-HKG Hong Kong
-HND Honduras
-HRV Croatia
-HUN Hungary
-IDN Indonesia
-IMN Isle of Man
-IND India
-IRL Ireland
-IRN Iran
-IRQ Iraq
-ISL Iceland
-ISR Israel
-ITA Italy
-JAM Jamaica
-JEY Jersey
-JOR Jordan
-JPN Japan
-KAZ Kazakhstan
-KEN Kenya
-KHM Cambodia
-KIR Kiribati
-KNA Saint Kitts and Nevis
-KOR South Korea
-KWT Kuwait
-LAO Laos
-LBN Lebanon
-LBY Libya
-LCA Saint Lucia
-LIE Liechtenstein
-LKA Sri Lanka
-LTU Lithuania
-LUX Luxembourg
-LVA Latvia
-MAC Macao
-MAR Morocco
-MCO Monaco
-MDG Madagascar
-MDV Maldives
-MEX Mexico
-MKD North Macedonia
-MLI Mali
-MLT Malta
-MMR Myanmar
-MNE Montenegro
-MOZ Mozambique
-MRT Mauritania
-MUS Mauritius
-MWI Malawi
-MYS Malaysia
-MYT Mayotte
-NAM Namibia
-NCL New Caledonia
-NGA Nigeria
-NIC Nicaragua
-NLD Netherlands
-NOR Norway
-NPL Nepal
-NZL New Zealand
-OMN Oman
-PAK Pakistan
-PAN Panama
-PER Peru
-PHL Philippines
-PLW Palau
-POL Poland
-PRI Puerto Rico
-PRT Portugal
-PRY Paraguay
-PYF French Polynesia
-QAT Qatar
-ROU Romania
-RUS Russia
-RWA Rwanda
-SAU Saudi Arabia
-SDN Sudan
-SEN Senegal
-SGP Singapore
-SLE Sierra Leone
-SLV El Salvador
-SMR San Marino
-SRB Serbia
-STP Sao Tome and Principe
-SUR Suriname
-SVK Slovakia
-SVN Slovenia
-SWE Sweden
-SYC Seychelles
-SYR Syria
-TGO Togo
-THA Thailand
-TJK Tajikistan
-TMP East Timor
-TUN Tunisia
-TUR Turkey
-TWN Taiwan
-TZA Tanzania
-UGA Uganda
-UKR Ukraine
-UMI United States Minor Outlying Islands
-URY Uruguay
-USA United States
-UZB Uzbekistan
-Unknown Unknown
-VEN Venezuela
-VGB British Virgin Islands
-VNM Vietnam
-ZAF South Africa
-ZMB Zambia
-ZWE Zimbabwe
-"""
-
-COUNTRY_NAMES: dict[str, str] = dict(
-    line.split(" ", 1) for line in _NAMES.strip().splitlines()
-)
+COUNTRY_NAMES: dict[str, str] = {
+    "ABW": "Aruba",
+    "AGO": "Angola",
+    "AIA": "Anguilla",
+    "ALB": "Albania",
+    "AND": "Andorra",
+    "ARE": "United Arab Emirates",
+    "ARG": "Argentina",
+    "ARM": "Armenia",
+    "ASM": "American Samoa",
+    "ATA": "Antarctica",
+    "ATF": "French Southern Territories",
+    "AUS": "Australia",
+    "AUT": "Austria",
+    "AZE": "Azerbaijan",
+    "BDI": "Burundi",
+    "BEL": "Belgium",
+    "BEN": "Benin",
+    "BFA": "Burkina Faso",
+    "BGD": "Bangladesh",
+    "BGR": "Bulgaria",
+    "BHR": "Bahrain",
+    "BHS": "Bahamas",
+    "BIH": "Bosnia and Herzegovina",
+    "BLR": "Belarus",
+    "BOL": "Bolivia",
+    "BRA": "Brazil",
+    "BRB": "Barbados",
+    "BWA": "Botswana",
+    "CAF": "Central African Republic",
+    "CHE": "Switzerland",
+    "CHL": "Chile",
+    "CHN": "China",
+    "CIV": "Ivory Coast",
+    "CMR": "Cameroon",
+    "CN": "Canada",
+    "COL": "Colombia",
+    "COM": "Comoros",
+    "CPV": "Cape Verde",
+    "CRI": "Costa Rica",
+    "CUB": "Cuba",
+    "CYM": "Cayman Islands",
+    "CYP": "Cyprus",
+    "CZE": "Czech Republic",
+    "DEU": "Germany",
+    "DJI": "Djibouti",
+    "DMA": "Dominica",
+    "DNK": "Denmark",
+    "DOM": "Dominican Republic",
+    "DZA": "Algeria",
+    "ECU": "Ecuador",
+    "EGY": "Egypt",
+    "ESP": "Spain",
+    "EST": "Estonia",
+    "ETH": "Ethiopia",
+    "FIN": "Finland",
+    "FJI": "Fiji",
+    "FRA": "France",
+    "FRO": "Faroe Islands",
+    "GAB": "Gabon",
+    "GBR": "United Kingdom",
+    "GEO": "Georgia",
+    "GGY": "Guernsey",
+    "GHA": "Ghana",
+    "GIB": "Gibraltar",
+    "GLP": "Guadeloupe",
+    "GNB": "Guinea-Bissau",
+    "GRC": "Greece",
+    "GTM": "Guatemala",
+    "GUY": "Guyana",
+    "HKG": "Hong Kong",
+    "HND": "Honduras",
+    "HRV": "Croatia",
+    "HUN": "Hungary",
+    "IDN": "Indonesia",
+    "IMN": "Isle of Man",
+    "IND": "India",
+    "IRL": "Ireland",
+    "IRN": "Iran",
+    "IRQ": "Iraq",
+    "ISL": "Iceland",
+    "ISR": "Israel",
+    "ITA": "Italy",
+    "JAM": "Jamaica",
+    "JEY": "Jersey",
+    "JOR": "Jordan",
+    "JPN": "Japan",
+    "KAZ": "Kazakhstan",
+    "KEN": "Kenya",
+    "KHM": "Cambodia",
+    "KIR": "Kiribati",
+    "KNA": "Saint Kitts and Nevis",
+    "KOR": "South Korea",
+    "KWT": "Kuwait",
+    "LAO": "Laos",
+    "LBN": "Lebanon",
+    "LBY": "Libya",
+    "LCA": "Saint Lucia",
+    "LIE": "Liechtenstein",
+    "LKA": "Sri Lanka",
+    "LTU": "Lithuania",
+    "LUX": "Luxembourg",
+    "LVA": "Latvia",
+    "MAC": "Macao",
+    "MAR": "Morocco",
+    "MCO": "Monaco",
+    "MDG": "Madagascar",
+    "MDV": "Maldives",
+    "MEX": "Mexico",
+    "MKD": "North Macedonia",
+    "MLI": "Mali",
+    "MLT": "Malta",
+    "MMR": "Myanmar",
+    "MNE": "Montenegro",
+    "MOZ": "Mozambique",
+    "MRT": "Mauritania",
+    "MUS": "Mauritius",
+    "MWI": "Malawi",
+    "MYS": "Malaysia",
+    "MYT": "Mayotte",
+    "NAM": "Namibia",
+    "NCL": "New Caledonia",
+    "NGA": "Nigeria",
+    "NIC": "Nicaragua",
+    "NLD": "Netherlands",
+    "NOR": "Norway",
+    "NPL": "Nepal",
+    "NZL": "New Zealand",
+    "OMN": "Oman",
+    "PAK": "Pakistan",
+    "PAN": "Panama",
+    "PER": "Peru",
+    "PHL": "Philippines",
+    "PLW": "Palau",
+    "POL": "Poland",
+    "PRI": "Puerto Rico",
+    "PRT": "Portugal",
+    "PRY": "Paraguay",
+    "PYF": "French Polynesia",
+    "QAT": "Qatar",
+    "ROU": "Romania",
+    "RUS": "Russia",
+    "RWA": "Rwanda",
+    "SAU": "Saudi Arabia",
+    "SDN": "Sudan",
+    "SEN": "Senegal",
+    "SGP": "Singapore",
+    "SLE": "Sierra Leone",
+    "SLV": "El Salvador",
+    "SMR": "San Marino",
+    "SRB": "Serbia",
+    "STP": "Sao Tome and Principe",
+    "SUR": "Suriname",
+    "SVK": "Slovakia",
+    "SVN": "Slovenia",
+    "SWE": "Sweden",
+    "SYC": "Seychelles",
+    "SYR": "Syria",
+    "TGO": "Togo",
+    "THA": "Thailand",
+    "TJK": "Tajikistan",
+    "TMP": "East Timor",
+    "TUN": "Tunisia",
+    "TUR": "Turkey",
+    "TWN": "Taiwan",
+    "TZA": "Tanzania",
+    "UGA": "Uganda",
+    "UKR": "Ukraine",
+    "UMI": "United States Minor Outlying Islands",
+    "URY": "Uruguay",
+    "USA": "United States",
+    "UZB": "Uzbekistan",
+    "Unknown": "Unknown",
+    "VEN": "Venezuela",
+    "VGB": "British Virgin Islands",
+    "VNM": "Vietnam",
+    "ZAF": "South Africa",
+    "ZMB": "Zambia",
+    "ZWE": "Zimbabwe",
+}
 
 
 def country_dimension(spark: SparkSession) -> DataFrame:

@@ -74,5 +74,5 @@ def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bookings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Cleaned bookings, optionally only the named columns."""
-    return clean(bookings_raw(spark, sf_dir), columns=list(columns) or None)
+    """Cleaned bookings, optionally only the named columns; a pruned read leaves the null gate out."""
+    return clean(bookings_raw(spark, sf_dir), columns=list(columns) or None, gate=not columns)

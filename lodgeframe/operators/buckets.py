@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SIZE = 10
-# Top-k tables up to this many rows are small enough to broadcast.
-_BROADCAST_ROWS = 10_000
 
 Aggs = Mapping[str, str]
 
@@ -46,20 +44,28 @@ def top_within(df: DataFrame, outer: Sequence[str], inner: str, size: int = DEFA
     return ranked.where(F.col("_rank") <= size).drop("_rank")
 
 
-def _top_outer(pairs: DataFrame, outer: str, size: int, outer_count: str) -> DataFrame:
+def _top_of(
+    pairs: DataFrame, outer: str, inner: str, outer_size: int, inner_size: int | None, outer_count: str
+) -> DataFrame:
+    """The top outer keys as (outer, outer_count, _inner): their kept pairs as a list of structs.
+
+    The grouped table is used once, so the table below it is read once: outer totals are a window over the pairs.
+    """
+    over = Window.partitionBy(outer)
+    rest = [c for c in pairs.columns if c != outer]
+    counted = pairs.where(F.col(outer).isNotNull()).withColumn("_total", F.sum("doc_count").over(over))
+    pair = F.when(F.col(inner).isNotNull(), F.struct(*rest))
+    if inner_size is not None:
+        ranked = over.orderBy(F.col(inner).isNull(), F.desc("doc_count"), F.asc(inner))
+        counted = counted.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= inner_size)
     return (
-        pairs.where(F.col(outer).isNotNull())
-        .groupBy(outer)
-        .agg(F.sum("doc_count").alias(outer_count))
+        counted.groupBy(outer)
+        .agg(F.max("_total").alias(outer_count), F.collect_list(pair).alias("_inner"))
         .orderBy(F.desc(outer_count), F.asc(outer))
-        .limit(size)
+        .limit(outer_size)
     )
 
 
-def _small(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= _BROADCAST_ROWS else df
-
-
 def nested_top(
     pairs: DataFrame,
     outer: str,
@@ -73,41 +79,53 @@ def nested_top(
     An outer key whose rows all lack an inner key is kept with a null inner key.
     """
     outer_count = outer_count or f"{outer}_doc_count"
-    best = _top_outer(pairs, outer, outer_size, outer_count)
-    kept = pairs.join(_small(best.select(outer), outer_size), outer, "left_semi")
-    ranked = top_within(kept, [outer], inner, inner_size)
+    best = _top_of(pairs, outer, inner, outer_size, inner_size, outer_count)
     rest = [c for c in pairs.columns if c not in (outer, inner)]
-    return best.join(ranked, outer, "left").select(outer, outer_count, inner, *rest)
+    rows = best.select(outer, outer_count, F.explode_outer("_inner").alias("_pair"))
+    return rows.select(outer, outer_count, *[F.col("_pair")[c].alias(c) for c in (inner, *rest)])
 
 
-def month_spine(months: DataFrame, column: str = "month") -> DataFrame:
-    """Every month from the first to the last one in ``months``."""
-    return months.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).selectExpr(
-        f"explode(sequence(lo, hi, interval 1 month)) AS {column}"
-    )
+def _months_from(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of one month each, given ``_months``: the month itself and the empty ones up to the next row.
+
+    One row per calendar month at most, so a window over all of them is small.
+    """
+    next_month = F.lead(name).over(Window.orderBy(name))
+    upto = F.add_months(F.coalesce(next_month, F.add_months(F.col(name), 1)), -1)
+    return rows.withColumn("_months", F.sequence(F.col(name), upto, F.expr("interval 1 month")))
 
 
 def fill_months(counted: DataFrame, name: str = "month", count: str = "doc_count") -> DataFrame:
     """Of a table grouped by month: add the empty months in between with count 0."""
-    counted = counted.where(F.col(name).isNotNull())
-    # One row per calendar month at most, hence the broadcast.
-    return (
-        month_spine(counted, name)
-        .join(F.broadcast(counted), name, "left")
-        .withColumn(count, F.coalesce(count, F.lit(0)))
+    rest = [c for c in counted.columns if c != name]
+    filled = _months_from(counted.where(F.col(name).isNotNull()), name)
+    filled = filled.select(F.col(name).alias("_own"), *rest, F.explode("_months").alias(name))
+    own = F.col("_own") == F.col(name)
+    return filled.select(
+        name, *[F.when(own, F.col(c)).otherwise(F.lit(0) if c == count else None).alias(c) for c in rest]
     )
 
 
 def months_then_top(pairs: DataFrame, inner: str, inner_size: int = DEFAULT_SIZE) -> DataFrame:
     """Of a table grouped by month and key: gap-filled months and their top keys."""
-    months = pairs.groupBy("month").agg(F.sum("doc_count").alias("month_doc_count"))
-    ranked = top_within(pairs.where("month IS NOT NULL"), ["month"], inner, inner_size)
+    over = Window.partitionBy("month")
     rest = [c for c in pairs.columns if c not in ("month", inner)]
-    return (
-        fill_months(months, count="month_doc_count")
-        .join(ranked, "month", "left")
-        .select("month", "month_doc_count", inner, *rest)
+    ranked = over.orderBy(F.col(inner).isNull(), F.desc("doc_count"), F.asc(inner))
+    months = (
+        pairs.where("month IS NOT NULL")
+        .withColumn("_total", F.sum("doc_count").over(over))
+        .withColumn("_rank", F.row_number().over(ranked))
+        .where(F.col("_rank") <= inner_size)
+        .groupBy("month")
+        .agg(
+            F.max("_total").alias("month_doc_count"),
+            F.collect_list(F.when(F.col(inner).isNotNull(), F.struct(inner, *rest))).alias("_inner"),
+        )
     )
+    rows = fill_months(months, count="month_doc_count").select(
+        "month", "month_doc_count", F.explode_outer("_inner").alias("_pair")
+    )
+    return rows.select("month", "month_doc_count", *[F.col("_pair")[c].alias(c) for c in (inner, *rest)])
 
 
 def top_then_months(
@@ -115,13 +133,10 @@ def top_then_months(
 ) -> DataFrame:
     """Of a table grouped by key and month: the top keys and their non-empty months."""
     outer_count = outer_count or f"{outer}_doc_count"
-    best = _small(_top_outer(pairs, outer, outer_size, outer_count), outer_size)
+    best = _top_of(pairs, outer, "month", outer_size, None, outer_count)
     rest = [c for c in pairs.columns if c not in (outer, "month")]
-    return (
-        pairs.where("month IS NOT NULL")
-        .join(best, outer)
-        .select(outer, outer_count, "month", *rest)
-    )
+    rows = best.select(outer, outer_count, F.explode("_inner").alias("_pair"))
+    return rows.select(outer, outer_count, *[F.col("_pair")[c].alias(c) for c in ("month", *rest)])
 
 
 def terms(
@@ -144,11 +159,9 @@ def terms(
 def terms_total(df: DataFrame, key: str, size: int = DEFAULT_SIZE) -> DataFrame:
     """One row: rows with a key, rows in the returned keys, rows in all other keys."""
     counted = count_by(df, {"_key": key}).where("_key IS NOT NULL")
+    returned = top(counted, "_key", size).selectExpr("coalesce(sum(doc_count), 0L)").scalar()
     total = counted.selectExpr("coalesce(sum(doc_count), 0L) AS total_doc_count")
-    returned = top(counted, "_key", size).selectExpr(
-        "coalesce(sum(doc_count), 0L) AS returned_doc_count"
-    )
-    return total.crossJoin(F.broadcast(returned)).selectExpr(
+    return total.withColumn("returned_doc_count", returned).selectExpr(
         "*", "total_doc_count - returned_doc_count AS sum_other_doc_count"
     )
 
@@ -193,6 +206,8 @@ def composite(
         if list(after) != keys:
             raise ValueError("'after' must name the key columns in order")
         position = F.struct(*[F.lit(after[c]).cast(dict(df.dtypes)[c]).alias(c) for c in keys])
+        # The first key by itself can be pushed down to the files.
+        rows = rows.where(F.col(keys[0]) >= F.lit(after[keys[0]]).cast(dict(df.dtypes)[keys[0]]))
         rows = rows.where(F.struct(*keys) > position)
     return (
         rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("doc_count")).orderBy(*keys).limit(size)
@@ -202,7 +217,9 @@ def composite(
 def significant_terms(
     df: DataFrame, foreground: str, field: str, size: int = DEFAULT_SIZE, min_doc_count: int = 3
 ) -> DataFrame:
-    """Keys over-represented in the foreground rows, by the JLH score.
+    """The ``size`` keys most over-represented in the foreground rows, by the JLH score.
+
+    A key counts as significant with ``min_doc_count`` foreground rows or more.
 
     score = (fg% - bg%) * (fg% / bg%), where the background is the whole table.
     """
@@ -212,13 +229,13 @@ def significant_terms(
     totals = counted.agg(F.expr("sum(doc_count) AS fg_total"), F.expr("sum(bg_count) AS bg_total"))
     return (
         counted.where(F.col(field).isNotNull() & (F.col("doc_count") >= min_doc_count))
-        .crossJoin(F.broadcast(totals))
+        .withColumn("_all", totals.select(F.struct("*")).scalar())
         .selectExpr(
             f"`{field}`",
             "doc_count",
             "bg_count",
-            "doc_count / fg_total AS fg_share",
-            "bg_count / bg_total AS bg_share",
+            "doc_count / _all.fg_total AS fg_share",
+            "bg_count / _all.bg_total AS bg_share",
         )
         .where("fg_share > bg_share")
         .selectExpr(

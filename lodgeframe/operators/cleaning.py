@@ -87,6 +87,25 @@ def require_no_nulls(df: DataFrame) -> DataFrame:
     return df
 
 
+def null_gate(df: DataFrame) -> DataFrame:
+    """``df`` itself; any use of it, a count too, fails the job if a column is left with nulls by :func:`clean`.
+
+    One more scan finds the columns, as a scalar that a filter on all rows depends on: no
+    projection can leave it out. A filled column counts if it holds nothing to take the median of.
+    """
+    checks = [
+        f"IF(count_if(`{c}` IS NULL) > 0, '{c}', NULL)"
+        for c in df.columns
+        if c in RAW_COLUMNS and c not in MEDIAN_FILLED and c not in CONSTANT_FILLS
+    ] + [f"IF(count(1) > 0 AND count(`{c}`) = 0, '{c}', NULL)" for c in MEDIAN_FILLED if c in df.columns]
+    if not checks:
+        return df
+    bad = df.selectExpr(f"array_join(array_compact(array({', '.join(checks)})), ', ') AS bad").scalar()
+    failed = F.raise_error(F.concat(F.lit("null values left in: "), F.col("_bad")))
+    gated = df.withColumn("_bad", bad).where(F.when(F.col("_bad") != "", failed.cast("boolean")).otherwise(True))
+    return gated.drop("_bad")
+
+
 def _limits(
     df: DataFrame, columns: Sequence[str], detect: str, median_filled: Sequence[str] = ()
 ) -> DataFrame:
@@ -104,9 +123,14 @@ def _limits(
     )
 
 
-def outlier_thresholds(df: DataFrame, columns: Sequence[str] = tuple(OUTLIER_COLUMNS)) -> DataFrame:
-    """Per column: exact 1st and 99th percentile and the limits 1.5 spans beyond them."""
-    return _limits(df, columns, "reference").drop("median", "has_outliers")
+def outlier_thresholds(
+    df: DataFrame, columns: Sequence[str] = tuple(OUTLIER_COLUMNS), median_filled: Sequence[str] = ()
+) -> DataFrame:
+    """Per column: exact 1st and 99th percentile and the limits 1.5 spans beyond them.
+
+    ``median_filled`` columns count as if their nulls were filled, which spares a scan for the median.
+    """
+    return _limits(df, columns, "reference", median_filled).drop("median", "has_outliers")
 
 
 def detect_outliers(
@@ -175,36 +199,33 @@ def clean(
     detect: str = "reference",
     unmapped: str = "",
     columns: Sequence[str] | None = None,
+    gate: bool = True,
 ) -> DataFrame:
     """The whole cleaning as one lazy projection.
 
     All data-dependent constants (median, limits) come from a single counting
-    scan and enter through one scalar subquery. The null gate is part of the
-    projection and costs no pass of its own: a row with a null in an unfillable
-    column fails the job. ``columns`` names the output columns to build; others are
-    neither read nor checked.
+    scan and enter through one scalar subquery. The null gate looks at the whole input, whatever is
+    read of the result: a null in an unfillable column fails the job (see :func:`null_gate`).
+    ``columns`` names the output columns to build; with ``gate=False`` others are neither read nor checked.
     """
+    df = null_gate(df) if gate else df
     extra = [c for c in df.columns if c not in RAW_COLUMNS]
     wanted = list(columns) if columns is not None else [*extra, *CLEAN_COLUMNS]
     types = dict(df.dtypes)
     clipped = [c for c in OUTLIER_COLUMNS if c in wanted]
     if clipped:
-        filled = [c for c in MEDIAN_FILLED if c in clipped]
-        df = with_constants(df, _constants(df, clipped, detect, filled))
+        medians = [c for c in MEDIAN_FILLED if c in clipped]
+        df = with_constants(df, _constants(df, clipped, detect, medians))
 
-    def filled_or_checked(c: str) -> str:
+    def filled(c: str) -> str:
         if c in MEDIAN_FILLED:
             return f"coalesce({c}, CAST(_const.{c}_median AS {types[c]})) AS {c}"
         if c in CONSTANT_FILLS:
             return f"coalesce({c}, CAST('{CONSTANT_FILLS[c]}' AS {types[c]})) AS {c}"
-        # A check per column rather than one filter: a condition over many columns
-        # makes the optimizer's constraint inference explode.
-        if c in RAW_COLUMNS:
-            return f"coalesce({c}, raise_error('null value in {c}')) AS {c}"
         return f"`{c}`"
 
     rows = df.selectExpr(
-        *[_ARRIVAL_DATE if c == "arrival_date" else filled_or_checked(c) for c in wanted],
+        *[_ARRIVAL_DATE if c == "arrival_date" else filled(c) for c in wanted],
         *(["_const"] if clipped else []),
     )
     if clipped:

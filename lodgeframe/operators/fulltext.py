@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgeframe.functions.text import edit_distance, tokens, tokens_of
-from lodgeframe.operators.search import B, K1, TOTAL_CAP
+from lodgeframe.operators.search import B, K1
 from lodgeframe.schema import SUGGEST_FIELDS
 
+# The k of an explicit top-k: best rows, and suggestions.
 DEFAULT_HITS = 10
 DEFAULT_SUGGESTIONS = 5
-MAX_EXPANSIONS = 50
 
 
 def allowed_edits(word: str) -> int:
@@ -88,30 +88,18 @@ def _field_counts(df: DataFrame, fields: Sequence[str], words: Sequence[str]) ->
     )
 
 
-def expand_terms(
-    vocab: DataFrame, words: Sequence[str], max_expansions: int = MAX_EXPANSIONS
-) -> DataFrame:
-    """For every query word its closest vocabulary tokens within the allowed edits.
-
-    Adds word and distance to the vocabulary rows. Per field and word the
-    ``max_expansions`` closest tokens are kept, ties in token order.
-    """
+def expand_terms(vocab: DataFrame, words: Sequence[str]) -> DataFrame:
+    """For every query word all vocabulary tokens within the allowed edits, with word and distance."""
     listed = ", ".join(
         f"struct({_quoted(w)} AS word, {allowed_edits(w)} AS edits)" for w in dict.fromkeys(words)
     )
-    by_field = [c for c in ("field",) if c in vocab.columns]
     near = " OR ".join(f"(word = {_quoted(w)} AND {_near('token', w)})" for w in dict.fromkeys(words))
-    by = ", ".join([*by_field, "word"])
     return (
         vocab.selectExpr("*", f"inline(array({listed}))")
         .where(near)
         .withColumn("distance", F.expr(edit_distance("token", "word")))
         .where("distance <= edits")
-        .selectExpr(
-            "*", f"row_number() OVER (PARTITION BY {by} ORDER BY distance, token) AS _rank"
-        )
-        .where(F.col("_rank") <= max_expansions)
-        .drop("_rank", "edits")
+        .drop("edits")
     )
 
 
@@ -120,76 +108,90 @@ def _query_terms(query: str) -> list[list[str]]:
     return [tokens_of(term.strip()) for term in query.split(" ")]
 
 
-def _matching(
-    df: DataFrame, query: str, fields: Sequence[str], max_expansions: int
-) -> DataFrame:
-    """All rows in which every term matches some field, with their score."""
+def _found(term: Sequence[str], j: int, lists: str = "t") -> str:
+    """SQL: the tokens of field ``j`` that are within the allowed edits of a word of the term."""
+    parts = []
+    for w in dict.fromkeys(term):
+        distance = edit_distance("x", _quoted(w))
+        parts.append(
+            f"""transform(filter(array_distinct({lists}.f{j}), x -> {_near('x', w)} AND {distance} <= {allowed_edits(w)}),
+                  x -> struct(x AS token, {distance} AS distance, {len(w)} AS letters,
+                    size(filter({lists}.f{j}, y -> y = x)) AS tf, size({lists}.f{j}) AS length))"""
+        )
+    return f"concat({', '.join(parts)})"
+
+
+def _matching(df: DataFrame, query: str, fields: Sequence[str]) -> DataFrame:
+    """All rows in which every term matches some field, with ``_terms``: per term and field the tokens found.
+
+    Whether a token is near a word follows from the two alone, so matching is a plain projection and filter.
+    """
     fields = _text_fields(df, fields)
     terms = _query_terms(query)
     if not all(terms) or not fields:
-        return df.withColumn("score", F.lit(0.0)).where("false")
-    words = list(dict.fromkeys(w for term in terms for w in term))
+        kind = "array<array<struct<token:string,distance:int,letters:int,tf:int,length:int>>>"
+        return df.withColumn("_terms", F.array().cast(f"array<{kind}>")).where("false")
+    # The text is analysed once per row: the token lists are bound to ``t``.
+    lists = ", ".join(f"{_token_list(f)} AS f{j}" for j, f in enumerate(fields))
+    found = ", ".join(
+        "array(" + ", ".join(f"coalesce({_found(term, j)}, array())" for j in range(len(fields))) + ")" for term in terms
+    )
+    matched = df.withColumn("_terms", F.expr(f"element_at(transform(array(struct({lists})), t -> array({found})), 1)"))
+    return matched.where("forall(_terms, by_field -> exists(by_field, tokens -> size(tokens) > 0))")
+
 
-    # One row of constants: per field its row count and mean length, per word and
-    # field the expansions with their weights (at most max_expansions each).
+def _scored(df: DataFrame, query: str, fields: Sequence[str]) -> DataFrame:
+    """Matching rows with their score. The tokens found are joined to how many rows hold them; their number has no bound."""
+    fields = _text_fields(df, fields)
+    words = [w for term in _query_terms(query) for w in term]
+    matched = _matching(df, query, fields)
+    if not words or not fields:
+        return matched.withColumn("score", F.lit(0.0)).drop("_terms")
     counted = _field_counts(df, fields, words)
     lengths = counted.where("length IS NOT NULL").agg(
         *[
-            F.expr(f"coalesce(max(CASE WHEN field = '{f}' THEN {c} END), 0L) AS {name}_{j}")
+            F.expr(f"max(CASE WHEN field = '{f}' THEN {c} END) AS {name}_{j}")
             for j, f in enumerate(fields)
             for name, c in (("n", "doc_freq"), ("len", "length"))
         ]
     )
-    docs = " ".join(f"WHEN '{f}' THEN n_{j}" for j, f in enumerate(fields))
-    weights = (
-        expand_terms(counted.where("length IS NULL"), words, max_expansions)
-        .crossJoin(F.broadcast(lengths))
-        .withColumn("docs", F.expr(f"CASE field {docs} END"))
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own")
+    each = (
+        matched.select(own, "_terms", F.monotonically_increasing_id().alias("_row"))
+        .select("_own", "_row", F.posexplode("_terms").alias("_term", "_fields"))
+        .select("_own", "_row", "_term", F.posexplode("_fields").alias("_field", "_tokens"))
+        .select("_own", "_row", "_term", "_field", F.explode("_tokens").alias("_t"))
+        .selectExpr("_own", "_row", "_term", "_field", "_t.*")
+    )
+    names = " ".join(f"WHEN '{f}' THEN {j}" for j, f in enumerate(fields))
+    held = counted.where("length IS NULL").selectExpr(f"CASE field {names} END AS _field", "token", "doc_freq")
+    sized = " ".join(f"WHEN {j} THEN struct(_c.n_{j} AS n, _c.len_{j} AS len)" for j in range(len(fields)))
+    parts = (
+        each.join(held, ["_field", "token"])
+        .withColumn("_c", lengths.select(F.struct("*")).scalar())
+        .withColumn("_f", F.expr(f"CASE _field {sized} END"))
         .withColumn(
-            "weight",
+            "_part",
             F.expr(
-                f"""{K1 + 1} * (1 - distance / least(length(token), length(word)))
-                    * ln(1 + (docs - doc_freq + 0.5D) / (doc_freq + 0.5D))"""
+                f"""{K1 + 1} * (1 - distance / least(length(token), letters))
+                    * ln(1 + (_f.n - doc_freq + 0.5D) / (doc_freq + 0.5D))
+                    * tf / (tf + {K1} * ({1 - B} + {B} * length * _f.n / _f.len))"""
             ),
         )
     )
-    picks = [
-        f"""sort_array(collect_list(CASE WHEN field = '{f}' AND word = {_quoted(w)}
-              THEN struct(token, weight) END)) AS e_{i}_{j}"""
-        for i, w in enumerate(words)
-        for j, f in enumerate(fields)
+    # Per term the best field counts.
+    terms = len(_query_terms(query))
+    sums = [
+        F.expr(f"coalesce(sum(CASE WHEN _term = {i} AND _field = {j} THEN _part END), 0D) AS s_{i}_{j}")
+        for i in range(terms)
+        for j in range(len(fields))
     ]
-    constants = weights.selectExpr(*picks).crossJoin(F.broadcast(lengths))
-
-    def word_score(i: int, j: int) -> str:
-        tf = f"size(filter(t.f{j}, x -> x = e.token))"
-        return f"""aggregate(filter(_c.e_{i}_{j}, e -> array_contains(t.f{j}, e.token)), 0D,
-            (sum, e) -> sum + e.weight * {tf}
-              / ({tf} + {K1} * ({1 - B} + {B} * size(t.f{j}) * _c.n_{j} / _c.len_{j})))"""
-
-    def term_score(term: list[str], j: int) -> str:
-        parts = " + ".join(word_score(words.index(w), j) for w in dict.fromkeys(term))
-        return f"coalesce({parts}, 0D)"
-
-    found, scores = [], []
-    for term in terms:
-        hits = [
-            f"coalesce(arrays_overlap(t.f{j}, _c.e_{words.index(w)}_{j}.token), false)"
-            for w in term
-            for j in range(len(fields))
-        ]
-        found.append("(" + " OR ".join(hits) + ")")
-        best = ", ".join(term_score(term, j) for j in range(len(fields)))
-        scores.append(f"greatest({best})" if len(fields) > 1 else best)
-
-    # The text is analysed once per row: the token lists are bound to ``t``.
-    lists = ", ".join(f"{_token_list(f)} AS f{j}" for j, f in enumerate(fields))
-    score = f"""element_at(transform(array(struct({lists})),
-        t -> CASE WHEN {' AND '.join(found)} THEN {' + '.join(scores)} END), 1)"""
-    scored = df.withColumn("_c", constants.select(F.struct("*")).scalar()).withColumn(
-        "score", F.expr(score)
-    )
-    return scored.where("score IS NOT NULL").drop("_c")
+    best = [
+        f"greatest({', '.join(f's_{i}_{j}' for j in range(len(fields)))})" if len(fields) > 1 else f"s_{i}_0"
+        for i in range(terms)
+    ]
+    summed = parts.groupBy("_row").agg(F.first("_own").alias("_own"), *sums)
+    return summed.select("_own.*", F.expr(" + ".join(best)).alias("score"))
 
 
 def _token_list(field: str) -> str:
@@ -197,36 +199,24 @@ def _token_list(field: str) -> str:
 
 
 def full_text_search(
-    df: DataFrame,
-    query: str,
-    fields: Sequence[str],
-    size: int = DEFAULT_HITS,
-    key: str = "id",
-    max_expansions: int = MAX_EXPANSIONS,
+    df: DataFrame, query: str, fields: Sequence[str], size: int = DEFAULT_HITS, key: str = "id"
 ) -> DataFrame:
     """The best ``size`` rows in which every query term occurs, give or take a few typos.
 
     Terms are split at single blanks; an empty term (two blanks in a row) matches
     nothing. Per term the best field counts, scores add up over terms.
     """
-    found = _matching(df, query, fields, max_expansions)
-    return found.orderBy(F.desc("score"), F.asc(key)).limit(size)
+    return _scored(df, query, fields).orderBy(F.desc("score"), F.asc(key)).limit(size)
 
 
-def full_text_matches(
-    df: DataFrame, query: str, fields: Sequence[str], max_expansions: int = MAX_EXPANSIONS
-) -> DataFrame:
-    """All matching rows with their score, unordered."""
-    return _matching(df, query, fields, max_expansions)
+def full_text_matches(df: DataFrame, query: str, fields: Sequence[str]) -> DataFrame:
+    """All matching rows, unordered: one pass, no shuffle."""
+    return _matching(df, query, fields).drop("_terms")
 
 
-def full_text_total(
-    df: DataFrame, query: str, fields: Sequence[str], max_expansions: int = MAX_EXPANSIONS
-) -> DataFrame:
-    """One row: number of matching rows, capped and exact."""
-    return _matching(df, query, fields, max_expansions).selectExpr(
-        f"least(count(1), {TOTAL_CAP}L) AS total", "count(1) AS total_exact"
-    )
+def full_text_total(df: DataFrame, query: str, fields: Sequence[str]) -> DataFrame:
+    """One row: the number of matching rows."""
+    return _matching(df, query, fields).agg(F.count(F.lit(1)).alias("total"))
 
 
 def suggest(df: DataFrame, text: str, field: str, size: int = DEFAULT_SUGGESTIONS) -> DataFrame:

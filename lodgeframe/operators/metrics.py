@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgeframe.operators.buckets import terms
+from lodgeframe.operators.buckets import DEFAULT_SIZE
 from lodgeframe.operators.quantiles import order_statistics, value_counts
 from lodgeframe.schema import resolve_field
 
@@ -38,7 +38,7 @@ _NUMBER["extended_stats"] = {
 _DATE = {"min": {None: "min({c})"}, "max": {None: "max({c})"}}
 _ANY = {"value_count": {None: "count({c})"}, "missing": {None: "count_if({c} IS NULL)"}}
 _RANKED = ("percentiles", "median_absolute_deviation")
-_OUTPUT = ["agg", "key", "doc_count", "value"]
+_OUTPUT = ["agg", "key", "doc_count", "value", "field", "type"]
 
 
 def _fused(df: DataFrame, wanted: Sequence[tuple[str, str | None, str, str]]) -> DataFrame:
@@ -54,9 +54,23 @@ def _fused(df: DataFrame, wanted: Sequence[tuple[str, str | None, str, str]]) ->
     return row.selectExpr(f"inline(array({', '.join(cells)}))")
 
 
-def _cardinalities(df: DataFrame, wanted: Sequence[tuple[str, str]], exact: bool) -> DataFrame:
-    count = "count(DISTINCT {c})" if exact else "approx_count_distinct({c})"
-    return _fused(df, [(name, None, count.format(c=c), "number") for name, c in wanted])
+def _terms(df: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:
+    """The top keys of all columns from one scan: every column is a grouping set of its own."""
+    keys = [f"_t{i}" for i in range(len(wanted))]
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for k, (_, c) in zip(keys, wanted)])
+    counted = rows.groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("doc_count")
+    )
+    parts = []
+    for i, (key, (name, _)) in enumerate(zip(keys, wanted)):
+        # The grouping number has a 1 bit for every key left out, first key highest.
+        number = (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i))
+        parts.append(f"WHEN {number} THEN IF({key} IS NULL, NULL, struct('{name}' AS agg, CAST({key} AS string) AS key))")
+    listed = counted.selectExpr(f"CASE _set {' '.join(parts)} END AS _of", "doc_count", *keys).where("_of IS NOT NULL")
+    # Ties go by the key in its own type. The rank filter also runs before the shuffle.
+    rank = f"row_number() OVER (PARTITION BY _of.agg ORDER BY doc_count DESC, {', '.join(keys)}) AS _rank"
+    top = listed.selectExpr("_of.*", "doc_count", rank, "_of").where(F.col("_rank") <= DEFAULT_SIZE)
+    return top.selectExpr("agg", "key", "doc_count", "CAST(NULL AS double) AS value")
 
 
 def _ranked(df: DataFrame, wanted: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -90,23 +104,25 @@ def _ranked(df: DataFrame, wanted: Sequence[tuple[str, str, str]]) -> DataFrame:
 def aggregate(
     df: DataFrame, specs: Sequence[tuple[str, str]], exact_cardinality: bool = True
 ) -> DataFrame:
-    """Long form (agg, key, doc_count, value) of any list of (field, type).
+    """Long form (agg, key, doc_count, value, field, type) of any list of (field, type).
 
     Aggregations are named ``{field}_{type}``; repeating one changes nothing. All
-    single-value metrics share one pass over the table. ``terms`` gives the top
+    single-value metrics share one pass over the table, and so do all ``terms``, which give the top
     ten keys as text. A field or type that does not exist, or does not fit the
     field, is an error for the whole request.
     """
-    fused, distinct, ranked, grouped = [], [], [], []
+    fused, ranked, grouped, names = [], [], [], {}
+    count = "count(DISTINCT {c})" if exact_cardinality else "approx_count_distinct({c})"
     for field, kind in dict.fromkeys((f, k) for f, k in specs):
         column, of = resolve_field(field)
         name = f"{field}_{kind}"
+        names[name] = (field, kind)
         if of == "suggest":
             raise ValueError(f"{field} cannot be aggregated")
         if kind == "terms":
             grouped.append((name, column))
         elif kind == "cardinality":
-            distinct.append((name, column))
+            fused.append((name, None, count.format(c=column), "number"))
         elif kind in _ANY:
             fused += [(name, k, sql.format(c=column), "number") for k, sql in _ANY[kind].items()]
         elif of == "number" and kind in _RANKED:
@@ -119,22 +135,15 @@ def aggregate(
     parts = []
     if fused:
         parts.append(_fused(df, fused))
-    if distinct:
-        parts.append(_cardinalities(df, distinct, exact_cardinality))
     if ranked:
         parts.append(_ranked(df, ranked))
-    for name, column in grouped:
-        parts.append(
-            terms(df, column).selectExpr(
-                f"'{name}' AS agg",
-                f"CAST(`{column}` AS string) AS key",
-                "doc_count",
-                "CAST(NULL AS double) AS value",
-            )
-        )
+    if grouped:
+        parts.append(_terms(df, grouped))
     if not parts:
         raise ValueError("no aggregation requested")
-    return reduce(DataFrame.unionByName, parts).select(*_OUTPUT)
+    known = " ".join(f"WHEN '{n}' THEN struct('{f}' AS field, '{k}' AS type)" for n, (f, k) in names.items())
+    rows = reduce(DataFrame.unionByName, parts).selectExpr("*", f"CASE agg {known} END AS _of")
+    return rows.select("agg", "key", "doc_count", "value", "_of.*").select(*_OUTPUT)
 
 
 def metric(df: DataFrame, field: str, kind: str) -> DataFrame:

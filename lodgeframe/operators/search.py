@@ -12,15 +12,8 @@ from pyspark.sql import functions as F
 from lodgeframe.functions.text import tokens, tokens_of
 from lodgeframe.schema import SUGGEST_FIELDS, resolve_field
 
-MAX_HITS = 10_000
-TOTAL_CAP = 10_000
 K1, B = 1.2, 0.75
 
-# Up to this many rows per answer an ordinary top-k is used.
-_PLAIN_TOP = 1_000
-# Ids per counting block: 2 ** 20.
-_BLOCK_BITS = 20
-
 _RANGE_OPS = {
     "gte": lambda c, v: c >= v,
     "gt": lambda c, v: c > v,
@@ -90,12 +83,8 @@ def condition(
     return reduce(Column.__and__, parts, F.lit(True))
 
 
-def _bm25(df: DataFrame, words: Mapping[str, list[str]]) -> dict[str, Column]:
-    """Per text field a relevance column for its words.
-
-    Document frequencies and lengths come from one aggregation of the unfiltered
-    table, attached as a one-row scalar.
-    """
+def _bm25(words: Mapping[str, list[str]]) -> list[str]:
+    """What relevance needs of the unfiltered table: per field its rows and length, per word its rows."""
     needs = []
     for field, terms in words.items():
         needs.append(f"count(`{field}`) AS n_{field}")
@@ -104,20 +93,15 @@ def _bm25(df: DataFrame, words: Mapping[str, list[str]]) -> dict[str, Column]:
             needs.append(
                 f"count_if(array_contains({_token_sql(field)}, '{word}')) AS df_{field}_{i}"
             )
-    stats = df.selectExpr(*needs).select(F.struct("*")).scalar() if needs else None
-    out = {}
-    for field, terms in words.items():
-        parts = []
-        for i, word in enumerate(terms):
-            parts.append(
-                f"""{K1 + 1} * ln(1 + (_stats.n_{field} - _stats.df_{field}_{i} + 0.5D)
-                                / (_stats.df_{field}_{i} + 0.5D))
-                  * size(filter({_token_sql(field)}, t -> t = '{word}'))
-                  / (size(filter({_token_sql(field)}, t -> t = '{word}')) + {K1} * ({1 - B}
-                     + {B} * size({_token_sql(field)}) * _stats.n_{field} / _stats.len_{field}))"""
-            )
-        out[field] = F.expr("coalesce(" + " + ".join(parts) + ", 0D)")
-    return out, stats
+    return needs
+
+
+def _relevance(field: str, word: str, i: int) -> str:
+    """BM25 of one word in one field; ``i`` is the word's place among the field's words."""
+    found = f"size(filter({_token_sql(field)}, t -> t = '{word}'))"
+    return f"""{K1 + 1} * ln(1 + (_stats.n_{field} - _stats.df_{field}_{i} + 0.5D) / (_stats.df_{field}_{i} + 0.5D))
+        * {found} / ({found} + {K1} * ({1 - B}
+          + {B} * size({_token_sql(field)}) * _stats.n_{field} / _stats.len_{field}))"""
 
 
 def _token_sql(field: str) -> str:
@@ -142,71 +126,46 @@ def with_score(
         if kind == "text":
             known = words.setdefault(column, [])
             known += [w for w in tokens_of(str(value)) if w not in known]
-    relevance, stats = _bm25(df, words)
-    scored = df.withColumn("_stats", stats) if stats is not None else df
+    needs = _bm25(words)
+    scored = df.withColumn("_stats", df.selectExpr(*needs).select(F.struct("*")).scalar()) if needs else df
     parts = [F.lit(float(len(_given(ranges))))]
+    # A sum over clauses: a field that is asked for twice counts twice.
     for field, value in clauses:
         column, kind = resolve_field(field)
-        if kind != "text":
+        if kind == "text":
+            asked = [_relevance(column, w, words[column].index(w)) for w in dict.fromkeys(tokens_of(str(value)))]
+            parts.append(F.expr(f"coalesce({' + '.join(asked)}, 0D)") if asked else F.lit(0.0))
+        else:
             parts.append(F.coalesce(match(field, value), F.lit(False)).cast("double"))
-    parts += list(relevance.values())
     if not clauses and not _given(ranges):
         parts = [F.lit(0.0 if _given(must_not) else 1.0)]
     return scored.withColumn("score", reduce(Column.__add__, parts)).drop("_stats")
 
 
-def _best(hits: DataFrame, size: int, scored: bool) -> DataFrame:
-    """The first ``size`` rows by score (if any) and id.
-
-    A plain top-k hands ``size`` full rows of every partition to one task. For
-    many rows per answer the hits are first counted per score and block of ids;
-    the blocks that make up the answer are found on that small table, and only
-    their rows (at most ``size`` plus one block) are ordered.
-    """
-    order = [F.desc("score"), F.asc("id")] if scored else [F.asc("id")]
-    if size <= _PLAIN_TOP:
-        return hits.orderBy(*order).limit(size)
-    score = "score" if scored else "0D"
-    blocks = (
-        hits.selectExpr(f"{score} AS score", f"shiftright(id, {_BLOCK_BITS}) AS block")
-        .groupBy("score", "block")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("score"), F.asc("block"))
-        .limit(size)
-    )
-    upto = "sum(n) OVER (ORDER BY score DESC, block ROWS UNBOUNDED PRECEDING) AS upto"
-    last = (
-        blocks.selectExpr("*", upto)
-        .where(F.col("upto") - F.col("n") < size)
-        .agg(F.max_by(F.struct("score", "block"), "upto"))
-        .scalar()
-    )
-    here = f"struct(-({score}), shiftright(id, {_BLOCK_BITS}))"
-    wanted = hits.withColumn("_last", last).where(f"{here} <= struct(-_last.score, _last.block)")
-    return wanted.drop("_last").orderBy(*order).limit(size)
-
-
 def search(
     df: DataFrame,
     must: Mapping[str, object] | None = None,
     must_not: Mapping[str, object] | None = None,
     should: Mapping[str, object] | None = None,
     ranges: Mapping[str, Mapping[str, object]] | None = None,
-    size: int = MAX_HITS,
-    scored: bool = False,
+    size: int | None = None,
+    scored: bool = True,
 ) -> DataFrame:
-    """At most ``size`` matching rows, best score first, then lowest id."""
+    """The matching rows with their ``score``.
+
+    Without ``size`` these are all of them, in no order. With it, the ``size`` best ones, ties by the lowest id;
+    ``scored=False`` spares the scores and takes the lowest ids.
+    """
     wanted = condition(must, must_not, should, ranges)
-    if not scored:
-        return _best(df.where(wanted), size, scored=False)
-    return _best(with_score(df, must, should, ranges, must_not).where(wanted), size, scored=True)
+    hits = (with_score(df, must, should, ranges, must_not) if scored else df).where(wanted)
+    if size is None:
+        return hits
+    return hits.orderBy(*[F.desc("score")] * scored, F.asc("id")).limit(size)
 
 
 def search_total(df: DataFrame, **conditions) -> DataFrame:
-    """One row: number of matching rows, exact and capped as a search response reports it."""
-    return df.where(condition(**conditions)).selectExpr(
-        f"least(count(1), {TOTAL_CAP}L) AS total", "count(1) AS total_exact"
-    )
+    """One row: the number of matching rows."""
+    return df.where(condition(**conditions)).agg(F.count(F.lit(1)).alias("total"))
 
 
 def search_arrival_day(df: DataFrame, day: object | None = None, **conditions) -> DataFrame:

@@ -22,16 +22,17 @@ def latest(df: DataFrame, key: str, order_by: str | None = None) -> DataFrame:
 
 
 def upsert(
-    base: DataFrame, updates: DataFrame, key: str = "id", order_by: str | None = None
+    base: DataFrame, updates: DataFrame, key: str = "id", order_by: str | None = None, unique: bool = False
 ) -> DataFrame:
     """Base rows with the fields of matching updates, plus the updates without a base row.
 
     Fields present in ``updates`` overwrite, nulls included; fields absent from it
     are kept. Several updates of one key collapse to the last one by ``order_by``.
+    With ``unique`` the updates hold a key once at most, which spares the collapsing.
     Rows are never deleted. One shuffle per side: collapsing and joining share
     the key's partitioning.
     """
-    sent = latest(updates, key, order_by)
+    sent = updates if unique else latest(updates, key, order_by)
     new = sent.withColumn("_sent", F.lit(True)).alias("u")
     joined = base.alias("b").join(new, key, "full_outer")
     present = F.col("u._sent").isNotNull()

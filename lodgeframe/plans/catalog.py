@@ -21,7 +21,7 @@ from lodgeframe.operators import buckets, cleaning, fulltext, metrics, profiling
 from lodgeframe.operators.upsert import upsert
 from lodgeframe.plans import shaping
 from lodgeframe.plans.reports import REPORTS, report, report_sizes
-from lodgeframe.schema import CLEAN_COLUMNS, OUTLIER_COLUMNS, RAW_COLUMNS, TABLE_COLUMNS
+from lodgeframe.schema import OUTLIER_COLUMNS, RAW_COLUMNS, TABLE_COLUMNS
 from lodgeframe.sources import files, table
 from lodgeframe.sources.workspace import fresh_path
 from lodgeframe.streaming import uploads
@@ -80,9 +80,9 @@ def _(spark, sf_dir):
 @query("scan_latest_file")
 def _(spark, sf_dir):
     folder = fresh_path(spark, "uploads")
-    for year in ("1995", "1996"):
-        part = bookings(spark, sf_dir).where(F.col("arrival_date_year") >= int(year))
-        files.write_clean_csv(part, folder, year)
+    for stamp in ("1", "2"):  # the whole table twice; the upload is told by its marked hotels
+        marked = bookings(spark, sf_dir).withColumn("hotel", F.concat("hotel", F.lit(f" {stamp}")))
+        files.write_clean_csv(marked, folder, stamp)
     return files.read_latest(spark, folder)
 
 
@@ -172,7 +172,7 @@ def _(spark, sf_dir):
 
 @query("sink_search_json")
 def _(spark, sf_dir):
-    hits = search.search(bookings(spark, sf_dir), must={"is_canceled": 1}, size=200)
+    hits = search.search(bookings(spark, sf_dir), must={"is_canceled": 1}, size=200, scored=False)
     path = files.write_hits_json(search.project_hits(hits), fresh_path(spark, "hits"), STAMP)
     return spark.read.schema(schema.CLEAN_SCHEMA).json(path)
 
@@ -180,7 +180,7 @@ def _(spark, sf_dir):
 @query("run_etl")
 def _(spark, sf_dir):
     base = fresh_path(spark, "etl")
-    bookings_raw(spark, sf_dir).drop("id").write.option("header", True).csv(f"{base}/raw")
+    bookings_raw(spark, sf_dir).drop("id").write.options(header=True, escape='"').csv(f"{base}/raw")
     table.run_etl(spark, f"{base}/raw", base, STAMP, f"{base}/table")
     return table.read_bookings(spark, f"{base}/table").drop("id")
 
@@ -207,14 +207,14 @@ def _(spark, sf_dir):
 
 @query("assert_no_nulls")
 def _(spark, sf_dir):
-    filled = cleaning.fill_constants(cleaning.fill_median(bookings_raw(spark, sf_dir)))
-    return cleaning.null_counts(filled).agg(F.sum("nulls").alias("total_nulls"))
+    filled = cleaning.require_no_nulls(cleaning.fill_constants(cleaning.fill_median(bookings_raw(spark, sf_dir))))
+    rows = cleaning.null_gate(bookings_raw(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_rows")).scalar()
+    return cleaning.null_counts(filled).agg(F.sum("nulls").alias("total_nulls")).withColumn("gated_rows", rows)
 
 
 @query("outlier_thresholds")
 def _(spark, sf_dir):
-    filled = cleaning.fill_median(bookings_raw(spark, sf_dir))
-    return rounded(cleaning.outlier_thresholds(filled))
+    return rounded(cleaning.outlier_thresholds(bookings_raw(spark, sf_dir), median_filled=schema.MEDIAN_FILLED))
 
 
 @query("detect_outliers")
@@ -401,14 +401,20 @@ def _(spark, sf_dir):
 
 @query("search_score")
 def _(spark, sf_dir):
-    hits = search.search(_searchable(spark, sf_dir), **_SEARCH, scored=True, size=2000)
+    hits = search.search(_searchable(spark, sf_dir), **_SEARCH, size=2000)
     return rounded(hits.select("id", "score"), 5)
 
 
+@query("search_score_clauses")
+def _(spark, sf_dir):
+    twice = {"must": {"hotel": "City Hotel"}, "should": {"hotel": "city", "adults": 3}}
+    return rounded(search.search(_searchable(spark, sf_dir), **twice).select("id", "score"), 5)
+
+
 @query("project_hits")
 def _(spark, sf_dir):
     docs = table.to_documents(bookings(spark, sf_dir))
-    return rounded(search.project_hits(search.search(docs, must={"adults": 3}, size=100)))
+    return rounded(search.project_hits(search.search(docs, must={"adults": 3}, size=100, scored=False)))
 
 
 @query("search_arrival_day")
@@ -431,7 +437,7 @@ def _(spark, sf_dir):
 
 def _metric(kind: str, field: str) -> Query:
     def run(spark, sf_dir):
-        return rounded(metrics.metric(bookings(spark, sf_dir, field), field, kind))
+        return rounded(metrics.metric(bookings(spark, sf_dir, field), field, kind).drop("field", "type"))
 
     return run
 
@@ -446,7 +452,6 @@ for _kind, _field in {
     "stats": "lead_time",
     "extended_stats": "lead_time",
     "percentiles": "adr",
-    "missing": "children",
 }.items():
     QUERIES[f"metric_{_kind}"] = _metric(_kind, _field)
 QUERIES["metric_mad"] = _metric("median_absolute_deviation", "adr")
@@ -454,7 +459,7 @@ QUERIES["metric_mad"] = _metric("median_absolute_deviation", "adr")
 
 @query("metric_missing")
 def _(spark, sf_dir):
-    return metrics.metric(bookings_raw(spark, sf_dir), "company", "missing")
+    return metrics.metric(bookings_raw(spark, sf_dir), "company", "missing").drop("field", "type")
 
 
 _DYNAMIC = [
@@ -476,7 +481,7 @@ def _dynamic(spark, sf_dir):
 
 @query("dynamic_aggregate")
 def _(spark, sf_dir):
-    return rounded(_dynamic(spark, sf_dir))
+    return rounded(_dynamic(spark, sf_dir).drop("field", "type"))
 
 
 @query("composite")
@@ -506,14 +511,12 @@ def _(spark, sf_dir):
 
 @query("date_histogram")
 def _(spark, sf_dir):
-    clean = bookings(spark, sf_dir, "arrival_date", "lead_time").where("lead_time > 700")
-    return buckets.date_histogram(clean, "arrival_date")
+    return buckets.date_histogram(bookings(spark, sf_dir, "arrival_date"), "arrival_date")
 
 
 @query("date_histogram_nofill")
 def _(spark, sf_dir):
-    clean = bookings(spark, sf_dir, "arrival_date", "lead_time").where("lead_time > 700")
-    return buckets.date_histogram(clean, "arrival_date", fill=False)
+    return buckets.date_histogram(bookings(spark, sf_dir, "arrival_date"), "arrival_date", fill=False)
 
 
 @query("histogram")
@@ -643,7 +646,7 @@ def _(spark, sf_dir):
 
 @query("shape_dynamic_aggregate")
 def _(spark, sf_dir):
-    return rounded(shaping.shape_dynamic_aggregate(_dynamic(spark, sf_dir).where("NOT startswith(agg, 'lead_time_stats')")))
+    return rounded(shaping.shape_dynamic_aggregate(_dynamic(spark, sf_dir)))
 
 
 # --- text --------------------------------------------------------------------
@@ -696,7 +699,7 @@ def _(spark, sf_dir):
 @query("full_text_bookings")
 def _(spark, sf_dir):
     clean = bookings(spark, sf_dir, "id", "country", "hotel")
-    found = fulltext.full_text_matches(clean, "Unitd resor", ["country", "hotel"])
+    found = fulltext.full_text_matches(clean, "Unitd cty", ["country", "hotel"])
     return found.select("id", "country", "hotel")
 
 
@@ -730,5 +733,3 @@ def _(spark, sf_dir):
         ).awaitTermination()
     return rounded(uploads.read_synced(spark, f"{base}/table"))
 
-
-__all__ = ["CLEAN_COLUMNS", "QUERIES", "query", "rounded", "run_report"]

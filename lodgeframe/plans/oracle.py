@@ -256,7 +256,7 @@ def _edit_distance(left: str, right: str) -> str:
 
 
 def _expansions(vocab: str, words) -> str:
-    """CTEs: per word (and field) the 50 nearest vocabulary tokens."""
+    """CTEs: per word (and field) the vocabulary tokens within the allowed edits."""
     values = ", ".join(f"({i}, '{w}')" for i, w in enumerate(words))
     return f"""words(no, word) AS (VALUES {values}),
       pairs AS (
@@ -268,9 +268,7 @@ def _expansions(vocab: str, words) -> str:
              CASE WHEN length(word) <= 2 THEN 0 WHEN length(word) <= 5 THEN 1 ELSE 2 END),
       near AS (SELECT *, {_edit_distance('a', 'b')} AS distance FROM pairs
                WHERE levenshtein(token, word) <= 4 * edits),
-      expanded AS (
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field, word ORDER BY distance, token) AS k
-                       FROM near WHERE distance <= edits) WHERE k <= 50)"""
+      expanded AS (SELECT * FROM near WHERE distance <= edits)"""
 
 
 def _fulltext(source: str, key: str, fields, words) -> str:
@@ -324,7 +322,7 @@ def _build() -> dict[str, str]:
     for name in ("scan_clean_csv", "scan_bookings_table", "bulk_insert", "sync_snapshot"):
         sql[name] = table
     sql["scan_latest_file"] = clean_sql(
-        f"SELECT {', '.join(_TABLE)} FROM clean WHERE arrival_date_year >= 1996"
+        f"SELECT {', '.join(_TABLE)} FROM (SELECT * REPLACE (hotel || ' 2' AS hotel) FROM clean)"
     )
     sql["sink_clean_csv"] = clean_sql("SELECT country, count(*) AS doc_count FROM clean GROUP BY 1")
     sql["append_bookings"] = raw_sql(
@@ -367,7 +365,7 @@ def _build() -> dict[str, str]:
     sql["fill_median"] = imputed_sql("SELECT id, children FROM imputed")
     sql["fill_constant"] = imputed_sql("SELECT id, country, agent, company FROM imputed")
     sql["assert_no_nulls"] = imputed_sql(
-        "SELECT CAST(" + " + ".join(f"(count(*) - count({c}))" for c in _IDS) + " AS BIGINT) AS total_nulls FROM imputed"
+        "SELECT CAST(" + " + ".join(f"(count(*) - count({c}))" for c in _IDS) + " AS BIGINT) AS total_nulls, count(*) AS gated_rows FROM imputed"
     )
     sql["outlier_thresholds"] = imputed_sql(
         """SELECT "column", round(p01, 6) AS p01, round(p99, 6) AS p99,
@@ -479,10 +477,10 @@ def _build() -> dict[str, str]:
         f"NOT coalesce({united}, false) AND {_overlap('hotel', chr(39) + 'city' + chr(39) + ', ' + chr(39) + 'hotel' + chr(39))}"
         f" AND {_MEAL_OR_ADULTS} AND lead_time >= 10 AND lead_time < 300"
     )
-    sql["search"] = _hits(searched, "ORDER BY id LIMIT 10000")
-    sql["search_all"] = _hits("true", "ORDER BY id LIMIT 10000")
+    sql["search"] = _hits(searched)
+    sql["search_all"] = _hits("true")
     sql["search_total"] = clean_sql(
-        "SELECT least(count(*), 10000) AS total, count(*) AS total_exact FROM clean WHERE hotel LIKE '%Hotel'"
+        "SELECT count(*) AS total FROM clean WHERE hotel LIKE '%Hotel'"
     )
     tok = {f: _TOKENS.format(f) for f in ("hotel", "meal")}
     words = {"hotel": ["city", "hotel"], "meal": ["bb"]}
@@ -491,23 +489,29 @@ def _build() -> dict[str, str]:
         + ", ".join(f"count(*) FILTER (list_contains({tok[f]}, '{w}')) AS df_{w}" for w in ws)
         for f, ws in words.items()
     )
-    score = " + ".join(
-        f"""2.2 * {_idf(f'n_{f}', f'df_{w}')} * len(list_filter({tok[f]}, lambda x: x = '{w}'))
+    def relevance(f: str, w: str) -> str:
+        return f"""2.2 * {_idf(f'n_{f}', f'df_{w}')} * len(list_filter({tok[f]}, lambda x: x = '{w}'))
             / (len(list_filter({tok[f]}, lambda x: x = '{w}')) + 1.2 * (0.25 + 0.75 * len({tok[f]}) / avg_{f}))"""
-        for f, ws in words.items()
-        for w in ws
-    )
+
+    score = " + ".join(relevance(f, w) for f, ws in words.items() for w in ws)
     sql["search_score"] = clean_sql(
         f""", st AS (SELECT {stats} FROM clean),
         sc AS (SELECT clean.*, 1.0 + CASE WHEN adults = 3 THEN 1 ELSE 0 END + {score} AS score FROM clean, st)
         SELECT id, round(CAST(score AS DOUBLE), 5) AS score FROM sc WHERE {searched}
         ORDER BY sc.score DESC, id LIMIT 2000"""
     )
+    clauses = " + ".join(relevance("hotel", w) for w in ("city", "hotel", "city"))
+    sql["search_score_clauses"] = clean_sql(
+        f""", st AS (SELECT {stats} FROM clean),
+        sc AS (SELECT clean.*, CASE WHEN adults = 3 THEN 1 ELSE 0 END + {clauses} AS score FROM clean, st)
+        SELECT id, round(CAST(score AS DOUBLE), 5) AS score FROM sc WHERE hotel IS NOT NULL
+          AND (adults = 3 OR list_contains({tok['hotel']}, 'city'))"""
+    )
     sql["project_hits"] = clean_sql(
         f", x AS (SELECT * FROM clean WHERE adults = 3 ORDER BY id LIMIT 100) {_select(CLEAN_COLUMNS, 'x')}"
     )
     sql["search_arrival_day"] = _hits(
-        "arrival_date = (SELECT min(arrival_date) FROM clean)", "ORDER BY id LIMIT 10000"
+        "arrival_date = (SELECT min(arrival_date) FROM clean)"
     )
 
     # aggregations
@@ -552,10 +556,10 @@ def _build() -> dict[str, str]:
         _nested("country", "meal", ", round(avg(adr), 6) AS average_adr", ", r.average_adr", "country_doc_count", 5, 2)
     )
     sql["date_histogram"] = clean_sql(
-        f"{_months('lead_time > 700')} SELECT s.m AS month, coalesce(n, 0) AS doc_count FROM s LEFT JOIN h USING (m)"
+        f"{_months()} SELECT s.m AS month, coalesce(n, 0) AS doc_count FROM s LEFT JOIN h USING (m)"
     )
     sql["date_histogram_nofill"] = clean_sql(
-        f"SELECT {_MONTH} AS month, count(*) AS doc_count FROM clean WHERE lead_time > 700 GROUP BY 1"
+        f"SELECT {_MONTH} AS month, count(*) AS doc_count FROM clean GROUP BY 1"
     )
     sql["histogram"] = clean_sql(
         """SELECT CAST(floor(lead_time / 10) * 10 AS DOUBLE) AS bucket, count(*) AS doc_count,
@@ -662,7 +666,7 @@ def _build() -> dict[str, str]:
         f""", d AS ({_DYNAMIC})
         SELECT CASE WHEN doc_count IS NULL THEN regexp_replace(agg, '^(.*)_([a-z]+)$', '\\1 (\\2)') ELSE agg END AS label,
           key, coalesce(CAST(doc_count AS DOUBLE), value) AS value
-        FROM d WHERE agg <> 'lead_time_stats'"""
+        FROM d"""
     )
 
     sql["group_revenue_series"] = _shaped(
@@ -693,10 +697,10 @@ def _build() -> dict[str, str]:
         " ORDER BY matched.score DESC, id LIMIT 10"
     )
     sql["full_text_total"] = (
-        f"{found} SELECT least(count(*), 10000) AS total, count(*) AS total_exact FROM matched"
+        f"{found} SELECT count(*) AS total FROM matched"
     )
     sql["full_text_bookings"] = clean_sql(
-        f""", {_fulltext('clean', 'id', ['country', 'hotel'], ['unitd', 'resor'])}
+        f""", {_fulltext('clean', 'id', ['country', 'hotel'], ['unitd', 'cty'])}
         SELECT id, country, hotel FROM clean WHERE id IN (SELECT id FROM matched)"""
     )
     sql["suggest"] = clean_sql(

@@ -23,7 +23,6 @@ from lodgeframe.operators.buckets import (
     nested_top,
     top,
     top_then_months,
-    top_within,
 )
 from lodgeframe.sources.workspace import checkpointed
 
@@ -59,29 +58,30 @@ def _months_as_text(df: DataFrame) -> DataFrame:
 
 def _repeat_guests(groups: DataFrame) -> DataFrame:
     guest = "is_repeated_guest"
-
-    def section(label: str, key: str | None) -> DataFrame:
-        by = [guest] if key is None else [guest, key]
-        counted = groups.groupBy(*by).agg(
-            F.sum("doc_count").alias("doc_count"),
-            F.expr("try_divide(sum(lead_time_sum), sum(lead_time_count))").alias("lead"),
-        )
-        rows = counted if key is None else top_within(counted, [guest], key)
-        return rows.selectExpr(
-            guest,
-            f"'{label}' AS section",
-            f"CAST({key or 'NULL'} AS string) AS key",
-            "doc_count",
-            f"{'lead' if key is None else 'CAST(NULL AS double)'} AS average_lead_time",
-        )
-
-    summary = section("summary", None)
-    kept = top(summary, guest, 2)
-    parts = reduce(
-        DataFrame.unionByName, [summary, section("country", "country"), section("hotel", "hotel")]
+    keys = [F.col(guest), F.col("country"), F.col("hotel")]
+    # All three sections from one use of the grouped table.
+    counted = groups.where(F.col(guest).isNotNull()).groupingSets([[guest], [guest, "country"], [guest, "hotel"]], *keys).agg(
+        F.grouping("country").alias("no_country"),
+        F.grouping("hotel").alias("no_hotel"),
+        F.sum("doc_count").alias("doc_count"),
+        F.expr("try_divide(sum(lead_time_sum), sum(lead_time_count))").alias("lead"),
+    )
+    sections = counted.selectExpr(
+        guest,
+        "CASE WHEN no_country = 0 THEN 'country' WHEN no_hotel = 0 THEN 'hotel' ELSE 'summary' END AS section",
+        "coalesce(country, hotel) AS key",
+        "doc_count",
+        "IF(no_country = 1 AND no_hotel = 1, lead, NULL) AS average_lead_time",
+    ).where("section = 'summary' OR key IS NOT NULL")
+    rank = f"row_number() OVER (PARTITION BY {guest}, section ORDER BY doc_count DESC, key) AS _rank"
+    kept = sections.selectExpr("*", rank).where(F.col("_rank") <= 10).drop("_rank")
+    # At most 21 rows for each value; the two values with most rows stay.
+    by_guest = kept.groupBy(guest).agg(
+        F.max(F.expr("IF(section = 'summary', doc_count, NULL)")).alias("_total"),
+        F.collect_list(F.struct("section", "key", "doc_count", "average_lead_time")).alias("_rows"),
     )
-    # ``kept`` has two rows.
-    return parts.join(F.broadcast(kept.select(guest)), guest, "left_semi")
+    best = by_guest.orderBy(F.desc("_total"), F.asc(guest)).limit(2)
+    return best.select(guest, F.explode("_rows").alias("_row")).select(guest, "_row.*")
 
 
 REPORTS: dict[str, Report] = {

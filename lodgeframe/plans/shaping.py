@@ -162,10 +162,7 @@ def report_payload(name: str, df: DataFrame) -> DataFrame:
 def shape_dynamic_aggregate(df: DataFrame) -> DataFrame:
     """Ad-hoc results for display: term rows keep key and count, metrics get a label."""
     return df.selectExpr(
-        """if(doc_count IS NULL,
-              concat(regexp_extract(agg, '^(.*)_([a-z]+)$', 1), ' (',
-                     regexp_extract(agg, '^(.*)_([a-z]+)$', 2), ')'),
-              agg) AS label""",
+        "if(doc_count IS NULL, concat(field, ' (', type, ')'), agg) AS label",
         "key",
         "coalesce(double(doc_count), value) AS value",
     )

@@ -5,42 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.schema import CLEAN_COLUMNS, CLEAN_SCHEMA, NA_TOKENS, RAW_COLUMNS, TABLE_COLUMNS, all_strings
+from lodgeframe.schema import NA_TOKENS, RAW_COLUMNS, TABLE_COLUMNS, all_strings
 
 _TOKENS = ", ".join(f"'{t}'" for t in NA_TOKENS)
 
 
 def parse_cells(df: DataFrame, columns: dict[str, str] = RAW_COLUMNS) -> DataFrame:
-    """Typed columns from text cells; null tokens and cells of the wrong type become null."""
+    """Typed columns from text cells. Null tokens become null; any other cell of the wrong type fails the job."""
 
-    # Short on purpose: later steps repeat these expressions. Null tokens are not
-    # numbers or dates, so a failed cast covers them; only NaN needs care.
     def typed(c: str) -> str:
-        kind = columns[c]
-        if kind == "string":
-            return f"IF(`{c}` IN ({_TOKENS}), NULL, `{c}`) AS `{c}`"
-        if kind in ("int", "bigint"):
-            # Whole numbers may be written with a fraction of zero.
-            return rf"try_cast(regexp_replace(`{c}`, r'\.0*$', '') AS {kind}) AS `{c}`"
-        if kind == "double":
-            return f"nullif(try_cast(`{c}` AS double), double('NaN')) AS `{c}`"
-        return f"try_cast(`{c}` AS {kind}) AS `{c}`"
+        return f"CAST({_cell(c, columns[c])} AS {columns[c]}) AS `{c}`"
 
     return df.selectExpr(*[typed(c) for c in columns if c in df.columns])
 
 
+def cell_rejects(df: DataFrame, columns: dict[str, str] = RAW_COLUMNS) -> DataFrame:
+    """The rows of text cells that :func:`parse_cells` would fail on, with the offending column names."""
+    bad = ", ".join(
+        f"IF(try_cast({_cell(c, t)} AS {t}) IS NULL AND {_cell(c, t)} IS NOT NULL, '{c}', NULL)"
+        for c, t in columns.items()
+        if c in df.columns
+    )
+    return df.selectExpr("*", f"array_compact(array({bad})) AS bad_columns").where("size(bad_columns) > 0")
+
+
+def _cell(c: str, kind: str) -> str:
+    # Whole numbers may be written with a fraction of zero.
+    text = rf"regexp_replace(`{c}`, r'\.0*$', '')" if kind in ("int", "bigint") else f"`{c}`"
+    return f"IF(`{c}` IN ({_TOKENS}), NULL, {text})"
+
+
+def read_cells(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The cells of CSV files as text. Quotes inside quoted cells are doubled, and every file must have this header."""
+    reader = spark.read.schema(all_strings(columns)).options(header=True, escape='"', enforceSchema=False)
+    return reader.csv(path)
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV upload (reads one line)."""
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(header=True, escape='"').csv(path).columns
 
 
 def read_bookings_csv(spark: SparkSession, path: str) -> DataFrame:
     """An uploaded bookings file: 32 columns, with or without a leading ``id``.
 
-    Everything is read as text with a fixed schema, so no inference pass is needed.
+    Everything is read as text with a fixed schema, so no inference pass is needed. Columns go by the header,
+    in any order; files of one folder must share it, else the job fails.
     """
     header = csv_header(spark, path)
-    cells = spark.read.schema(all_strings(header)).option("header", True).csv(path)
+    cells = read_cells(spark, path, header)
     known = {c: t for c, t in {"id": "bigint", **RAW_COLUMNS}.items() if c in header}
     missing = [c for c in RAW_COLUMNS if c not in header]
     if missing:
@@ -49,25 +62,20 @@ def read_bookings_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A cleaned bookings file, strictly typed: a bad number or date fails the job.
+    """A cleaned bookings file, strictly typed: a bad or empty number or date fails the job.
 
     An empty country cell is the empty text, not null.
     """
     header = csv_header(spark, path)
     known = {c: t for c, t in TABLE_COLUMNS.items() if c in header}
-    cells = spark.read.schema(all_strings(header)).option("header", True).csv(path)
-    return cells.selectExpr(
-        *[
-            f"coalesce(`{c}`, '') AS `{c}`" if t == "string" else f"CAST(`{c}` AS {t}) AS `{c}`"
-            for c, t in known.items()
-        ]
-    )
+    cells = read_cells(spark, path, header)
+    return cells.selectExpr(*[f"CAST(coalesce(`{c}`, '') AS {t}) AS `{c}`" for c, t in known.items()])
 
 
 def write_clean_csv(df: DataFrame, base: str, timestamp: str) -> str:
     """Write cleaned rows as CSV under a timestamped folder name and return it."""
     path = f"{base}/hotel_bookings_clean_{timestamp}"
-    df.write.option("header", True).option("emptyValue", "").csv(path)
+    df.write.options(header=True, emptyValue="", escape='"').csv(path)
     return path
 
 
@@ -100,15 +108,3 @@ def write_hits_json(df: DataFrame, folder: str, timestamp: str) -> str:
     df.write.json(path)
     return path
 
-
-__all__ = [
-    "CLEAN_COLUMNS",
-    "CLEAN_SCHEMA",
-    "latest_upload",
-    "parse_cells",
-    "read_bookings_csv",
-    "read_clean_csv",
-    "read_latest",
-    "write_clean_csv",
-    "write_hits_json",
-]

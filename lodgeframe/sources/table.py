@@ -63,7 +63,7 @@ def with_new_ids(df: DataFrame, first: int) -> DataFrame:
     )
     # The lower 33 bits of a monotonically increasing id count within the partition.
     position = f"{first}L + _offset + (_at & ((1L << 33) - 1)) AS id"
-    return rows.join(F.broadcast(offsets), "_part").selectExpr(position, *df.columns)
+    return rows.join(offsets, "_part").selectExpr(position, *df.columns)
 
 
 def append_bookings(df: DataFrame, table: str) -> None:
@@ -128,6 +128,6 @@ def sync(spark: SparkSession, source: str, current: str | None, target: str) ->
     old copy in place, so no part of the table is skipped.
     """
     table = read_bookings(spark, source)
-    synced = table if current is None else upsert(read_bookings(spark, current), table)
+    synced = table if current is None else upsert(read_bookings(spark, current), table, unique=True)
     synced.write.mode("errorifexists").parquet(target)
     return read_bookings(spark, target)

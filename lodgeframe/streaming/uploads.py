@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,8 +12,7 @@ from lodgeframe.operators.cleaning import clean
 from lodgeframe.operators.upsert import latest
 from lodgeframe.schema import RAW_COLUMNS, TABLE_COLUMNS, TABLE_SCHEMA, all_strings
 from lodgeframe.sources.files import parse_cells
-
-_UPLOAD_COLUMNS = {"id": "bigint", **RAW_COLUMNS}
+from lodgeframe.sources.table import with_new_ids
 
 
 def start_upload_sync(
@@ -21,8 +22,13 @@ def start_upload_sync(
     checkpoint: str,
     every: str | None = "1 hour",
     files_per_batch: int | None = 1,
+    with_ids: bool = True,
 ) -> StreamingQuery:
-    """Clean every uploaded file (id + 32 columns) and store its rows as a new version.
+    """Clean every uploaded file and store its rows as a new version.
+
+    Files hold ``id`` and the 32 columns; with ``with_ids=False`` just these, and rows get the next free ids. Their headers
+    must have the columns in this order. A row without an id, or a cell of the wrong type, fails the batch. Of several
+    rows of one id in a batch the last one counts, in the order of files and rows.
 
     Cleaning statistics are those of one micro-batch, by default one file; with
     ``files_per_batch=None`` all new files (say, the parts of one upload). A batch
@@ -30,15 +36,21 @@ def start_upload_sync(
     batch changes nothing. Uploads cost their own size: the table is not rewritten.
     ``every=None`` handles the files present and stops.
     """
-    reader = spark.readStream.schema(all_strings(_UPLOAD_COLUMNS)).option("header", True)
+    columns = {"id": "bigint", **RAW_COLUMNS} if with_ids else dict(RAW_COLUMNS)
+    reader = spark.readStream.schema(all_strings(columns)).options(header=True, escape='"', enforceSchema=False)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     uploads = reader.csv(folder)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        cleaned = clean(parse_cells(batch, _UPLOAD_COLUMNS))
-        rows = latest(cleaned, "id").select(*TABLE_COLUMNS)
-        rows.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        cleaned = clean(parse_cells(batch, columns))
+        if with_ids:
+            given = "coalesce(id, raise_error('a booking has no id')) AS id"
+            ordered = cleaned.selectExpr(given, *[c for c in cleaned.columns if c != "id"], "monotonically_increasing_id() AS _at")
+            rows = latest(ordered, "id", "_at")
+        else:
+            rows = with_new_ids(cleaned, _last_id(spark, table, batch_id) + 1)
+        rows.select(*TABLE_COLUMNS).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return (
@@ -49,15 +61,32 @@ def start_upload_sync(
     )
 
 
-def read_synced(spark: SparkSession, table: str) -> DataFrame:
-    """The current table: of every booking the version of the latest batch."""
-    versions = spark.read.option("basePath", table).schema(
+def _versions(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.option("basePath", table).schema(
         T.StructType([*TABLE_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
     ).parquet(table)
-    return latest(versions, "id", "batch_id").select(*TABLE_COLUMNS)
+
+
+def _last_id(spark: SparkSession, table: str, batch_id: int) -> int:
+    """The greatest id that batches before this one have stored, so that a repeated batch gives the same ids."""
+    try:
+        earlier = _versions(spark, table).where(F.col("batch_id") < batch_id)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in (error.getCondition() or ""):
+            return 0
+        raise
+    return earlier.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
+
+
+def read_synced(spark: SparkSession, table: str) -> DataFrame:
+    """The current table: of every booking the version of the latest batch."""
+    return latest(_versions(spark, table), "id", "batch_id").select(*TABLE_COLUMNS)
 
 
 def compact(spark: SparkSession, table: str, target: str) -> DataFrame:
-    """Write the current table as plain Parquet, one row per booking."""
-    read_synced(spark, table).write.mode("errorifexists").parquet(target)
-    return spark.read.schema(TABLE_SCHEMA).parquet(target)
+    """Write the current table as plain Parquet, one row per booking, and read it.
+
+    The rows lie in a folder ``batch_id=-1`` of ``target``, so a sync may go on there with new batches.
+    """
+    read_synced(spark, table).write.mode("errorifexists").parquet(f"{target}/batch_id=-1")
+    return read_synced(spark, target)

@@ -42,9 +42,9 @@ def test_null_gate_names_the_column(spark):
     df = raw(spark, [{}, {"meal": None}])
     with pytest.raises(ValueError, match="meal"):
         cleaning.require_no_nulls(df)
-    with pytest.raises(Exception, match="null value in meal"):
+    with pytest.raises(Exception, match="null values left in: meal"):
         cleaning.clean(df).collect()
-    assert values(cleaning.clean(df, columns=["hotel"])) == ["City Hotel"] * 2
+    assert values(cleaning.clean(df, columns=["hotel"], gate=False)) == ["City Hotel"] * 2
 
 
 def test_clean_data_passes_unchanged(spark):
@@ -102,3 +102,14 @@ def test_statistics_are_one_scan(spark, tmp_path):
     final = limits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
     assert sorted(values(limits, "column")) == sorted(OUTLIER_COLUMNS)
+
+
+def test_no_use_of_cleaned_rows_leaves_the_gate_out(spark):
+    dirty = cleaning.clean(raw(spark, [{}, {"hotel": None}]))
+    for use in (lambda: dirty.count(), lambda: dirty.selectExpr("avg(adr)").first(), lambda: dirty.select("meal").collect()):
+        with pytest.raises(Exception, match="null values left in: hotel"):
+            use()
+    pruned = cleaning.clean(raw(spark, [{}, {"hotel": None}]), columns=["adr"])
+    with pytest.raises(Exception, match="hotel"):
+        pruned.collect()
+    assert cleaning.clean(raw(spark, [{}, {"hotel": None}]), columns=["adr"], gate=False).count() == 2

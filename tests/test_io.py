@@ -1,6 +1,7 @@
 import os
 import time
 
+import pytest
 from rows import raw, table, values
 
 from lodgeframe.operators.upsert import upsert
@@ -96,3 +97,92 @@ def test_streamed_uploads_equal_the_batch_and_restart_changes_nothing(spark, tmp
     assert sorted(values(run(), "id", "adr")) == [(0, 2.0), (1, 1.0)]
     compacted = uploads.compact(spark, str(tmp_path / "table"), str(tmp_path / "compact"))
     assert compacted.count() == 2
+
+
+def test_bad_cells_fail_and_are_reported(spark, tmp_path):
+    header = list(RAW_COLUMNS)
+    row = dict(zip(header, map(str, values(raw(spark, [{}]))[0])))
+    for column, cell in (("children", "abc"), ("lead_time", "1.5"), ("agent", "x1")):
+        path = tmp_path / f"{column}.csv"
+        path.write_text(",".join(header) + "\n" + ",".join({**row, column: cell}.values()) + "\n")
+        with pytest.raises(Exception):
+            files.read_bookings_csv(spark, str(path)).collect()
+        cells = files.read_cells(spark, str(path), header)
+        assert values(files.cell_rejects(cells), "bad_columns") == [[column]]
+
+
+def test_quotes_and_headers_in_any_order(spark, tmp_path):
+    header = list(RAW_COLUMNS)[::-1]
+    row = dict(zip(RAW_COLUMNS, map(str, values(raw(spark, [{}]))[0])))
+    row["hotel"] = '"The ""City"" Hotel, old"'
+    path = tmp_path / "up.csv"
+    path.write_text(",".join(header) + "\n" + ",".join(row[c] for c in header) + "\n")
+    got = files.read_bookings_csv(spark, str(path))
+    assert values(got, "hotel") == ['The "City" Hotel, old'] and got.columns == list(RAW_COLUMNS)
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text(path.read_text())
+    (folder / "b.csv").write_text(",".join(RAW_COLUMNS) + "\n" + ",".join(row[c] for c in RAW_COLUMNS) + "\n")
+    with pytest.raises(Exception):
+        files.read_bookings_csv(spark, str(folder)).collect()
+    clean = table(spark, [{"hotel": 'A "quoted", name', "country": ""}])
+    copy = files.write_clean_csv(clean, str(tmp_path / "clean"), "1")
+    assert values(files.read_clean_csv(spark, copy), "hotel", "country") == [('A "quoted", name', "")]
+
+
+def test_an_empty_number_in_a_clean_file_fails(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("hotel,lead_time\nx,\n")
+    with pytest.raises(Exception):
+        files.read_clean_csv(spark, str(tmp_path / "c.csv")).collect()
+
+
+def _write_csv(spark, path, rows, ids=None):
+    df = raw(spark, rows)
+    lines = [",".join([*(["id"] if ids else []), *df.columns])]
+    for k, row in enumerate(values(df)):
+        lines.append(",".join([*([ids[k]] if ids else []), *map(str, row)]))
+    path.write_text("\n".join(lines) + "\n")
+
+
+def _sync(spark, tmp_path, **options):
+    uploads.start_upload_sync(
+        spark, str(tmp_path / "up"), str(tmp_path / "table"), str(tmp_path / "checkpoint"), every=None, **options
+    ).awaitTermination()
+    return uploads.read_synced(spark, str(tmp_path / "table"))
+
+
+def test_three_batches_with_updates_and_inserts_then_compaction(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    batches = [(["1", "2", "2"], [5.0, 6.0, 7.0]), (["2", "3"], [8.0, 9.0]), (["4", "1"], [1.0, 2.0])]
+    for n, (ids, prices) in enumerate(batches):
+        _write_csv(spark, tmp_path / "up" / f"{n}.csv", [{"adr": p} for p in prices], ids)
+        got = _sync(spark, tmp_path)
+    assert sorted(values(got, "id", "adr")) == [(1, 2.0), (2, 8.0), (3, 9.0), (4, 1.0)]
+    compacted = uploads.compact(spark, str(tmp_path / "table"), str(tmp_path / "compact"))
+    table(spark, [{"id": 3, "adr": 99.0}]).write.parquet(str(tmp_path / "compact" / "batch_id=7"))
+    again = uploads.read_synced(spark, str(tmp_path / "compact"))
+    assert sorted(values(again, "id", "adr")) == [(1, 2.0), (2, 8.0), (3, 99.0), (4, 1.0)]
+    assert compacted.columns == list(TABLE_COLUMNS)
+
+
+def test_uploads_without_ids_get_the_next_ones(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    for n in range(2):
+        _write_csv(spark, tmp_path / "up" / f"{n}.csv", [{"adr": float(n)}, {"adr": float(n)}])
+        got = _sync(spark, tmp_path, with_ids=False)
+    assert sorted(values(got, "id", "adr")) == [(1, 0.0), (2, 0.0), (3, 1.0), (4, 1.0)]
+
+
+def test_a_row_without_an_id_fails_its_batch(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    _write_csv(spark, tmp_path / "up" / "0.csv", [{}, {}], ["1", ""])
+    with pytest.raises(Exception, match="no id"):
+        _sync(spark, tmp_path)
+
+
+def test_sync_updates_inserts_and_keeps(spark, tmp_path):
+    source, first, second = (str(tmp_path / n) for n in ("t", "1", "2"))
+    table(spark, [{"id": 1, "adr": 1.0}, {"id": 2, "adr": 2.0}]).write.parquet(first)
+    table(spark, [{"id": 2, "adr": 9.0}, {"id": 3, "adr": 3.0}]).write.parquet(source)
+    got = store.sync(spark, source, first, second)
+    assert sorted(values(got, "id", "adr")) == [(1, 1.0), (2, 9.0), (3, 3.0)]

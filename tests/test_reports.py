@@ -16,6 +16,11 @@ def stored(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
+@pytest.mark.parametrize("name", list(REPORTS))
+def test_a_report_reads_the_table_once(stored, name):
+    assert report(name, stored)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_shared_pass_equals_single_reports(stored):
     together = all_reports(stored)
     assert list(together) == list(REPORTS)

@@ -60,7 +60,7 @@ def test_matches_equal_brute_force(spark):
             ):
                 want.append(i)
         assert sorted(values(fulltext.full_text_matches(df, query, ["text"]), "id")) == want
-        assert values(fulltext.full_text_total(df, query, ["text"])) == [(len(want), len(want))]
+        assert values(fulltext.full_text_total(df, query, ["text"])) == [len(want)]
 
 
 def test_suggestions(spark):
@@ -74,3 +74,20 @@ def test_suggestions(spark):
 def test_clean_markdown(spark):
     df = spark.createDataFrame([("```markdown\n# A\n## B\n```",)], "text string")
     assert values(df.select(clean_markdown("text"))) == ["\n### A\n###### B\n"]
+
+
+def test_more_than_fifty_near_tokens_are_all_found(spark):
+    words = [a + b + "otel" for a in "abcdefgh" for b in "abcdefghij"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(999, "hotel inn")], "id long, text string")
+    near = [i for i, w in enumerate(words) if brute_distance(w, "hotel") <= 1]
+    far = [i for i, w in enumerate(words) if brute_distance(w, "aaotel") <= 2]
+    assert len(far) > 10 and values(fulltext.full_text_total(df, "hotel", ["text"])) == [len(near) + 1]
+    many = [f"{a}{b}tel" for a in "bcdfghjk" for b in "abcdefghijk"]
+    df = spark.createDataFrame(list(enumerate(many)), "id long, text string")
+    want = [i for i, w in enumerate(many) if brute_distance(w, "hotelx") <= 2]
+    assert len(want) > 8
+    assert sorted(values(fulltext.full_text_matches(df, "hotelx", ["text"]), "id")) == want
+    vocab = fulltext.vocabulary(df, ["text"], ["aotel"])
+    assert fulltext.expand_terms(vocab, ["aotel"]).count() == sum(brute_distance(w, "aotel") <= 1 for w in many)
+    scored = values(fulltext.full_text_search(df, "hotelx", ["text"], size=500), "id")
+    assert sorted(scored) == want
