@@ -4,8 +4,9 @@ The built-in exact ``percentile`` ships every distinct value of a column to one
 task. Here values are first counted (partial + final aggregation on
 ``(column, value)``, so a hot value is combined before the shuffle). Counts are
 then summed over value buckets whose number is bounded by the number format, the
-bucket holding each wanted rank is found on that small table, and only the values
-of those buckets are ordered.
+bucket holding each wanted rank is found on that small table. A column whose values
+lie close together has them all in one bucket, so wanted buckets are cut once more, evenly
+between their least and greatest value, and only the values of the parts with a wanted rank are ordered.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 # never has more than 1.5 million buckets even over the whole double range.
 _BUCKETS_PER_LOG = 1000
 _NULL_BUCKET = -(2**31)
+# Parts of a wanted bucket.
+_PARTS = 4096
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -64,6 +67,8 @@ def order_statistics(
     spans = sums.selectExpr(
         "column",
         "bucket",
+        "bucket_min",
+        "bucket_max",
         f"sum({present}) OVER (PARTITION BY column ORDER BY bucket"
         " ROWS UNBOUNDED PRECEDING) AS stop",
         f"{present} AS present",
@@ -93,11 +98,27 @@ def order_statistics(
         """explode(array_distinct(filter(array_union(array(low_mid, high_mid), ends),
              r -> r >= stop - present AND r < stop))) AS rank""",
     )
+    part = f"floor((value - bucket_min) / (bucket_max - bucket_min) * {_PARTS})"
+    inside = counts.join(F.broadcast(wanted), ["column", "bucket"]).selectExpr(
+        "*", f"IF(bucket_max > bucket_min, {part}, 0L) AS part"
+    )
+    # At most _PARTS rows for each wanted rank, of which one stays.
+    parts = (
+        inside.groupBy("column", "rank", "part")
+        .agg(F.sum("n").alias("part_n"), F.first(F.col("stop") - F.col("present")).alias("first"))
+        .selectExpr(
+            "*",
+            "first + sum(part_n) OVER (PARTITION BY column, rank ORDER BY part"
+            " ROWS UNBOUNDED PRECEDING) - part_n AS before",
+        )
+        .where("before <= rank AND before + part_n > rank")
+        .select("column", "rank", "part", "before")
+    )
     reached = (
-        counts.join(F.broadcast(wanted), ["column", "bucket"])
+        inside.join(F.broadcast(parts), ["column", "rank", "part"])
         .selectExpr(
             "*",
-            "stop - present + sum(n) OVER (PARTITION BY column, rank ORDER BY value"
+            "before + sum(n) OVER (PARTITION BY column, rank ORDER BY value"
             " ROWS UNBOUNDED PRECEDING) AS reached",
         )
         .where("reached > rank AND reached - n <= rank")

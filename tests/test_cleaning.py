@@ -113,3 +113,12 @@ def test_no_use_of_cleaned_rows_leaves_the_gate_out(spark):
     with pytest.raises(Exception, match="hotel"):
         pruned.collect()
     assert cleaning.clean(raw(spark, [{}, {"hotel": None}]), columns=["adr"], gate=False).count() == 2
+
+
+def test_a_column_within_one_bucket_is_cut_into_parts(spark):
+    n = 200_001
+    df = spark.range(n).selectExpr("double(5000000000 + id) AS x", "double(7) AS y")
+    got = {r["column"]: r for r in order_statistics(value_counts(df, ["x", "y"]), [0.25, 0.333]).collect()}
+    assert got["x"]["median"] == 5_000_100_000
+    assert got["x"]["quantiles"] == [5_000_050_000, pytest.approx(5_000_066_600.0, abs=1e-3)]
+    assert got["y"]["quantiles"] == [7.0, 7.0]
