@@ -53,10 +53,15 @@ def tested(df: DataFrame, hashed: Column, table: DataFrame, blocks: int) -> tupl
 
 def matching(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` is in ``keys`` (one column of that name): the filter first, then an exact join."""
+    return likely(df, key, keys).join(keys, key, "left_semi")
+
+
+def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``keys``, and a few others: what the filter lets through."""
     blocks = filter_blocks(keys.select(F.lit(1)).count())
     table = bitmaps(keys.select(F.xxhash64(key).alias("h")), blocks)
     marked, possible = tested(df, F.xxhash64(key), table, blocks)
-    return marked.where(possible).select(*(f"`{c}`" for c in df.columns)).join(keys, key, "left_semi")
+    return marked.where(possible).select(*(f"`{c}`" for c in df.columns))
 
 
 def without(df: DataFrame, hashed: Column, keys: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodgeframe.llm.bloom import likely
 from lodgeframe.llm.textarrays import mixed, slices
 
 NGRAMS = (3, 4, 5)
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, text: str = "tex
     if not toxic or not clean:
         return none
 
-    counted = _counts(texts.join(marked, key).select("_text", "_label")).toPandas()
+    counted = _counts(likely(texts, key, marked.select(key)).join(marked, key).select("_text", "_label")).toPandas()
     shares = np.ones((2, 1 << BITS))
     shares[1, counted["bucket"]] += counted["toxic"]
     shares[0, counted["bucket"]] += counted["clean"]
@@ -148,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, text: str = "tex
 
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
     share = F.when(F.col("_label") == 1, SAMPLE / toxic).otherwise(SAMPLE / clean)
-    sampled = texts.join(marked.where(place < share * (1 << 30)), key).select("_text", "_label")
+    drawn = marked.where(place < share * (1 << 30))
+    sampled = likely(texts, key, drawn.select(key)).join(drawn, key).select("_text", "_label")
 
     def lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
