@@ -4,7 +4,7 @@ from hashlib import sha256
 import public_tokenizers
 import pytest
 import tiktoken
-from rows import awkward, frame, prose
+from corpus_rows import awkward, frame, prose
 
 from lodgeframe.llm import bpe
 from lodgeframe.llm.queries import PATTERN, RANKS, op4_byte_bpe

@@ -1,5 +1,5 @@
 import pyarrow as pa
-from rows import awkward, frame, prose
+from corpus_rows import awkward, frame, prose
 
 from lodgeframe.llm import decontamination as d
 from lodgeframe.llm.queries import op9_template_decontamination

@@ -4,7 +4,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from rows import awkward, frame, prose
+from corpus_rows import awkward, frame, prose
 
 from lodgeframe.llm import exact_dedup, sharding
 from lodgeframe.llm.queries import op2_lpt_shards, op7_bloom_exact_dedup

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from rows import awkward, frame, prose
+from corpus_rows import awkward, frame, prose
 
 from lodgeframe.llm import near_dedup
 from lodgeframe.llm.components import components

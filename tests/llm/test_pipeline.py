@@ -1,4 +1,4 @@
-from rows import awkward, frame, prose
+from corpus_rows import awkward, frame, prose
 from test_near_dedup import altered
 
 import corpus_pipeline

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from rows import awkward, frame, prose
+from corpus_rows import awkward, frame, prose
 
 from lodgeframe.llm import licence_scan, licences, secrets_scan
 from lodgeframe.llm.queries import op6_trigram_secrets, op8_licence_rules

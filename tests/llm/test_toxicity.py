@@ -2,7 +2,7 @@ import random
 import zlib
 
 from pyspark.sql import functions as F
-from rows import awkward, frame, prose
+from corpus_rows import awkward, frame, prose
 
 from lodgeframe.llm import toxicity
 from lodgeframe.llm.queries import op3_nb_toxicity
