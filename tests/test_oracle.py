@@ -6,6 +6,8 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as contract
+from lodgeframe.plans.catalog import QUERIES
+from lodgeframe.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
 SELECTION = """clean_bookings detect_outliers suppress_outliers_two_sided classify_columns
@@ -19,13 +21,17 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()) if os.environ.get("CHECK_ALL") else SELECTION)
+@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("CHECK_ALL") else SELECTION)
 def test_query_equals_sql(spark, con, name):
-    assert compare(spark, con, SF, contract.queries()[name], contract.oracle_sql()[name]) is None
+    assert compare(spark, con, SF, QUERIES[name], ORACLE[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+
+
+def test_the_contract_registers_them_all():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
