@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 LOWER_BYTES = LOWER.tobytes()
 
 #: Text bytes that are worked on at once; longer single documents are worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
