@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from lodgeframe.llm.textarrays import map_slices, slices
 
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 def byte_characters() -> list[str]:

@@ -109,17 +109,18 @@ def _regression(lists: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray)
     sizes = np.array([len(x) for x in lists])
     lists, labels, sizes = [x for x in lists if len(x)], labels[sizes > 0], sizes[sizes > 0]
     at, firsts = np.concatenate(lists), np.cumsum(sizes) - sizes
-    values = ratios[at]
+    # Single precision: the sample's features are by far the largest thing in the task's memory.
+    values = ratios.astype(np.float32)[at]
     lengths = np.sqrt(np.add.reduceat(values * values, firsts))
-    values /= np.repeat(np.where(lengths > 0, lengths, 1.0), sizes)
+    values /= np.repeat(np.where(lengths > 0, lengths, np.float32(1)), sizes)
     rate = 4.0
     weights, ahead = np.zeros(len(ratios)), np.zeros(len(ratios))
     intercept = ahead_intercept = 0.0
     momentum = 1.0
     for _ in range(STEPS):
-        margin = np.add.reduceat(values * ahead[at], firsts) + ahead_intercept
+        margin = np.add.reduceat(values * ahead.astype(np.float32)[at], firsts) + ahead_intercept
         wrong = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels) / len(labels)
-        slope = np.bincount(at, values * np.repeat(wrong, sizes), minlength=len(ratios)) + PENALTY * ahead
+        slope = np.bincount(at, values * np.repeat(wrong.astype(np.float32), sizes), minlength=len(ratios)) + PENALTY * ahead
         new, new_intercept = ahead - rate * slope, ahead_intercept - rate * wrong.sum()
         following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         step = (momentum - 1) / following
