@@ -17,6 +17,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     if large:
+        # Stored, so that Spark can split the partition of a node with very many neighbours.
+        least = stored(least, "least")
         linked = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         linked = both.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgeframe.llm.bloom import bitmaps, filter_blocks, tested
+from lodgeframe.llm.storage import stored
 from lodgeframe.llm.textarrays import ascii_lower
 
 def duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -45,6 +46,8 @@ def duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     groups = several.groupBy("_text_sha256").agg(
         F.max(f"`{key}`").alias("_keep_id"), F.count(F.lit(1)).alias("_group_size")
     )
+    # Stored, so that the join reads both sides from plain exchanges: only then does Spark split a hot group's partition.
+    groups = stored(groups, "groups")
     kept = F.col(f"`{key}`").eqNullSafe(F.col("_keep_id"))
     joined = several.join(groups, "_text_sha256").select(*own, *added[:-1], kept.alias("_kept"))
     return single.unionByName(joined)

@@ -270,6 +270,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     heads = usable.groupBy("_words").agg(
         F.min("_id").alias("_id"), F.first("_shingles").alias("_shingles"), F.first("_bands").alias("_bands")
     )
+    # Stored, as it is used twice, and as Spark splits a hot class's partition only where a join reads plain exchanges.
+    heads = stored(heads, "heads")
 
     band_rows = heads.select(F.explode("_bands").alias("band"), "_id", "_words", "_shingles")
     counts = band_rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
