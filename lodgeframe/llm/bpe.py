@@ -88,7 +88,7 @@ class PieceEncoder:
     """Ids only: every distinct word goes through the library once while it is remembered.
 
     The pattern has a boundary before each single space and on both sides of each single line feed that stands
-    between other characters, so where a text has no other white space, its words are encoded by
+    between other characters, so where a text has no other white space (no runs, tabs, NBSP, ...), its words are encoded by
     themselves: each with the space or line feed before it. Any other text goes through the library as a whole.
     """
 
@@ -109,7 +109,7 @@ class PieceEncoder:
 
     def ids(self, text: str | None) -> list[int]:
         text = text or ""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if text.split() != text.replace("\n", " ").split(" "):  # runs, white space at an end, or any other kind of it
             return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
         words = text.replace("\n", " \n").split(" ")
         words[0] = "\n" + words[0]

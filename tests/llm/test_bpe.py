@@ -29,6 +29,15 @@ def test_ids_equal_the_other_library(library):
     assert [e.ids for e in bpe.encode_texts(texts, RANKS, PATTERN)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_runs_beside_other_white_space(library):
+    texts = ["a\tb\tc d\n\n", "foo\u00a0bar\u00a0baz qux\n\n\nnext line", "a\r\nb c  d\n\ne\r", "\n\na\x1cb\x1fc", " a\tb", "a\u2028b ", "a\tb  c"]
+    dice = random.Random(5)
+    pool = list("ab1.'") + [" ", "\n"] * 3 + list("\t\r\u00a0\x0b\x1c\x1d\x1e\x1f\x85\u2028\u3000")
+    texts += ["".join(dice.choice(pool) for _ in range(dice.randrange(12))) for _ in range(20000)]
+    encoder = bpe.PieceEncoder(RANKS, PATTERN)
+    assert [encoder.ids(t) for t in texts] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_round_trip_offsets_and_split_characters(spark, library):
     docs = frame(spark, awkward())
     encoded = bpe.encode(docs, RANKS, PATTERN)
