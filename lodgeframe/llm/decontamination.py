@@ -3,7 +3,8 @@
 Every text becomes a sequence of tokens: words in lower case, and typed placeholders for numbers (1,250.5 is one),
 for names (a capital and a small letter, not at the start of a sentence) and for units right after a number.
 Windows of WINDOW tokens (a shorter item: all of it) with LITERALS words or more that are no placeholders are
-hash-joined between documents and benchmark items. Windows that continue each other form an
+hash-joined between documents and benchmark items, and so are all plain windows, of words and numbers as they are in lower
+case, which find copies in another case and items of numbers or names. Windows that continue each other form an
 alignment; its placeholders must map the item's values to the document's one to one, else the
 texts only share a frame. A document is contaminated by an item if one alignment covers COVER tokens, or all
 but two of a shorter item's.
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -116,15 +118,19 @@ def tokens(column: pa.Array) -> Tokens:
     return Tokens(np.where(kind == WORD, hashes, _PLACEHOLDERS[kind]), value, kind, row)
 
 
-def windows(found: Tokens, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of every window with enough words."""
+def windows(found: Tokens, length: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first token of every window with enough words; of every window by its tokens' own values if ``plain``."""
     n = len(found.code) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     factors = mixed(np.arange(1, length + 1, dtype=np.uint64)) | np.uint64(1)
-    hashes = mixed(reduce(np.add, (found.code[k : k + n] * factors[k] for k in range(length))) + np.uint64(length))
-    words = np.concatenate([[0], np.cumsum(found.kind == WORD)])
-    fits = (found.row[:n] == found.row[length - 1 :]) & (words[length:] - words[:n] >= min(LITERALS, length))
+    code = found.value if plain else found.code
+    salt = np.uint64(length + 256 * plain)
+    hashes = mixed(reduce(np.add, (code[k : k + n] * factors[k] for k in range(length))) + salt)
+    fits = found.row[:n] == found.row[length - 1 :]
+    if not plain:
+        words = np.concatenate([[0], np.cumsum(found.kind == WORD)])
+        fits &= words[length:] - words[:n] >= min(LITERALS, length)
     at = np.flatnonzero(fits)
     return hashes[at], at
 
@@ -150,7 +156,7 @@ _SLOT = "array<struct<offset:int,kind:int,value:bigint>>"
 
 
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """(h, length, item, tokens, at, slots) of every window of the benchmark."""
+    """(h, plain, length, item, tokens, at, slots) of every window of the benchmark."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +164,8 @@ def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
                 found = tokens(part.column(1))
                 sizes = np.bincount(found.row, minlength=part.num_rows)
                 firsts = np.cumsum(sizes) - sizes
-                for length in range(LEAST, WINDOW + 1):
-                    hashes, at = windows(found, length)
+                for length, plain in product(range(LEAST, WINDOW + 1), (False, True)):
+                    hashes, at = windows(found, length, plain)
                     row = found.row[at] if len(at) else np.zeros(0, np.int64)
                     fits = (sizes[row] == length) | ((sizes[row] > length) & (length == WINDOW))
                     hashes, at, row = hashes[fits], at[fits], row[fits]
@@ -167,17 +173,18 @@ def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(hashes.astype(np.int64)),
+                                pa.array(np.full(len(at), plain)),
                                 pa.array(np.full(len(at), length, np.int32)),
                                 part.column(0).take(pa.array(row)),
                                 pa.array(sizes[row].astype(np.int32)),
                                 pa.array((at - firsts[row]).astype(np.int32)),
                                 _slots(found, at, length),
                             ],
-                            ["h", "length", "item", "tokens", "at", "slots"],
+                            ["h", "plain", "length", "item", "tokens", "at", "slots"],
                         )
 
     rows = items.select(F.col(f"`{key}`").cast("long").alias("item"), F.col(f"`{text}`").alias("_text"))
-    return rows.mapInArrow(run, f"h long, length int, item long, tokens int, at int, slots {_SLOT}")
+    return rows.mapInArrow(run, f"h long, plain boolean, length int, item long, tokens int, at int, slots {_SLOT}")
 
 
 def _filter(benchmark: DataFrame) -> np.ndarray:
@@ -199,12 +206,12 @@ def row_hash(key: str, text: str) -> Column:
 
 
 def document_windows(df: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, h, place, own) of the documents' windows that may be in the benchmark."""
+    """(doc, h, place, own) of the documents' windows that may be in the benchmark; plain ones need no slots."""
     lengths = sorted(r.length for r in benchmark.select("length").distinct().collect())
     table = df.sparkSession.sparkContext.broadcast(_filter(benchmark))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
+        bits, slot_type = table.value, _slots(tokens(pa.array(["none"])), np.zeros(0, np.int64), 1).type
 
         def isset(places: np.ndarray) -> np.ndarray:
             return (bits[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -213,8 +220,8 @@ def document_windows(df: DataFrame, benchmark: DataFrame, key: str, text: str) -
             for part in slices(batch, "_text"):
                 found = tokens(part.column(1))
                 firsts = np.searchsorted(found.row, np.arange(part.num_rows))
-                for length in lengths:
-                    hashes, at = windows(found, length)
+                for length, plain in product(lengths, (False, True)):
+                    hashes, at = windows(found, length, plain)
                     possible = isset(hashes >> np.uint64(64 - FILTER_BITS))
                     possible[possible] = isset(hashes[possible] & np.uint64((1 << FILTER_BITS) - 1))
                     hashes, at = hashes[possible], at[possible]
@@ -225,7 +232,7 @@ def document_windows(df: DataFrame, benchmark: DataFrame, key: str, text: str) -
                                 part.column(0).take(pa.array(row)),
                                 pa.array(hashes.astype(np.int64)),
                                 pa.array(at - firsts[row]),
-                                _slots(found, at, length),
+                                pa.nulls(len(at), slot_type) if plain else _slots(found, at, length),
                             ],
                             ["doc", "h", "place", "own"],
                         )
@@ -239,35 +246,36 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
     benchmark = stored(item_windows(items, item, question), "benchmark")
     found = document_windows(df, benchmark, key, text)
     # An item that repeats itself: one alignment for each place in the document that the item would begin at.
+    slot = lambda a, g: F.struct(a["kind"].alias("kind"), a["value"].alias("asked"), g.alias("given"))
     hits = found.join(benchmark, "h").select(
-        "doc", "item", (F.col("place") - F.col("at")).alias("begin"), "at", "length", "tokens",
-        F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), (F.col("at") + s["offset"]).alias("at"), s["value"].alias("asked"))).alias("asked"),
-        F.transform("own", lambda s: s["value"]).alias("given"),
+        "doc", "item", (F.col("place") - F.col("at")).alias("begin"), "plain", "tokens",
+        F.sequence("at", F.col("at") + F.col("length") - 1).alias("places"),
+        F.when(F.col("plain"), F.transform("slots", lambda s: slot(s, s["value"])))
+        .otherwise(F.zip_with("slots", F.transform("own", lambda s: s["value"]), slot)).alias("slots"),
     )
+
+    def union(name: str, only: Column) -> Column:
+        return F.array_distinct(F.flatten(F.collect_list(F.when(only, F.col(name)))))
+
+    # Plain windows join the template ones, but what these say alone stays, as plain ones may lie beyond them.
     aligned = hits.groupBy("doc", "item", "begin").agg(
         F.max("tokens").alias("tokens"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("length") - 1))))).alias("covered"),
-        F.array_distinct(
-            F.flatten(
-                F.collect_list(
-                    F.zip_with(
-                        "asked", "given", lambda a, g: F.struct(a["kind"].alias("kind"), a["asked"].alias("asked"), g.alias("given"))
-                    )
-                )
-            )
-        ).alias("slots"),
-    )
+        F.array(
+            *(F.struct(union("places", c).alias("places"), union("slots", c).alias("slots")) for c in (F.lit(True), ~F.col("plain")))
+        ).alias("ways"),
+    ).select("doc", "item", "begin", "tokens", F.explode("ways").alias("way")).select("doc", "item", "begin", "tokens", "way.*")
     asked = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["asked"]))))
     given = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["given"]))))
     consistent = (asked == F.size("slots")) & (given == F.size("slots"))
-    enough = F.col("covered") >= F.least(F.lit(COVER), F.greatest(F.lit(LEAST), F.col("tokens") - 2))
+    covered = F.size("places")
+    enough = covered >= F.least(F.lit(COVER), F.greatest(F.lit(LEAST), F.col("tokens") - 2))
     changed = F.exists("slots", lambda s: s["asked"] != s["given"])
     return (
         aligned.where(consistent & enough)
         .groupBy("doc", "item")
         .agg(
-            F.max("covered").alias("covered"),
-            F.max(F.col("covered") / F.col("tokens")).alias("share"),
+            F.max(covered).alias("covered"),
+            F.max(covered / F.col("tokens")).alias("share"),
             F.min(changed).alias("changed"),
         )
     )

@@ -32,6 +32,21 @@ def test_copies_reparameterised_and_inconsistent(spark):
     assert 4 not in found and 5 not in found and 6 not in found
 
 
+def test_plain_copies_in_any_case_and_of_few_words(spark):
+    marks = [(1, QUESTION), (2, "What is 12 + 35 - 7 * 4?"), (3, "Anna Berta Carla Dora Emma Frida Greta Hanna Irma Julia Karla Lena Maria")]
+    rows = [
+        (1, f"{prose(30, 1)} {QUESTION.lower()} {prose(9, 2)}"),
+        (2, f"{prose(30, 3)} {QUESTION.upper()} {prose(9, 4)}"),
+        (3, f"{prose(30, 5)} {QUESTION.title()} {prose(9, 6)}"),
+        (4, f"{prose(30, 7)}. What is 12 + 35 - 7 * 4? {prose(9, 8)}"),
+        (5, f"{prose(30, 9)} {marks[2][1]} {prose(9, 10)}"),
+        (6, f"{prose(30, 11)}. What is 13 + 35 - 7 * 4? {prose(9, 12)}"),
+        (7, f"{prose(30, 13)} {QUESTION.replace(' Maria', chr(10) + 'Maria')} {prose(9, 14)}"),
+    ]
+    found = answers(d.report(frame(spark, rows), items(spark, marks)))
+    assert found == {1: ([1], False), 2: ([1], False), 3: ([1], False), 4: ([2], False), 5: ([3], False), 7: ([1], False)}
+
+
 def test_short_items_awkward_rows_and_empty_tables(spark):
     short = "Which harbor keeps seven lanterns?"
     rows = awkward() + [(30, f"{prose(20, 1)}. {short} {prose(5, 2)}"), (31, None), (31, short)]
