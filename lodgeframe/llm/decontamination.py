@@ -5,8 +5,9 @@ for names (a capital and a small letter, not at the start of a sentence) and for
 Windows of WINDOW tokens (a shorter item: all of it) with LITERALS words or more that are no placeholders are
 hash-joined between documents and benchmark items, and so are all plain windows, of words and numbers as they are in lower
 case, which find copies in another case and items of numbers or names. Windows that continue each other form an
-alignment; its placeholders must map the item's values to the document's one to one, else the
-texts only share a frame. A document is contaminated by an item if one alignment covers COVER tokens, or all
+alignment; its placeholders must map each of the item's values to one value of the document's, else the
+texts only share a frame (different values may become equal). A document is contaminated by an item if one alignment and those
+that begin at most WINDOW tokens later, as after dropped or inserted words, cover COVER tokens, or all
 but two of a shorter item's.
 
 Before the join a bit table of FILTER_BITS bits, made from the benchmark, drops nearly all windows of the
@@ -26,7 +27,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgeframe.llm.bloom import without
@@ -265,18 +266,22 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
         ).alias("ways"),
     ).select("doc", "item", "begin", "tokens", F.explode("ways").alias("way")).select("doc", "item", "begin", "tokens", "way.*")
     asked = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["asked"]))))
-    given = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["given"]))))
-    consistent = (asked == F.size("slots")) & (given == F.size("slots"))
-    covered = F.size("places")
-    enough = covered >= F.least(F.lit(COVER), F.greatest(F.lit(LEAST), F.col("tokens") - 2))
-    changed = F.exists("slots", lambda s: s["asked"] != s["given"])
+    consistent = asked == F.size("slots")
+    # Each inserted or dropped word shifts what follows to another alignment near by.
+    near = Window.partitionBy("doc", "item").orderBy("begin").rangeBetween(0, WINDOW)
+    whole = F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near))))
+    held = aligned.where(consistent).select(
+        "doc", "item", "tokens", whole.alias("covered"),
+        F.exists(F.flatten(F.collect_list("slots").over(near)), lambda s: s["asked"] != s["given"]).alias("changed"),
+    )
+    enough = F.col("covered") >= F.least(F.lit(COVER), F.greatest(F.lit(LEAST), F.col("tokens") - 2))
     return (
-        aligned.where(consistent & enough)
+        held.where(enough)
         .groupBy("doc", "item")
         .agg(
-            F.max(covered).alias("covered"),
-            F.max(covered / F.col("tokens")).alias("share"),
-            F.min(changed).alias("changed"),
+            F.max("covered").alias("covered"),
+            F.max(F.col("covered") / F.col("tokens")).alias("share"),
+            F.min("changed").alias("changed"),
         )
     )
 

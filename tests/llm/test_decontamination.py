@@ -47,6 +47,20 @@ def test_plain_copies_in_any_case_and_of_few_words(spark):
     assert found == {1: ([1], False), 2: ([1], False), 3: ([1], False), 4: ([2], False), 5: ([3], False), 7: ([1], False)}
 
 
+def test_values_that_become_equal_and_inserted_or_dropped_words(spark):
+    fruit = "There are 3 apples and 5 pears in a basket that someone left near the old wooden door yesterday."
+    edited = "Which of the wooden boats crossed this narrow river before any other boat reached the far shore tonight?"
+    words = edited.split()
+    rows = [
+        (1, f"{prose(30, 1)}. {fruit.replace('3', '4').replace('5', '4')} {prose(9, 2)}"),
+        (2, f"{prose(30, 3)}. {' '.join([*words[:9], 'very', *words[9:]])} {prose(9, 4)}"),
+        (3, f"{prose(30, 5)}. {' '.join(words[:8] + words[9:])} {prose(9, 6)}"),
+        (4, f"{prose(30, 7)}. {' '.join(words[:9])} {prose(60, 8)} {' '.join(words[9:])}"),
+    ]
+    found = answers(d.report(frame(spark, rows), items(spark, [(1, fruit), (2, edited)])))
+    assert found == {1: ([1], True), 2: ([2], False), 3: ([2], False)}
+
+
 def test_short_items_awkward_rows_and_empty_tables(spark):
     short = "Which harbor keeps seven lanterns?"
     rows = awkward() + [(30, f"{prose(20, 1)}. {short} {prose(5, 2)}"), (31, None), (31, short)]
