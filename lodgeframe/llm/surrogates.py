@@ -56,7 +56,7 @@ _PHONE = r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[
 _NAME = rf"(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )(?P<name>{_CAPITAL}(?: {_CAPITAL})?)"
 PATTERN = re.compile("|".join([_MAIL, _CARD, _IP, _PHONE, _NAME]))
 #: A text that this does not match has no entity; it is quick to refuse.
-HINT = re.compile(rf"@|\d\d\d|\d\.\d|(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ")
+HINT = re.compile(rf"@|\+\d|\d\d\d|\d\.\d|(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ")
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:

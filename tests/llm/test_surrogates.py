@@ -1,4 +1,8 @@
+import random
+
+import pytest
 from corpus_rows import awkward, frame, prose
+from regex_samples import samples
 
 from lodgeframe.llm import surrogates as s
 
@@ -16,6 +20,21 @@ def test_entities_of_each_kind():
     assert s.entities(None) == s.entities("") == []
 
 
+@pytest.mark.parametrize("part", [s._MAIL, s._CARD, s._IP, s._PHONE, s._NAME])
+def test_the_hint_refuses_no_entity(part):
+    matched = [t for t in samples(part, random.Random(3), 4000) if s.PATTERN.search(t)]
+    assert len(matched) > 100
+    assert [t for t in matched if not s.HINT.search(t)] == []
+
+
+def test_a_lone_number_in_pairs_is_replaced(spark):
+    rows = [(1, "call +47 22 12 34 56 now"), (2, "call +47-22-12-34-56 now, or a@b.example")]
+    out = {r.doc_id: r for r in s.pseudonymise(frame(spark, rows), KEY).collect()}
+    one, two = out[1]._entities, [e for e in out[2]._entities if e.kind == "phone"]
+    assert len(one) == len(two) == 1 and "22 12 34 56" not in out[1].text
+    assert one[0].surrogate.replace(" ", "") == two[0].surrogate.replace("-", "")
+
+
 def test_replacements_keep_type_and_form(spark):
     rows = [(1, TEXT), (2, f"{prose(50, 1)} KARL.ABBOTT@FIRM.EXAMPLE.ORG {prose(5, 2)} 4111-1111-1111-1111 Г-жа Анна Белов"), (3, prose(30, 3))]
     out = {r.doc_id: r for r in s.pseudonymise(frame(spark, rows), KEY).collect()}
