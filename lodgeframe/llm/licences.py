@@ -82,7 +82,8 @@ LICENCES = [
     ("vim", "vim", "vim licen", r"vim licen[cs]e", None),
     ("sleepycat", "sleepycat", "sleepycat", r"sleepycat licen[cs]e", None),
     ("qpl-1.0", "qpl-1.0", "q public", r"q public licen[cs]e", None),
-    ("odbl-1.0", "odbl-1.0", "open database", rf"open (?:data commons )?database licen[cs]e(?:{_V}1(?:\.0)?)?", r"opendatacommons\.org/licenses/odbl"),
+    ("odbl-1.0", "odbl-1.0", "open database", rf"open database licen[cs]e(?:{_V}1(?:\.0)?)?", r"opendatacommons\.org/licenses/odbl"),
+    ("odbl-1.0", "odbl-1.0", "open data commons", rf"open data commons database licen[cs]e(?:{_V}1(?:\.0)?)?", None),
     ("odc-by-1.0", "odc-by-1.0", "open data commons", r"open data commons attribution licen[cs]e", r"opendatacommons\.org/licenses/by"),
     ("pddl-1.0", "pddl-1.0", "public domain dedication", r"(?:open data commons )?public domain dedication and licen[cs]e", r"opendatacommons\.org/licenses/pddl"),
     ("cc0-1.0", "cc0-1.0", "cc0", r"cc0(?:[ -]1\.0)?(?: universal)?", r"creativecommons\.org/publicdomain/zero"),
@@ -129,7 +130,7 @@ PHRASES = [
     ("epl-1.0", "accompanying program", r"the accompanying program is provided under the terms of this eclipse public", 0.9),
     ("ofl-1.1", "font software", r"this font software is licensed under the sil open font", 1.0),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 0.7),
-    ("public-domain", "public domain", r"no copyright is claimed", 0.5),
+    ("public-domain", "no copyright", r"no copyright is claimed", 0.5),
     ("proprietary", "all rights reserved", r"all rights reserved", 0.4),
     ("proprietary", "confidential", r"proprietary and confidential", 0.6),
     ("proprietary", "unauthorized copying", r"unauthorized copying of this (?:file|document|software)", 0.7),

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 
 import pytest
 from corpus_rows import awkward, frame, prose
+from regex_samples import samples
 
 from lodgeframe.llm import licence_scan, licences, secrets_scan
 from lodgeframe.llm.queries import op6_trigram_secrets, op8_licence_rules
@@ -135,3 +137,17 @@ def test_licence_query(spark):
         assert (r.n_words, r.n_base, r.base_labels) == (n, len(places), ",".join(labels))
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert set(labels) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def test_every_licence_match_contains_its_keyword():
+    dice = random.Random(6)
+    for rule in licences.rules():
+        matches = [m[0] for t in samples(rule.regex, dice, 60) if (m := re.search(rule.regex, t))]
+        assert matches, rule
+        assert [m for m in matches if rule.keyword not in m] == [], rule
+
+
+def test_licences_named_without_the_usual_words(spark):
+    rows = [(1, "No copyright is claimed here."), (2, "Under the Open Data Commons Database License 1.0."), (3, "Open Database Licence")]
+    found = {r.doc_id: {d.label for d in r._detections} for r in licence_scan.scan(frame(spark, rows)).collect()}
+    assert found == {1: {"public-domain"}, 2: {"odbl-1.0"}, 3: {"odbl-1.0"}}
