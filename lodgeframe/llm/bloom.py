@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodgeframe.llm.columns import free_prefix
+
 #: Bits of one block: what bitmap_construct_agg makes.
 BLOCK_BITS = 32_768
 BITS_A_ROW = 32
@@ -45,10 +47,12 @@ def bitmaps(hashes: DataFrame, blocks: int, least: int = 1) -> DataFrame:
 
 
 def tested(df: DataFrame, hashed: Column, table: DataFrame, blocks: int) -> tuple[DataFrame, Column]:
-    """``df`` with _h, _block and _bitmap, and the condition that all bits of the row are set. Nothing shuffles."""
-    marked = df.withColumn("_h", hashed).withColumn("_block", _block(F.col("_h"), blocks))
-    marked = marked.join(F.broadcast(table), "_block", "left")
-    return marked, F.col("_bitmap").isNotNull() & F.forall(_cells(F.col("_h")), lambda p: _is_set(F.col("_bitmap"), p))
+    """``df`` with three more columns, whose names it has not, and the condition that all bits of the row are set. Nothing shuffles."""
+    prefix = free_prefix(df, "h", "block", "bitmap")
+    h, block, bitmap = (prefix + name for name in ("h", "block", "bitmap"))
+    marked = df.withColumn(h, hashed).withColumn(block, _block(F.col(h), blocks))
+    marked = marked.join(F.broadcast(table.select(F.col("_block").alias(block), F.col("_bitmap").alias(bitmap))), block, "left")
+    return marked, F.col(bitmap).isNotNull() & F.forall(_cells(F.col(h)), lambda p: _is_set(F.col(bitmap), p))
 
 
 def matching(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -56,12 +60,17 @@ def matching(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return likely(df, key, keys).join(keys, key, "left_semi")
 
 
+def split(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: the rows whose ``key`` may be in ``keys`` (one column of that name), and those whose is not."""
+    blocks = filter_blocks(keys.select(F.lit(1)).count())
+    marked, possible = tested(df, F.xxhash64(key), bitmaps(keys.select(F.xxhash64(key).alias("h")), blocks), blocks)
+    own = [f"`{c}`" for c in df.columns]
+    return marked.where(possible).select(*own), marked.where(~possible).select(*own)
+
+
 def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` is in ``keys``, and a few others: what the filter lets through."""
-    blocks = filter_blocks(keys.select(F.lit(1)).count())
-    table = bitmaps(keys.select(F.xxhash64(key).alias("h")), blocks)
-    marked, possible = tested(df, F.xxhash64(key), table, blocks)
-    return marked.where(possible).select(*(f"`{c}`" for c in df.columns))
+    return split(df, key, keys)[0]
 
 
 def without(df: DataFrame, hashed: Column, keys: DataFrame) -> DataFrame:
@@ -69,5 +78,6 @@ def without(df: DataFrame, hashed: Column, keys: DataFrame) -> DataFrame:
     blocks = filter_blocks(keys.select(F.lit(1)).count())
     marked, possible = tested(df, hashed, bitmaps(keys, blocks), blocks)
     own = [f"`{c}`" for c in df.columns]
-    rest = marked.where(possible).join(keys, marked["_h"] == keys["h"], "left_anti")
+    h = next(c for c in marked.columns if c not in df.columns and c.endswith("h"))
+    rest = marked.where(possible).join(keys.select(F.col("h").alias(h)), h, "left_anti")
     return marked.where(~possible).select(*own).unionByName(rest.select(*own))
