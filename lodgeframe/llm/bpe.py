@@ -26,7 +26,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodgeframe.llm.textarrays import map_slices, slices
+from lodgeframe.llm.textarrays import map_slices, releasing, slices
 
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 400_000
@@ -180,6 +180,7 @@ def encode_ids(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     """``df`` with _ids array<int> only: without offsets equal words need the library once, which is quicker."""
     schema, names = _fields(df, "_ids array<int>"), [*df.columns, "_ids"]
 
+    @releasing
     def run(batches):
         encoder = PieceEncoder(path, pattern)
         for batch in batches:
@@ -199,6 +200,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     schema = _fields(rest, "_n_tokens long", "_ids_sha256 string", "_decoded_sha256 string")
     names = [*rest.columns, "_n_tokens", "_ids_sha256", "_decoded_sha256"]
 
+    @releasing
     def run(batches):
         encoder, decimal = PieceEncoder(path, pattern), [str(i) for i in range(len(_byte_table(path)))]
         for batch in batches:
@@ -222,6 +224,7 @@ def decode(df: DataFrame, path: str, ids: str = "_ids", pieces: bool = False) ->
     added = ["_bytes binary", "_text string", *["_pieces array<string>"] * pieces]
     schema, names = _fields(df, *added), [*df.columns, *(a.split()[0] for a in added)]
 
+    @releasing
     def run(batches):
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodgeframe.llm.bloom import without
 from lodgeframe.llm.storage import stored
-from lodgeframe.llm.textarrays import LOWER, mixed, slices, span_hashes, utf8
+from lodgeframe.llm.textarrays import LOWER, mixed, releasing, slices, span_hashes, utf8
 
 WINDOW, LEAST, LITERALS, COVER = 8, 5, 4, 12
 FILTER_BITS = 24
@@ -159,6 +159,7 @@ _SLOT = "array<struct<offset:int,kind:int,value:bigint>>"
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
     """(h, plain, length, item, tokens, at, slots) of every window of the benchmark."""
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
@@ -211,6 +212,7 @@ def document_windows(df: DataFrame, benchmark: DataFrame, key: str, text: str) -
     lengths = sorted(r.length for r in benchmark.select("length").distinct().collect())
     table = df.sparkSession.sparkContext.broadcast(_filter(benchmark))
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, slot_type = table.value, _slots(tokens(pa.array(["none"])), np.zeros(0, np.int64), 1).type
 

@@ -25,7 +25,7 @@ texts are linked through their class.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lodgeframe.llm.bloom import matching, without
 from lodgeframe.llm.components import components
 from lodgeframe.llm.storage import stored
-from lodgeframe.llm.textarrays import LOWER_BYTES, mixed, slices, utf8, word_hashes
+from lodgeframe.llm.textarrays import LOWER_BYTES, mixed, releasing, slices, utf8, word_hashes
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -54,21 +54,33 @@ DEEP_BLOCK = 512
 SLACK = 0.066
 
 
-@lru_cache(maxsize=2)
-def _circle(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each shingle hash (modulo PLACES), and for each place the ranks that the shifts bring there."""
-    scatter = np.random.default_rng(1).permutation(PLACES).astype(np.uint32)
-    ranks = np.random.default_rng(2).permutation(PLACES).astype(np.uint32)
-    around = np.concatenate([ranks, ranks[: coordinates - 1]])
-    return scatter, np.lib.stride_tricks.sliding_window_view(around, coordinates)
+def permuted(x: np.ndarray, key: int) -> np.ndarray:
+    """A keyed permutation of the numbers below PLACES, computed for each number by itself."""
+    x, mask = x.astype(np.uint32), np.uint32(PLACES - 1)
+    for odd in (mixed(np.arange(1, 5, dtype=np.uint64) + np.uint64(1000 * key)) | np.uint64(1)).astype(np.uint32):
+        x = (x * odd + (odd >> np.uint32(7))) & mask
+        x ^= x >> np.uint32(11)
+    return x
+
+
+class Circle:
+    """The ranks around the circle. One is made for a task and goes with it: 16 MB that no worker keeps."""
+
+    def __init__(self, coordinates: int):
+        ranks = permuted(np.arange(PLACES + coordinates - 1, dtype=np.uint32) & np.uint32(PLACES - 1), 2)
+        self.coordinates = coordinates
+        self.windows = np.lib.stride_tricks.sliding_window_view(ranks, coordinates)
+
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        """The coordinates of a non-empty set of shingle hashes: the least ranks that the shifts bring to its places."""
+        places = permuted(shingles & np.uint64(PLACES - 1), 1)
+        step = max(1, (1 << 20) // self.coordinates)
+        return reduce(np.minimum, (self.windows[places[k : k + step]].min(axis=0) for k in range(0, len(places), step)))
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
-    """The coordinates of a non-empty set of shingle hashes."""
-    scatter, windows = _circle(coordinates)
-    places = scatter[(shingles & np.uint64(PLACES - 1)).astype(np.int64)]
-    step = max(1, (1 << 22) // coordinates)
-    return reduce(np.minimum, (windows[places[k : k + step]].min(axis=0) for k in range(0, len(places), step)))
+    """The coordinates of one non-empty set of shingle hashes."""
+    return Circle(coordinates).signature(shingles)
 
 
 _FACTORS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -112,13 +124,15 @@ def _text(part: pa.RecordBatch, name: str = "_text") -> pa.Array:
 def profiles(df: DataFrame, text: str, key: str) -> DataFrame:
     """(_id, _shingles, _words, _bands): set size, fingerprint of the words and band keys (none without words)."""
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        circle = Circle(ROWS * BANDS)
         for batch in batches:
             for part in slices(batch, "_text"):
                 sizes, bands = [], []
                 for shingles in shingle_sets(_text(part)):
                     sizes.append(len(shingles))
-                    keys = _band_keys(signature(shingles, ROWS * BANDS), ROWS, BANDS) if len(shingles) else []
+                    keys = _band_keys(circle.signature(shingles), ROWS, BANDS) if len(shingles) else []
                     bands.append(np.asarray(keys, np.uint64).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -141,6 +155,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     partitions of a document that is in very many pairs.
     """
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -165,12 +180,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _deep_rows(members: DataFrame) -> DataFrame:
     """(key, _id, _words, component, place, bits, keys): the rows of every long band of ``members`` (with _text)."""
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        circle = Circle(DEEP_ROWS * DEEP_BANDS)
         for batch in batches:
             for part in slices(batch, "_text", 1 << 18):
                 keys, bits, low = [], [], []
                 for shingles in shingle_sets(_text(part)):
-                    whole = signature(shingles, DEEP_ROWS * DEEP_BANDS)
+                    whole = circle.signature(shingles)
                     long = _band_keys(whole, DEEP_ROWS, DEEP_BANDS)
                     keys.append(long.astype(np.int64))
                     low.append(long.astype(np.uint32).tobytes())
@@ -237,6 +254,7 @@ def _near_pairs(deep: DataFrame) -> DataFrame:
     )
     group = ["key", "low", "high"]
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
@@ -315,6 +333,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def _with_fingerprints(df: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
     """(_id, _text, _words) of the rows whose id is in ``wanted``."""
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,29 @@ _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F
 _BASE = 0x5851F42D4C957F2D
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> np.ndarray:
     out = np.full(size, _BASE, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def releasing(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` over batches; when it ends, what it freed goes back to the machine, as workers live on for later tasks."""
+
+    @wraps(run)
+    def whole(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after the other, and where each begins and the last ends; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,6 +129,7 @@ def ascii_lower(column):
 def map_slices(df: DataFrame, column: str, function, schema: str) -> DataFrame:
     """``function(record_batch)`` -> record batches, over parts of bounded text size."""
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):

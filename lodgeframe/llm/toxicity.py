@@ -5,7 +5,8 @@ every run of white space as one space, hashed to 2**BITS buckets. Over all label
 counts in how many documents of either class each bucket occurs; the log ratio of the smoothed
 shares scales the bucket, and every document's vector of scaled buckets is given length 1. A logistic regression
 over these vectors is fitted on a sample of SAMPLE rows of each class at most, about, chosen by a hash of the id, and
-of SAMPLE_FEATURES distinct features in total at most. Scores are thus for equal shares of both classes.
+of SAMPLE_FEATURES distinct features in total at most, the rows being taken in the order of that hash. Scores are
+thus for equal shares of both classes.
 
 Only texts and labels of training rows are learnt from; ids, languages and sources are never features.
 
@@ -27,13 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeframe.llm.bloom import likely
-from lodgeframe.llm.textarrays import mixed, slices
+from lodgeframe.llm.storage import stored
+from lodgeframe.llm.textarrays import mixed, releasing, slices
 
 NGRAMS = (3, 4, 5)
 BITS = 18
 #: Bounds of the sample that the regression is fitted on.
 SAMPLE = 1_500
 SAMPLE_FEATURES = 12_000_000
+#: Features of the sample that are worked on at once.
+BLOCK_FEATURES = 1 << 19
 STEPS = 200
 PENALTY = 1e-5
 
@@ -88,6 +92,7 @@ def _texts(batch: pa.RecordBatch) -> list[str | None]:
 def _counts(rows: DataFrame) -> DataFrame:
     """(bucket, toxic, clean): in how many documents of either class it occurs. ``rows``: _text, _label."""
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
@@ -104,30 +109,58 @@ def _counts(rows: DataFrame) -> DataFrame:
     return each.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _regression(lists: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
+class Sample:
+    """The sample's features as Arrow delivered them, worked on in blocks of whole rows, so that no temporary spans them all."""
+
+    def __init__(self, ratios: np.ndarray):
+        self.ratios = ratios.astype(np.float32)
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, labels: np.ndarray, found: pa.Array) -> None:
+        """Rows: their labels, and their buckets as packed 32-bit numbers."""
+        _, offsets, data = found.buffers()
+        ends = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1] // 4
+        at = np.frombuffer(data, np.int32) if data else np.zeros(0, np.int32)
+        filled = np.flatnonzero(np.diff(ends))
+        for rows in np.split(filled, np.flatnonzero(np.diff(ends[filled] // BLOCK_FEATURES)) + 1):
+            if len(rows):
+                own, firsts = at[ends[rows[0]] : ends[rows[-1] + 1]], ends[rows] - ends[rows[0]]
+                lengths = np.sqrt(np.add.reduceat(self.ratios[own] ** 2, firsts))
+                self.blocks.append((own, firsts, np.where(lengths > 0, lengths, np.float32(1)), labels[rows].astype(np.float32)))
+
+    def rows(self) -> int:
+        return sum(len(labels) for *_, labels in self.blocks)
+
+    def ones(self) -> int:
+        return int(sum(labels.sum() for *_, labels in self.blocks))
+
+    def slope(self, weights: np.ndarray, intercept: float) -> tuple[np.ndarray, float]:
+        """The logistic loss's slope along the weights of the scaled buckets, and along the intercept."""
+        scaled, slope, total, rows = (weights * self.ratios).astype(np.float32), np.zeros(len(weights)), 0.0, self.rows()
+        for at, firsts, lengths, labels in self.blocks:
+            margin = np.add.reduceat(scaled[at], firsts) / lengths + np.float32(intercept)
+            wrong = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels) / rows
+            sizes = np.diff(firsts, append=len(at))
+            slope += np.bincount(at, np.repeat(wrong / lengths, sizes), minlength=len(weights))
+            total += float(wrong.sum())
+        return slope * self.ratios, total
+
+
+def _regression(sample: Sample) -> tuple[np.ndarray, float]:
     """Logistic regression with an L2 penalty by accelerated gradient steps; weights of the scaled buckets."""
-    sizes = np.array([len(x) for x in lists])
-    lists, labels, sizes = [x for x in lists if len(x)], labels[sizes > 0], sizes[sizes > 0]
-    at, firsts = np.concatenate(lists), np.cumsum(sizes) - sizes
-    # Single precision: the sample's features are by far the largest thing in the task's memory.
-    values = ratios.astype(np.float32)[at]
-    lengths = np.sqrt(np.add.reduceat(values * values, firsts))
-    values /= np.repeat(np.where(lengths > 0, lengths, np.float32(1)), sizes)
     rate = 4.0
-    weights, ahead = np.zeros(len(ratios)), np.zeros(len(ratios))
+    weights, ahead = np.zeros(len(sample.ratios)), np.zeros(len(sample.ratios))
     intercept = ahead_intercept = 0.0
     momentum = 1.0
     for _ in range(STEPS):
-        margin = np.add.reduceat(values * ahead.astype(np.float32)[at], firsts) + ahead_intercept
-        wrong = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels) / len(labels)
-        slope = np.bincount(at, values * np.repeat(wrong.astype(np.float32), sizes), minlength=len(ratios)) + PENALTY * ahead
-        new, new_intercept = ahead - rate * slope, ahead_intercept - rate * wrong.sum()
+        slope, wrong = sample.slope(ahead, ahead_intercept)
+        new, new_intercept = ahead - rate * (slope + PENALTY * ahead), ahead_intercept - rate * wrong
         following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         step = (momentum - 1) / following
         ahead = new + step * (new - weights)
         ahead_intercept = new_intercept + step * (new_intercept - intercept)
         weights, intercept, momentum = new, new_intercept, following
-    return weights * ratios, float(intercept)
+    return weights * sample.ratios, float(intercept)
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
@@ -148,36 +181,40 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, text: str = "tex
     shares[0, counted["bucket"]] += counted["clean"]
     ratios = np.log(shares[1] / (toxic + 2)) - np.log(shares[0] / (clean + 2))
 
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
+    # A row's place within its class's share of all ids, by hash; the nearest to 0 are fitted on.
     share = F.when(F.col("_label") == 1, SAMPLE / toxic).otherwise(SAMPLE / clean)
-    drawn = marked.where(place < share * (1 << 30))
-    sampled = likely(texts, key, drawn.select(key)).join(drawn, key).select("_text", "_label")
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / (F.least(share, F.lit(1.0)) * (1 << 30))
+    drawn = marked.withColumn("_place", place).where("_place < 1")
+    sampled = likely(texts, key, drawn.select(key)).join(drawn, key).select("_text", "_label", "_place")
 
+    @releasing
     def lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                found = pa.array([x.tobytes() for x in features(_texts(part))], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("_label")), found], ["label", "found"])
+                found = [x.tobytes() for x in features(_texts(part))]
+                columns = [*(part.column(part.schema.get_field_index(c)) for c in ("_label", "_place")), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "place", "found"])
 
+    vectors = stored(sampled.mapInArrow(lists, "label int, place double, found binary"), "vectors")
+    sizes = vectors.select("place", (F.length("found") / 4).alias("n")).toPandas().sort_values(["place", "n"])
+    beyond = sizes.place[sizes.n.cumsum() > SAMPLE_FEATURES]
+    vectors = vectors.where(F.col("place") < (float(beyond.iloc[0]) if len(beyond) else 1.0)).select("label", "found")
+
+    @releasing
     def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, marks, room = [], [], SAMPLE_FEATURES
+        sample = Sample(ratios)
         for batch in batches:
-            for mark, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (room := room - len(packed) // 4) < 0:
-                    break
-                found.append(np.frombuffer(packed, np.int32))
-                marks.append(mark)
-        marks_array = np.array(marks, float)
-        ones = int(marks_array.sum())
-        if ones and ones < len(marks):
-            weights, intercept = _regression(found, marks_array, ratios)
+            sample.add(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1))
+        if 0 < sample.ones() < sample.rows():
+            weights, intercept = _regression(sample)
         else:
             weights, intercept = np.zeros(len(ratios)), smoothed
         yield pa.RecordBatch.from_arrays(
             [pa.array([weights.tobytes()], pa.binary()), pa.array([intercept])], ["weights", "intercept"]
         )
 
-    fitted = sampled.mapInArrow(lists, "label int, found binary").repartition(1).mapInArrow(fit, "weights binary, intercept double")
+    # In a fixed order, so that the fit does not depend on how rows arrive.
+    fitted = vectors.repartition(1).sortWithinPartitions("label", F.xxhash64("found")).mapInArrow(fit, "weights binary, intercept double")
     row = fitted.first()
     return Model(np.frombuffer(row.weights), ratios * ratios, row.intercept) if row else none
 
@@ -191,6 +228,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     at = df.columns.index(text)
 
+    @releasing
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
