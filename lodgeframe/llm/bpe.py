@@ -18,18 +18,19 @@ from __future__ import annotations
 import base64
 import codecs
 import os
-from collections.abc import Iterator
-from functools import lru_cache
+from array import array
+from functools import lru_cache, wraps
 from hashlib import sha256
-from itertools import chain
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodgeframe.llm.textarrays import map_slices, releasing, slices
 
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words that a task remembers; beyond that it forgets the older half.
+REMEMBERED = 250_000
 
 
 def byte_characters() -> list[str]:
@@ -42,13 +43,13 @@ def byte_characters() -> list[str]:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file) if token}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def load_tokenizer(path: str, pattern: str):
     """The library's tokenizer for a rank file; one per worker process. Without a pattern it takes texts as one piece."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -70,7 +71,7 @@ def load_tokenizer(path: str, pattern: str):
     return tokenizer
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _byte_table(path: str) -> list[bytes | None]:
     ranks = read_ranks(path)
     table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
@@ -85,7 +86,7 @@ def encode_texts(texts: list[str | None], path: str, pattern: str) -> list:
 
 
 class PieceEncoder:
-    """Ids only: every distinct word goes through the library once while it is remembered.
+    """Ids only: every distinct word goes through the library once while it is remembered. Ids are packed, 32 bits each.
 
     The pattern has a boundary before each single space and on both sides of each single line feed that stands
     between other characters, so where a text has no other white space (no runs, tabs, NBSP, ...), its words are encoded by
@@ -95,31 +96,48 @@ class PieceEncoder:
     def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
         self.library = load_tokenizer(path, pattern)
         self.remembered = remembered
-        self.feed = len(self.library.encode("\n", add_special_tokens=False).ids)
-        self.shared = list(range(len(_byte_table(path))))  # one object for each id
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.feed = 4 * len(self.library.encode("\n", add_special_tokens=False).ids)
+        self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         if len(self.known) > self.remembered:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         found = self.library.encode_batch_fast([w if w[:1] == "\n" else " " + w for w in new], add_special_tokens=False)
         for word, encoding in zip(new, found):
-            self.known[word] = tuple(map(self.shared.__getitem__, encoding.ids))
+            self.known[word] = array("i", encoding.ids).tobytes()
 
-    def ids(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
         text = text or ""
         if text.split() != text.replace("\n", " ").split(" "):  # runs, white space at an end, or any other kind of it
-            return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            return array("i", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
         words = text.replace("\n", " \n").split(" ")
         words[0] = "\n" + words[0]
         try:
-            out = list(chain.from_iterable(map(self.known.__getitem__, words)))
+            out = b"".join(map(self.known.__getitem__, words))
         except KeyError:
             self._learn(words)
-            out = list(chain.from_iterable(map(self.known.__getitem__, words)))
+            out = b"".join(map(self.known.__getitem__, words))
         return out[self.feed :]
 
+    def ids(self, text: str | None) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
+
+def _forgotten(run):
+    """``run`` over batches; when it ends, the worker forgets the vocabulary and gives its memory back."""
+
+    @releasing
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for cached in (load_tokenizer, read_ranks, _byte_table):
+                cached.cache_clear()
+
+    return whole
+
 
 def decode_ids(ids: list[int], path: str) -> bytes:
     """The bytes that the tokens stand for."""
@@ -180,13 +198,15 @@ def encode_ids(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     """``df`` with _ids array<int> only: without offsets equal words need the library once, which is quicker."""
     schema, names = _fields(df, "_ids array<int>"), [*df.columns, "_ids"]
 
-    @releasing
+    @_forgotten
     def run(batches):
         encoder = PieceEncoder(path, pattern)
         for batch in batches:
             for part in slices(batch, text):
-                texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                yield _named(_appended(part, pa.array(map(encoder.ids, texts), pa.list_(pa.int32()))), names)
+                found = [encoder.packed(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                ends = pa.array(np.cumsum([0, *(len(x) // 4 for x in found)]), pa.int32())
+                ids = pa.array(np.frombuffer(b"".join(found), np.int32))
+                yield _named(_appended(part, pa.ListArray.from_arrays(ends, ids)), names)
 
     return df.mapInArrow(run, schema)
 
@@ -200,7 +220,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     schema = _fields(rest, "_n_tokens long", "_ids_sha256 string", "_decoded_sha256 string")
     names = [*rest.columns, "_n_tokens", "_ids_sha256", "_decoded_sha256"]
 
-    @releasing
+    @_forgotten
     def run(batches):
         encoder, decimal = PieceEncoder(path, pattern), [str(i) for i in range(len(_byte_table(path)))]
         for batch in batches:
@@ -224,7 +244,7 @@ def decode(df: DataFrame, path: str, ids: str = "_ids", pieces: bool = False) ->
     added = ["_bytes binary", "_text string", *["_pieces array<string>"] * pieces]
     schema, names = _fields(df, *added), [*df.columns, *(a.split()[0] for a in added)]
 
-    @releasing
+    @_forgotten
     def run(batches):
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
