@@ -16,9 +16,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lodgeframe.fixture import bookings, bookings_raw
-from lodgeframe.operators import buckets, cleaning, fulltext, metrics, profiling, search
+from lodgeframe.operators import buckets, cleaning, fulltext, metrics, profiling, search, textindex
 from lodgeframe.operators.upsert import upsert
-from lodgeframe.plans.reports import REPORTS, report, report_sizes
+from lodgeframe.plans.reports import REPORTS, all_reports, report, report_values
 from lodgeframe.schema import TABLE_COLUMNS
 from lodgeframe.session import build_session
 from lodgeframe.sources.table import read_bookings
@@ -52,13 +52,15 @@ def main() -> None:
     text_path = fresh_path(spark, "documents")
     spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(int(cpus)).write.parquet(text_path)
     documents = spark.read.parquet(text_path)
+    index_path = fresh_path(spark, "tokens")
+    textindex.build(documents, ["text"], index_path, "doc_id")
     changes = table.where("id % 10 = 0").selectExpr("id", "adr + 1 AS adr", "hotel")
 
     headline = {
         "clean_bookings": lambda: cleaning.clean(raw),
         "outlier_thresholds": lambda: cleaning.outlier_thresholds(cleaning.fill_median(raw)),
         **{f"report_{name}": (lambda n=name: report(n, table)) for name in REPORTS},
-        "all_reports": lambda: report_sizes(table),
+        "all_reports": lambda: report_values(all_reports(table)),
         "dynamic_aggregate": lambda: metrics.aggregate(
             table, [("adr", "avg"), ("lead_time", "stats"), ("hotel", "terms"), ("country", "terms")]
         ),
@@ -80,6 +82,7 @@ def main() -> None:
         "full_text_search": lambda: fulltext.full_text_search(
             documents, "worthles there", ["text"], key="doc_id"
         ),
+        "full_text_indexed": lambda: textindex.search(spark, index_path, "worthles there", ["text"]),
         "upsert_by_id": lambda: upsert(table, changes),
         "end_to_end_cancellation_rate": lambda: report(
             "cancellation_rate", bookings(spark, sf_dir, "market_segment", "hotel", "is_canceled")

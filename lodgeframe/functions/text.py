@@ -22,6 +22,23 @@ def tokens_of(value: str) -> list[str]:
     return re.findall(r"\w+", value.lower())
 
 
+def deletions(text: str, edits: int) -> str:
+    """SQL for the distinct strings that are left of ``text`` when up to ``edits`` (0 to 2) letters are deleted.
+
+    Two texts within that many edits of each other have one of these strings in common: the letters that an edit
+    changes, inserts, drops or swaps are deleted on either side.
+    """
+    less = "transform(sequence(1, length({t})), i{n} -> concat(substr({t}, 1, i{n} - 1), substr({t}, i{n} + 1)))"
+    none = f"array({text})"
+    if not edits:
+        return none
+    once = f"IF(length({text}) > 0, {less.format(t=text, n=1)}, array())"
+    if edits == 1:
+        return f"array_distinct(concat({none}, {once}))"
+    twice = f"flatten(transform({once}, o -> IF(length(o) > 0, {less.format(t='o', n=2)}, array())))"
+    return f"array_distinct(concat({none}, {once}, {twice}))"
+
+
 def edit_distance(left: str, right: str) -> str:
     """SQL for the edit distance in which swapping two neighbours is one edit.
 

@@ -87,32 +87,44 @@ def require_no_nulls(df: DataFrame) -> DataFrame:
     return df
 
 
+def _gated_columns(df: DataFrame) -> tuple[list[str], list[str]]:
+    """Columns of which no null may be left by :func:`clean`, and those that must hold something to take the median of."""
+    checked = [c for c in df.columns if c in RAW_COLUMNS and c not in MEDIAN_FILLED and c not in CONSTANT_FILLS]
+    return checked, [c for c in MEDIAN_FILLED if c in df.columns]
+
+
+def _fail_where(df: DataFrame, bad: str) -> DataFrame:
+    """``df``; any use of it fails the job if the text column ``bad`` names columns: no projection can leave the filter out."""
+    failed = F.raise_error(F.concat(F.lit("null values left in: "), F.expr(bad))).cast("boolean")
+    return df.where(F.when(F.expr(f"{bad} != ''"), failed).otherwise(True))
+
+
 def null_gate(df: DataFrame) -> DataFrame:
     """``df`` itself; any use of it, a count too, fails the job if a column is left with nulls by :func:`clean`.
 
-    One more scan finds the columns, as a scalar that a filter on all rows depends on: no
-    projection can leave it out. A filled column counts if it holds nothing to take the median of.
+    One more scan finds the columns, as a scalar that a filter on all rows depends on.
+    A filled column counts if it holds nothing to take the median of. (:func:`clean` finds them in its counting scan.)
     """
-    checks = [
-        f"IF(count_if(`{c}` IS NULL) > 0, '{c}', NULL)"
-        for c in df.columns
-        if c in RAW_COLUMNS and c not in MEDIAN_FILLED and c not in CONSTANT_FILLS
-    ] + [f"IF(count(1) > 0 AND count(`{c}`) = 0, '{c}', NULL)" for c in MEDIAN_FILLED if c in df.columns]
+    checked, filled = _gated_columns(df)
+    checks = [f"IF(count_if(`{c}` IS NULL) > 0, '{c}', NULL)" for c in checked]
+    checks += [f"IF(count(1) > 0 AND count(`{c}`) = 0, '{c}', NULL)" for c in filled]
     if not checks:
         return df
     bad = df.selectExpr(f"array_join(array_compact(array({', '.join(checks)})), ', ') AS bad").scalar()
-    failed = F.raise_error(F.concat(F.lit("null values left in: "), F.col("_bad")))
-    gated = df.withColumn("_bad", bad).where(F.when(F.col("_bad") != "", failed.cast("boolean")).otherwise(True))
-    return gated.drop("_bad")
+    return _fail_where(df.withColumn("_bad", bad), "_bad").drop("_bad")
 
 
 def _limits(
     df: DataFrame, columns: Sequence[str], detect: str, median_filled: Sequence[str] = ()
 ) -> DataFrame:
     """One row per column: median, p01, p99, lower_limit, upper_limit, has_outliers."""
+    return _limits_of(value_counts(df, columns), detect, median_filled)
+
+
+def _limits_of(counts: DataFrame, detect: str, median_filled: Sequence[str]) -> DataFrame:
     if detect not in _DETECTION:
         raise ValueError(f"unknown detection rule: {detect}")
-    return order_statistics(value_counts(df, columns), [LOWER_P, UPPER_P], median_filled).selectExpr(
+    return order_statistics(counts, [LOWER_P, UPPER_P], median_filled).selectExpr(
         "column",
         "median",
         "quantiles[0] AS p01",
@@ -143,16 +155,37 @@ def detect_outliers(
 
 
 def _constants(
-    df: DataFrame, columns: Sequence[str], detect: str, median_filled: Sequence[str] = ()
+    df: DataFrame,
+    columns: Sequence[str],
+    detect: str,
+    median_filled: Sequence[str] = (),
+    gate: tuple[Sequence[str], Sequence[str]] | None = None,
 ) -> DataFrame:
-    """One row: limits of flagged columns, exact and rounded (null for others), and medians."""
+    """One row: limits of flagged columns, exact and rounded (null for others), and medians.
+
+    With ``gate``, also ``bad``: the names of its first columns that hold nulls and of its second that hold nothing else,
+    from the same scan.
+    """
     picks = {f"{c}_median": (c, "median") for c in median_filled}
     for c in columns:
         for side in ("lower", "upper"):
             limit = f"IF(has_outliers, {side}_limit, NULL)"
             picks[f"{c}_{side}"] = (c, limit)
             picks[f"{c}_{side}_to"] = (c, f"bround({limit}, 0)")
-    return _one_row(_limits(df, columns, detect, median_filled), picks)
+    if gate is None:
+        return _one_row(_limits(df, columns, detect, median_filled), picks)
+    checked, filled = gate
+    counts = value_counts(df, list(dict.fromkeys([*columns, *filled])), [c for c in checked if c not in columns])
+    rules = [f"(column IN ({_listed(checked)}) AND nulls > 0)"] * bool(checked)
+    rules += [f"(column IN ({_listed(filled)}) AND present = 0)"] * bool(filled)
+    held = counts.groupBy("column").agg(F.expr("count_if(value IS NULL)").alias("nulls"), F.count("value").alias("present"))
+    bad = held.where(" OR ".join(rules)).agg(F.array_join(F.sort_array(F.collect_list("column")), ", ").alias("bad"))
+    # Two tables of one row.
+    return _one_row(_limits_of(counts, detect, median_filled), picks).crossJoin(F.broadcast(bad))
+
+
+def _listed(names: Sequence[str]) -> str:
+    return ", ".join(f"'{c}'" for c in names)
 
 
 def _clip(c: str, dtype: str) -> str:
@@ -203,19 +236,21 @@ def clean(
 ) -> DataFrame:
     """The whole cleaning as one lazy projection.
 
-    All data-dependent constants (median, limits) come from a single counting
-    scan and enter through one scalar subquery. The null gate looks at the whole input, whatever is
+    All data-dependent constants (median, limits) and the null gate's findings come from a single counting
+    scan and enter through one scalar subquery. The gate looks at the whole input, whatever is
     read of the result: a null in an unfillable column fails the job (see :func:`null_gate`).
     ``columns`` names the output columns to build; with ``gate=False`` others are neither read nor checked.
     """
-    df = null_gate(df) if gate else df
     extra = [c for c in df.columns if c not in RAW_COLUMNS]
     wanted = list(columns) if columns is not None else [*extra, *CLEAN_COLUMNS]
     types = dict(df.dtypes)
     clipped = [c for c in OUTLIER_COLUMNS if c in wanted]
     if clipped:
         medians = [c for c in MEDIAN_FILLED if c in clipped]
-        df = with_constants(df, _constants(df, clipped, detect, medians))
+        df = with_constants(df, _constants(df, clipped, detect, medians, _gated_columns(df) if gate else None))
+        df = _fail_where(df, "_const.bad") if gate else df
+    elif gate:
+        df = null_gate(df)
 
     def filled(c: str) -> str:
         if c in MEDIAN_FILLED:

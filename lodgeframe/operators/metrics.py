@@ -77,28 +77,23 @@ def _ranked(df: DataFrame, wanted: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Percentiles and median absolute deviations from one counting scan."""
     counts = value_counts(df, sorted({c for _, c, _ in wanted}))
     stats = order_statistics(counts, [p / 100 for p in PERCENTS])
+
+    def names(kind: str) -> DataFrame | None:
+        """(column, agg): a join with it picks columns without a filter that would part the counting scan."""
+        rows = [f"('{c}', '{name}')" for name, c, of in wanted if of == kind]
+        return F.broadcast(df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(column, agg)")) if rows else None
+
     parts = []
-    labels = ", ".join(f"'{p}'" for p in PERCENTS)
-    for name, column, kind in wanted:
-        here = F.col("column") == column
-        if kind == "percentiles":
-            rows = stats.where(here).selectExpr(
-                f"explode(arrays_zip(array({labels}), quantiles)) AS q"
-            )
-            part = rows.selectExpr("q['0'] AS key", "q.quantiles AS value")
-        else:
-            # One row per column.
-            middle = F.broadcast(stats.select("column", "median"))
-            spread = counts.where(here).join(middle, "column").selectExpr(
-                "column", "abs(value - median) AS value", "n"
-            )
-            part = order_statistics(spread, []).selectExpr(
-                "CAST(NULL AS string) AS key", "median AS value"
-            )
-        parts.append(
-            part.selectExpr(f"'{name}' AS agg", "key", "CAST(NULL AS bigint) AS doc_count", "value")
-        )
-    return reduce(DataFrame.unionByName, parts)
+    if (of := names("percentiles")) is not None:
+        labels = ", ".join(f"'{p}'" for p in PERCENTS)
+        rows = stats.join(of, "column").selectExpr("agg", f"explode(arrays_zip(array({labels}), quantiles)) AS q")
+        parts.append(rows.selectExpr("agg", "q['0'] AS key", "q.quantiles AS value"))
+    if (of := names("median_absolute_deviation")) is not None:
+        # One row per column.
+        middle = F.broadcast(stats.join(of, "column").select("column", "agg", "median"))
+        spread = counts.join(middle, "column").selectExpr("agg AS column", "abs(value - median) AS value", "n")
+        parts.append(order_statistics(spread, []).selectExpr("column AS agg", "CAST(NULL AS string) AS key", "median AS value"))
+    return reduce(DataFrame.unionByName, parts).selectExpr("agg", "key", "CAST(NULL AS bigint) AS doc_count", "value")
 
 
 def aggregate(

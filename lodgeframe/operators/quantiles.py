@@ -1,12 +1,12 @@
-"""Exact order statistics of many columns from one scan, without a single-task merge.
+"""Exact order statistics of many columns from one scan, by radix selection.
 
 The built-in exact ``percentile`` ships every distinct value of a column to one
 task. Here values are first counted (partial + final aggregation on
-``(column, value)``, so a hot value is combined before the shuffle). Counts are
-then summed over value buckets whose number is bounded by the number format, the
-bucket holding each wanted rank is found on that small table. A column whose values
-lie close together has them all in one bucket, so wanted buckets are cut once more, evenly
-between their least and greatest value, and only the values of the parts with a wanted rank are ordered.
+``(column, value)``, so a hot value is combined before the shuffle). The bits of a
+double, read as a number that grows with it, are then taken digit by digit: the first
+digit's histogram shows which digit each wanted rank has, only the values with that digit go into the
+next digit's histogram, and so on, until all bits are taken.
+A task holds one digit's histogram at most, whatever the values are.
 """
 
 from __future__ import annotations
@@ -16,25 +16,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Buckets per unit of log(1 + |value|): about 0.1% relative width, so a column
-# never has more than 1.5 million buckets even over the whole double range.
-_BUCKETS_PER_LOG = 1000
-_NULL_BUCKET = -(2**31)
-# Parts of a wanted bucket.
-_PARTS = 4096
+#: Bits of the digits, from the first: sign, exponent and the next eight, then the rest in two.
+DIGITS = (20, 22, 22)
+#: Nulls have the least key; no number has a key with the same first digit.
+_NULL_KEY, _NULL_DIGIT = -(2**63), -(2 ** (DIGITS[0] - 1))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def sort_key(value: str) -> str:
+    """SQL for a 64-bit number that orders doubles (neither null nor NaN; -0 as 0): their bits, negated below zero."""
+    size = f"abs({value})"
+    guess = f"greatest(floor(log2({size})), -1022L)"  # may be off by one next to a power of two
+    power = f"({guess} + IF({size} >= power(2D, {guess} + 1), 1L, 0L) - IF({size} < power(2D, {guess}) AND {guess} > -1022L, 1L, 0L))"
+    bits = f"shiftleft({power} + 1022L, 52) + bigint({size} / power(2D, {power}) * 4503599627370496D)"
+    return f"""CASE WHEN {value} IS NULL THEN NULL WHEN {value} = 0 THEN 0L
+        WHEN {size} = double('Infinity') THEN bigint(signum({value})) * 9218868437227405312L
+        ELSE bigint(signum({value})) * ({bits}) END"""
+
+
+def value_counts(df: DataFrame, columns: Sequence[str], null_checked: Sequence[str] = ()) -> DataFrame:
     """(column, value, n) over all given numeric columns, one scan; nulls are counted too.
 
-    NaN counts as null and minus zero as zero.
+    NaN counts as null and minus zero as zero. Of the ``null_checked`` columns, of any type, only the nulls are counted.
     """
-    doubles = df.selectExpr(*[f"nullif(double(`{c}`) + 0D, double('NaN')) AS `{c}`" for c in columns])
-    return (
-        doubles.unpivot([], list(columns), "column", "value")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    cells = [f"named_struct('column', '{c}', 'value', nullif(double(`{c}`) + 0D, double('NaN')))" for c in columns]
+    if not null_checked:
+        long = df.selectExpr(f"inline(array({', '.join(cells)}))")
+    else:
+        checks = [
+            f"IF(`{c}` IS NULL, named_struct('column', '{c}', 'value', CAST(NULL AS double)), NULL)" for c in null_checked
+        ]
+        # Rows without a null, nearly all, build no array of the checks.
+        any_null = " OR ".join(f"`{c}` IS NULL" for c in null_checked)
+        empty = "CAST(array() AS array<struct<column:string,value:double>>)"
+        nulls = f"IF({any_null}, array_compact(array({', '.join(checks)})), {empty})"
+        long = df.selectExpr(f"inline(concat(array({', '.join(cells)}), {nulls}))" if cells else f"inline({nulls})")
+    return long.selectExpr("coalesce(column, '') AS column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def order_statistics(
@@ -46,42 +62,36 @@ def order_statistics(
     median, quantiles (array in the order of ``probabilities``). For columns in
     ``median_filled`` the quantiles are those after nulls became the median: the
     filled rows sit as one block in the middle of the order, so a rank after
-    filling maps to a rank before it and no second scan is needed.
+    filling maps to a rank before it and no second scan is needed. Columns without values have no row.
     """
-    # The bucket is never null, so that both uses of ``counts`` keep the same
-    # plan and share one exchange.
-    counts = counts.selectExpr(
-        "*",
-        f"coalesce(int(signum(value) * floor(ln(1 + abs(value)) * {_BUCKETS_PER_LOG})),"
-        f" {_NULL_BUCKET}) AS bucket",
-    )
-    sums = counts.groupBy("column", "bucket").agg(
-        F.sum("n").alias("bucket_n"),
-        F.min("value").alias("bucket_min"),
-        F.max("value").alias("bucket_max"),
-    )
+    # Neither column nor key is ever null, so that all uses of ``counts`` keep the same plan and share one exchange.
+    counts = counts.selectExpr("*", f"coalesce({sort_key('value')}, {_NULL_KEY + 1}L - 1L) AS key")
+
+    def digits(taken: int) -> str:
+        return f"shiftright(key, {64 - taken})"
 
-    # Windows run over bucket sums only; their number per column is bounded.
-    present = f"if(bucket = {_NULL_BUCKET}, 0, bucket_n)"
+    sums = counts.selectExpr("*", f"{digits(DIGITS[0])} AS digit").groupBy("column", "digit").agg(
+        F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    present = f"if(digit = {_NULL_DIGIT}, 0, n)"
     names = ", ".join(f"'{c}'" for c in median_filled)
     spans = sums.selectExpr(
         "column",
-        "bucket",
-        "bucket_min",
-        "bucket_max",
-        f"sum({present}) OVER (PARTITION BY column ORDER BY bucket"
-        " ROWS UNBOUNDED PRECEDING) AS stop",
+        "digit",
+        "low",
+        "high",
+        f"sum({present}) OVER (PARTITION BY column ORDER BY digit ROWS UNBOUNDED PRECEDING) AS stop",
         f"{present} AS present",
         f"sum({present}) OVER (PARTITION BY column) AS total",
-        f"sum(bucket_n - {present}) OVER (PARTITION BY column) AS nulls",
-        "min(bucket_min) OVER (PARTITION BY column) AS min_value",
-        "max(bucket_max) OVER (PARTITION BY column) AS max_value",
+        f"sum(n - {present}) OVER (PARTITION BY column) AS nulls",
+        "min(low) OVER (PARTITION BY column) AS min_value",
+        "max(high) OVER (PARTITION BY column) AS max_value",
     )
 
     # Zero-based ranks: the two middle ones, then two per probability. A rank
     # after filling is turned into one before it; -1 stands for a filled row.
     ps = ", ".join(f"{float(p)}D" for p in probabilities)
-    ranks = spans.selectExpr(
+    ranks = spans.where("present > 0").selectExpr(
         "*",
         "floor((total - 1) / 2D) AS low_mid",
         "ceil((total - 1) / 2D) AS high_mid",
@@ -92,43 +102,33 @@ def order_statistics(
                        WHEN r < high_mid + inserted THEN -1L
                        ELSE r - inserted END) AS ends""",
     )
-    # A few rows per column remain, hence the broadcast below.
-    wanted = ranks.selectExpr(
-        "*",
+    searched = ranks.selectExpr(
+        "column",
+        "digit",
+        "stop - present AS before",
+        "struct(total, nulls, min_value, max_value, low_mid, high_mid, places, ends) AS of",
         """explode(array_distinct(filter(array_union(array(low_mid, high_mid), ends),
              r -> r >= stop - present AND r < stop))) AS rank""",
     )
-    part = f"floor((value - bucket_min) / (bucket_max - bucket_min) * {_PARTS})"
-    inside = counts.join(F.broadcast(wanted), ["column", "bucket"]).selectExpr(
-        "*", f"IF(bucket_max > bucket_min, {part}, 0L) AS part"
-    )
-    # At most _PARTS rows for each wanted rank, of which one stays.
-    parts = (
-        inside.groupBy("column", "rank", "part")
-        .agg(F.sum("n").alias("part_n"), F.first(F.col("stop") - F.col("present")).alias("first"))
-        .selectExpr(
-            "*",
-            "first + sum(part_n) OVER (PARTITION BY column, rank ORDER BY part"
-            " ROWS UNBOUNDED PRECEDING) - part_n AS before",
+    taken = DIGITS[0]
+    for width in DIGITS[1:]:
+        # A few rows per column, hence the broadcast.
+        inside = counts.withColumn("digit", F.expr(digits(taken))).join(
+            F.broadcast(searched.select("column", "digit", "rank", "before", "of")), ["column", "digit"]
         )
-        .where("before <= rank AND before + part_n > rank")
-        .select("column", "rank", "part", "before")
-    )
-    reached = (
-        inside.join(F.broadcast(parts), ["column", "rank", "part"])
-        .selectExpr(
-            "*",
-            "before + sum(n) OVER (PARTITION BY column, rank ORDER BY value"
-            " ROWS UNBOUNDED PRECEDING) AS reached",
+        taken += width
+        histogram = inside.groupBy("column", "rank", F.expr(digits(taken)).alias("next")).agg(
+            F.sum("n").alias("n"), F.min("value").alias("low"), F.first("before").alias("first"), F.first("of").alias("of")
         )
-        .where("reached > rank AND reached - n <= rank")
-    )
-    carried = ("total", "nulls", "min_value", "max_value", "low_mid", "high_mid", "places", "ends")
-    found = reached.groupBy("column").agg(
-        *[F.first(c).alias(c) for c in carried],
-        F.expr("map_from_entries(collect_list(struct(rank, value))) AS at"),
+        reached = "first + sum(n) OVER (PARTITION BY column, rank ORDER BY next ROWS UNBOUNDED PRECEDING)"
+        searched = histogram.selectExpr("column", "next AS digit", f"{reached} - n AS before", "n", "low", "of", "rank").where(
+            "before <= rank AND before + n > rank"
+        )
+    # All bits are taken: a digit is one value.
+    picked = searched.groupBy("column").agg(
+        F.first("of").alias("of"), F.expr("map_from_entries(collect_list(struct(rank, low)))").alias("at")
     )
-    return found.selectExpr(
+    return picked.select("column", "of.*", "at").selectExpr(
         "column",
         "total",
         "nulls",

@@ -17,13 +17,13 @@ from lodgeframe.countries import country_dimension
 from lodgeframe.fixture import bookings, bookings_raw
 from lodgeframe.functions.measures import COMPOSITION, REVENUE, TOTAL_NIGHTS
 from lodgeframe.functions.text import clean_markdown, tokens
-from lodgeframe.operators import buckets, cleaning, fulltext, metrics, profiling, search
+from lodgeframe.operators import buckets, cleaning, fulltext, metrics, profiling, search, sketches, textindex
 from lodgeframe.operators.upsert import upsert
-from lodgeframe.plans import shaping
-from lodgeframe.plans.reports import REPORTS, report, report_sizes
+from lodgeframe.plans import rollups, shaping
+from lodgeframe.plans.reports import REPORTS, all_reports, report, report_values
 from lodgeframe.schema import OUTLIER_COLUMNS, RAW_COLUMNS, TABLE_COLUMNS
 from lodgeframe.sources import files, table
-from lodgeframe.sources.workspace import fresh_path
+from lodgeframe.sources.workspace import fresh_path, stored
 from lodgeframe.streaming import uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,10 +62,48 @@ def _stored_table(spark: SparkSession, sf_dir: str) -> str:
 @query("scan_bookings_csv")
 def _(spark, sf_dir):
     path = fresh_path(spark, "upload")
-    bookings_raw(spark, sf_dir).write.option("header", True).csv(path)
+    bookings_raw(spark, sf_dir).write.options(**files.CSV_OPTIONS).csv(path)
     return files.read_bookings_csv(spark, path)
 
 
+@query("scan_quoted_lines")
+def _(spark, sf_dir):
+    marked = bookings(spark, sf_dir).withColumn("hotel", F.expr("concat(hotel, ',\n\"', meal, '\"\n', country)"))
+    return files.read_clean_csv(spark, files.write_clean_csv(marked, fresh_path(spark, "quoted"), STAMP))
+
+
+def _upload_with_bad_rows(spark, sf_dir) -> str:
+    """Raw bookings as text lines; of some the lead time is no number, others lack their last cells."""
+    path = fresh_path(spark, "upload")
+    rows = bookings_raw(spark, sf_dir).withColumn("lead_time", F.expr("if(id % 97 = 5, concat('x', lead_time), string(lead_time))"))
+    cells = ", ".join(f"coalesce(string(`{c}`), '')" for c in rows.columns)
+    torn = f"if(id % 89 = 7, concat_ws(',', slice(array({cells}), 1, 20)), concat_ws(',', {cells}))"
+    header = spark.range(1).selectExpr(f"'{','.join(rows.columns)}' AS value")
+    # One file: the header and all rows; files are what an upload consists of.
+    lines = header.unionByName(rows.selectExpr(f"{torn} AS value")).coalesce(1)
+    lines.write.text(path)
+    return path
+
+
+@query("quarantine_good_rows")
+def _(spark, sf_dir):
+    good, _ = files.quarantine_bookings_csv(spark, _upload_with_bad_rows(spark, sf_dir))
+    return good
+
+
+@query("quarantine_rejects")
+def _(spark, sf_dir):
+    base = fresh_path(spark, "rejects")
+    _, bad = files.quarantine_bookings_csv(spark, _upload_with_bad_rows(spark, sf_dir))
+    files.write_rejects(bad, base)
+    return spark.read.parquet(base).selectExpr(
+        "bigint(if(reason = 'torn', split(row, ',')[0], get_json_object(row, '$.id'))) AS id",
+        "reason",
+        "bad_columns",
+        "place >= 0 AND file LIKE '%.txt' AS placed",
+    )
+
+
 @query("scan_clean_csv")
 def _(spark, sf_dir):
     base = fresh_path(spark, "clean")
@@ -89,9 +127,8 @@ def _(spark, sf_dir):
 @query("sink_clean_csv")
 def _(spark, sf_dir):
     path = files.write_clean_csv(bookings(spark, sf_dir), fresh_path(spark, "clean"), STAMP)
-    return spark.read.option("header", True).csv(path).groupBy("country").agg(
-        F.count(F.lit(1)).alias("doc_count")
-    ).na.fill("", ["country"])
+    written = spark.read.options(**files.CSV_OPTIONS).csv(path).na.fill("")
+    return written.select("id", "hotel", "country", "lead_time", "market_segment", "adr", "arrival_date", "reservation_status_date")
 
 
 @query("append_bookings")
@@ -100,12 +137,11 @@ def _(spark, sf_dir):
     clean = bookings(spark, sf_dir)
     table.append_bookings(clean, path)
     table.append_bookings(clean, path)
-    return table.read_bookings(spark, path).selectExpr(
-        "count(1) AS n_rows",
-        "count(DISTINCT id) AS n_ids",
-        "min(id) AS min_id",
-        "max(id) AS max_id",
-    )
+    stored = table.read_bookings(spark, path)
+    ids = stored.selectExpr(
+        "struct(count(1) AS n_rows, count(DISTINCT id) AS n_ids, min(id) AS min_id, max(id) AS max_id) AS ids"
+    ).scalar()
+    return rounded(stored.drop("id").withColumn("ids", ids).select("*", "ids.*").drop("ids"))
 
 
 @query("bootstrap_if_empty")
@@ -114,8 +150,7 @@ def _(spark, sf_dir):
     csv = files.write_clean_csv(bookings(spark, sf_dir).drop("id"), base, STAMP)
     for _ in range(2):
         table.bootstrap_if_empty(spark, f"{base}/table", csv, f"{base}/index")
-    stored = spark.read.parquet(f"{base}/index")
-    return stored.groupBy("hotel").agg(F.count(F.lit(1)).alias("doc_count"))
+    return rounded(spark.read.parquet(f"{base}/index").drop("id", *schema.SUGGEST_FIELDS))
 
 
 @query("to_documents")
@@ -156,9 +191,14 @@ def _(spark, sf_dir):
 
 @query("sync_snapshot")
 def _(spark, sf_dir):
-    source, copies = _stored_table(spark, sf_dir), fresh_path(spark, "copies")
-    table.sync(spark, source, None, f"{copies}/1")
-    return table.sync(spark, source, f"{copies}/1", f"{copies}/2")
+    base = fresh_path(spark, "sync")
+    clean = bookings(spark, sf_dir).select(*TABLE_COLUMNS)
+    # The copy holds two thirds, the table then another two thirds with other prices: a third each is kept, updated and new.
+    clean.where("id % 3 <> 2").write.parquet(f"{base}/first")
+    changed = clean.where("id % 3 <> 0").withColumns({"adr": F.expr("adr + 1"), "hotel": F.expr("concat(hotel, ' *')")})
+    changed.write.parquet(f"{base}/second")
+    table.sync(spark, f"{base}/first", None, f"{base}/copy1")
+    return rounded(table.sync(spark, f"{base}/second", f"{base}/copy1", f"{base}/copy2"))
 
 
 @query("field_catalogue")
@@ -172,7 +212,7 @@ def _(spark, sf_dir):
 
 @query("sink_search_json")
 def _(spark, sf_dir):
-    hits = search.search(bookings(spark, sf_dir), must={"is_canceled": 1}, size=200, scored=False)
+    hits = search.search(bookings(spark, sf_dir), must={"is_canceled": 1}, scored=False)
     path = files.write_hits_json(search.project_hits(hits), fresh_path(spark, "hits"), STAMP)
     return spark.read.schema(schema.CLEAN_SCHEMA).json(path)
 
@@ -401,7 +441,7 @@ def _(spark, sf_dir):
 
 @query("search_score")
 def _(spark, sf_dir):
-    hits = search.search(_searchable(spark, sf_dir), **_SEARCH, size=2000)
+    hits = search.search(_searchable(spark, sf_dir), **_SEARCH)
     return rounded(hits.select("id", "score"), 5)
 
 
@@ -414,7 +454,7 @@ def _(spark, sf_dir):
 @query("project_hits")
 def _(spark, sf_dir):
     docs = table.to_documents(bookings(spark, sf_dir))
-    return rounded(search.project_hits(search.search(docs, must={"adults": 3}, size=100, scored=False)))
+    return rounded(search.project_hits(search.search(docs, must={"adults": 3}, scored=False)))
 
 
 @query("search_arrival_day")
@@ -601,10 +641,30 @@ for _name in REPORTS:
     QUERIES[f"report_{_name}"] = _report_query(_name)
 
 
+_REPORTED = sorted({c for columns in _REPORT_COLUMNS.values() for c in columns})
+
+
 @query("all_reports")
 def _(spark, sf_dir):
-    needed = sorted({c for columns in _REPORT_COLUMNS.values() for c in columns})
-    return report_sizes(bookings(spark, sf_dir, *needed))
+    return rounded(report_values(all_reports(bookings(spark, sf_dir, *_REPORTED))), 4)
+
+
+@query("reports_after_updates")
+def _(spark, sf_dir):
+    """Sums of two thirds of the table, then three batches of updates and new rows; no batch reads the table again."""
+    base = fresh_path(spark, "sums")
+    clean = stored(bookings(spark, sf_dir, "id", *_REPORTED), "bookings")
+    other = clean.withColumns({"adr": F.expr("adr + 10"), "hotel": F.lit("City Hotel"), "is_canceled": F.expr("1 - is_canceled")})
+    rollups.start(clean.where("id % 3 <> 0"), base)
+    # Others' versions of some, all of the missing third, and the first ones again.
+    some, missing = "id % 3 = 1 AND id % 2 = 0", "id % 3 = 0"
+    current = clean.where("id % 3 <> 0")
+    for _ in range(2):  # a repeated batch changes nothing
+        rollups.apply(*rollups.changed_rows(current, other.where(some)), base, 1)
+    rollups.apply(*rollups.changed_rows(current, clean.where(missing)), base, 2)
+    rollups.apply(other.where(f"{some} AND id % 5 = 0"), clean.where(f"{some} AND id % 5 = 0"), base, 3)
+    rollups.compact(spark, base, f"{base}-compact")
+    return rounded(report_values(rollups.reports(spark, f"{base}-compact")), 4)
 
 
 def _shape_query(name: str) -> Query:
@@ -696,6 +756,28 @@ def _(spark, sf_dir):
     return fulltext.full_text_total(_documents(spark, sf_dir), TEXT_QUERY, ["text"])
 
 
+@query("full_text_indexed")
+def _(spark, sf_dir):
+    path = fresh_path(spark, "tokens")
+    textindex.build(_documents(spark, sf_dir), ["text"], path, "doc_id")
+    hits = textindex.search(spark, path, TEXT_QUERY, ["text"], size=None)
+    return rounded(hits.withColumnRenamed("key", "doc_id"), 4)
+
+
+@query("full_text_index_updated")
+def _(spark, sf_dir):
+    """Every fifth document gets words, every seventh goes; both tables of statistics and the matches are the changed table's."""
+    path, docs = fresh_path(spark, "tokens"), _documents(spark, sf_dir).select("doc_id", "text")
+    textindex.build(docs, ["text"], path, "doc_id")
+    before = docs.where("doc_id % 5 = 0 OR doc_id % 7 = 0")
+    after = docs.where("doc_id % 5 = 0 AND doc_id % 7 <> 0").withColumn("text", F.expr("concat(text, ' worthless there')"))
+    for _ in range(2):  # a repeated batch changes nothing
+        textindex.update(spark, path, before, after, ["text"], 1, "doc_id")
+    textindex.compact(spark, path, f"{path}-compact")
+    hits = textindex.search(spark, f"{path}-compact", TEXT_QUERY, ["text"], size=None)
+    return rounded(hits.withColumnRenamed("key", "doc_id"), 4)
+
+
 @query("full_text_bookings")
 def _(spark, sf_dir):
     clean = bookings(spark, sf_dir, "id", "country", "hotel")
@@ -721,7 +803,7 @@ def _(spark, sf_dir):
 @query("stream_upload_sync")
 def _(spark, sf_dir):
     base = fresh_path(spark, "stream")
-    bookings_raw(spark, sf_dir).write.option("header", True).csv(f"{base}/uploads")
+    bookings_raw(spark, sf_dir).write.options(**files.CSV_OPTIONS).csv(f"{base}/uploads")
     for _ in range(2):  # the second start finds nothing new
         uploads.start_upload_sync(
             spark,
@@ -733,3 +815,53 @@ def _(spark, sf_dir):
         ).awaitTermination()
     return rounded(uploads.read_synced(spark, f"{base}/table"))
 
+
+@query("stream_late_file")
+def _(spark, sf_dir):
+    """Three uploads, stored newest first: what the older ones hold of the same bookings comes late, and wins nowhere."""
+    base = fresh_path(spark, "late")
+    for name, keep, shift in (("1", "true", 1000), ("2", "id % 2 = 0", 1), ("3", "id % 3 = 0", 2)):
+        rows = bookings_raw(spark, sf_dir).where(keep).withColumn("lead_time", F.expr(f"lead_time + {shift}"))
+        rows.coalesce(1).write.options(**files.CSV_OPTIONS).csv(f"{base}/uploads/{name}")
+    uploads.start_upload_sync(
+        spark, f"{base}/uploads/*", f"{base}/table", f"{base}/checkpoint", every=None, newest_first=True
+    ).awaitTermination()
+    return uploads.read_synced(spark, f"{base}/table").select("id", "lead_time", "hotel", "arrival_date")
+
+
+# --- sketches of uploads -----------------------------------------------------
+
+
+def _sketches(spark, sf_dir) -> DataFrame:
+    """Sketches of four uploads, stored one by one."""
+    base = fresh_path(spark, "sketches")
+    raw = bookings_raw(spark, sf_dir)
+    for k in range(4):
+        part = raw.where(f"id % 4 = {k}")
+        sketches.sketch_rows(part, raw.columns, F.lit(k)).write.mode("append").parquet(base)
+    return spark.read.parquet(base)
+
+
+@query("sketched_percentiles")
+def _(spark, sf_dir):
+    """Whether each approximate percentile of three of four uploads lies within the promised error of its rank."""
+    columns, ps = ["lead_time", "adr", "agent"], [0.01, 0.25, 0.5, 0.75, 0.99]
+    held = sketches.sketched_percentiles(_sketches(spark, sf_dir).where("batch <> 1"), ps).where(F.col("column").isin(columns))
+    values = bookings_raw(spark, sf_dir).where("id % 4 <> 1").selectExpr(*[f"double({c}) AS {c}" for c in columns])
+    exact = values.unpivot([], columns, "column", "x").where("x IS NOT NULL")
+    # Fifteen rows.
+    ranks = exact.join(F.broadcast(held), "column").groupBy("column", "p").agg(
+        F.expr("count_if(x < value) / count(1)").alias("below"), F.expr("count_if(x <= value) / count(1)").alias("upto")
+    )
+    error = sketches.RANK_ERROR
+    return ranks.selectExpr("column", "p", f"below - {error} <= p AND p <= upto + {error} AS within")
+
+
+@query("sketched_distinct")
+def _(spark, sf_dir):
+    """Whether each approximate number of distinct values of three of four uploads is within the promised error."""
+    raw = bookings_raw(spark, sf_dir)
+    guess = sketches.sketched_distinct(_sketches(spark, sf_dir).where("batch <> 1"))
+    exact = profiling.unique_counts(raw.where("id % 4 <> 1")).withColumnsRenamed({"n_unique": "exact", "n_rows": "rows"})
+    near = f"abs(n_unique - exact) <= greatest(1, {sketches.DISTINCT_ERROR} * exact) AND n_rows = rows"
+    return guess.join(exact, "column").selectExpr("column", "exact AS n_unique", f"{near} AS within")

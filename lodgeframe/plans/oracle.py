@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lodgeframe.countries import COUNTRY_NAMES
 from lodgeframe.fixture import RAW_BOOKINGS_SQL
 from lodgeframe.schema import CLEAN_COLUMNS, FACET_COLUMNS, FIELD_KINDS, OUTLIER_COLUMNS, RAW_COLUMNS
@@ -163,6 +165,56 @@ _REPORTS = {
 }
 
 
+#: Columns that tell a report's rows apart; the others are values.
+_LABELS = {
+    "cancellation_rate": ["market_segment", "hotel"],
+    "adr_by_month": ["month", "hotel"],
+    "booking_trends": ["month"],
+    "revenue": ["reserved_room_type", "month"],
+    "repeat_guests": ["is_repeated_guest", "section", "key"],
+}
+_VALUES = {
+    "cancellation_rate": ["segment_doc_count", "doc_count", "cancellation_rate"],
+    "adr_by_month": ["month_doc_count", "doc_count", "average_adr"],
+    "special_requests": ["doc_count", "cancellation_rate"],
+    "lead_time_by_status": ["doc_count", "average_lead_time"],
+    "revenue": ["room_doc_count", "doc_count", "revenue"],
+    "lead_time_adr": ["doc_count", "average_adr"],
+    "repeat_guests": ["doc_count", "average_lead_time"],
+    "adr_factors": ["doc_count", "cancellation_rate", "average_stay_length", "special_requests_count"],
+    "cancel_factors": ["doc_count", "average_lead_time", "average_stay_length", "special_requests_count"],
+    "composition": ["doc_count", "average_lead_time", "average_stay_length", "special_requests_count"],
+}
+_SINGLE_LABELS = {
+    "top_countries": "country",
+    "length_of_stay": "length_of_stay",
+    "special_requests": "total_of_special_requests",
+    "lead_time_by_status": "is_canceled",
+    "room_types": "reserved_room_type",
+    "guest_country": "country",
+    "booking_source": "distribution_channel",
+    "lead_time_adr": "lead_time_bucket",
+    "adr_factors": "adr",
+    "cancel_factors": "is_canceled",
+    "composition": "booking_composition",
+}
+
+
+def _report_values(name: str) -> str:
+    """A report in long form: a row for each of its values."""
+    body = _REPORTS[name].strip()
+    inner = f"WITH {body[1:]}" if body.startswith(",") else body
+    labels = ", ".join(f"CAST({c} AS VARCHAR)" for c in _LABELS.get(name) or [_SINGLE_LABELS[name]])
+    cells = ", ".join(f"{{'metric': '{c}', 'value': CAST({c} AS DOUBLE)}}" for c in _VALUES.get(name, ["doc_count"]))
+    told = f"SELECT concat_ws('|', {labels}) AS labels, unnest([{cells}]) AS cell FROM ({_unrounded(inner)})"
+    return f"SELECT '{name}' AS report, labels, cell.metric AS metric, round(1e-9 + cell.value, 4) AS value FROM ({told})"
+
+
+def _unrounded(sql: str) -> str:
+    """The same without rounding to six digits; values are rounded once, at the end."""
+    return re.sub(r"round\(((?:avg|sum)\((?:[^()]|\([^()]*\))*\)), \d\)", r"\1", sql)
+
+
 def _report(name: str) -> str:
     """The report as a WITH clause plus a parenthesised query for reuse."""
     body = _REPORTS[name].strip()
@@ -319,17 +371,35 @@ def _build() -> dict[str, str]:
     # sources and sinks
     sql["scan_bookings_csv"] = raw_sql(f"SELECT {', '.join(_IDS)} FROM raw")
     table = clean_sql(f"SELECT {', '.join(_TABLE)} FROM clean")
-    for name in ("scan_clean_csv", "scan_bookings_table", "bulk_insert", "sync_snapshot"):
+    for name in ("scan_clean_csv", "scan_bookings_table", "bulk_insert"):
         sql[name] = table
+    sql["scan_quoted_lines"] = clean_sql(
+        f"""SELECT {', '.join(_TABLE)} FROM
+            (SELECT * REPLACE (hotel || ',' || chr(10) || '"' || meal || '"' || chr(10) || country AS hotel) FROM clean)"""
+    )
+    torn, wrong = "id % 89 = 7", "id % 97 = 5"
+    sql["quarantine_good_rows"] = raw_sql(f"SELECT {', '.join(_IDS)} FROM raw WHERE NOT ({torn} OR {wrong})")
+    sql["quarantine_rejects"] = raw_sql(
+        f"""SELECT id, CASE WHEN {torn} THEN 'torn' ELSE 'type' END AS reason,
+              CASE WHEN {torn} THEN '' ELSE 'lead_time' END AS bad_columns, true AS placed
+            FROM raw WHERE {torn} OR {wrong}"""
+    )
+    sql["sync_snapshot"] = clean_sql(
+        f""", u AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN adr ELSE adr + 1 END AS adr,
+              CASE WHEN id % 3 = 0 THEN hotel ELSE hotel || ' *' END AS hotel) FROM clean) {_select(_TABLE, 'u')}"""
+    )
     sql["scan_latest_file"] = clean_sql(
         f"SELECT {', '.join(_TABLE)} FROM (SELECT * REPLACE (hotel || ' 2' AS hotel) FROM clean)"
     )
-    sql["sink_clean_csv"] = clean_sql("SELECT country, count(*) AS doc_count FROM clean GROUP BY 1")
-    sql["append_bookings"] = raw_sql(
-        """SELECT 2 * count(*) AS n_rows, 2 * count(*) AS n_ids, CAST(1 AS BIGINT) AS min_id,
-           2 * count(*) AS max_id FROM raw"""
+    cells = ("id", "hotel", "country", "lead_time", "market_segment", "adr", "arrival_date", "reservation_status_date")
+    sql["sink_clean_csv"] = clean_sql(f"SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in cells)} FROM clean")
+    rows = _select(CLEAN_COLUMNS, "clean")
+    sql["append_bookings"] = clean_sql(
+        f""", twice AS ({rows} UNION ALL {rows})
+        SELECT *, count(*) OVER () AS n_rows, count(*) OVER () AS n_ids, CAST(1 AS BIGINT) AS min_id,
+          count(*) OVER () AS max_id FROM twice"""
     )
-    sql["bootstrap_if_empty"] = raw_sql("SELECT hotel, count(*) AS doc_count FROM raw GROUP BY 1")
+    sql["bootstrap_if_empty"] = clean_sql(rows)
     sql["to_documents"] = clean_sql(
         """SELECT id, hotel, country, reservation_status, hotel AS hotel_suggest_input,
            country AS country_suggest_input, reservation_status AS reservation_status_suggest_input
@@ -354,7 +424,7 @@ def _build() -> dict[str, str]:
     )
     sql["sink_search_json"] = clean_sql(
         f"""SELECT {', '.join(CLEAN_COLUMNS)} FROM
-            (SELECT * FROM clean WHERE is_canceled = 1 ORDER BY id LIMIT 200)"""
+            (SELECT * FROM clean WHERE is_canceled = 1)"""
     )
     sql["run_etl"] = clean_sql(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM clean")
 
@@ -389,6 +459,18 @@ def _build() -> dict[str, str]:
     sql["build_arrival_date"] = clean_sql("SELECT id, arrival_date FROM clean")
     sql["clean_bookings"] = clean_sql(_select(_TABLE, "clean"))
     sql["stream_upload_sync"] = sql["clean_bookings"]
+    sql["stream_late_file"] = clean_sql(
+        """SELECT id, CAST(lead_time + CASE WHEN id % 3 = 0 THEN 2 WHEN id % 2 = 0 THEN 1 ELSE 1000 END AS INTEGER) AS lead_time,
+           hotel, arrival_date FROM clean"""
+    )
+    places = ", ".join(f"('{c}', {p}, true)" for c in ("lead_time", "adr", "agent") for p in (0.01, 0.25, 0.5, 0.75, 0.99))
+    sql["sketched_percentiles"] = f"""SELECT "column", CAST(p AS DOUBLE) AS p, within FROM (VALUES {places}) t("column", p, within)"""
+    sql["sketched_distinct"] = raw_sql(
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique, true AS within FROM raw WHERE id % 4 <> 1"""
+            for c in _IDS
+        )
+    )
     sql["strict_cast"] = sql["scan_bookings_csv"]
     sql["strict_cast_rejects"] = raw_sql(
         """SELECT id, concat_ws(',', CASE WHEN id % 97 = 5 THEN 'lead_time' END,
@@ -497,8 +579,7 @@ def _build() -> dict[str, str]:
     sql["search_score"] = clean_sql(
         f""", st AS (SELECT {stats} FROM clean),
         sc AS (SELECT clean.*, 1.0 + CASE WHEN adults = 3 THEN 1 ELSE 0 END + {score} AS score FROM clean, st)
-        SELECT id, round(CAST(score AS DOUBLE), 5) AS score FROM sc WHERE {searched}
-        ORDER BY sc.score DESC, id LIMIT 2000"""
+        SELECT id, round(CAST(score AS DOUBLE), 5) AS score FROM sc WHERE {searched}"""
     )
     clauses = " + ".join(relevance("hotel", w) for w in ("city", "hotel", "city"))
     sql["search_score_clauses"] = clean_sql(
@@ -508,7 +589,7 @@ def _build() -> dict[str, str]:
           AND (adults = 3 OR list_contains({tok['hotel']}, 'city'))"""
     )
     sql["project_hits"] = clean_sql(
-        f", x AS (SELECT * FROM clean WHERE adults = 3 ORDER BY id LIMIT 100) {_select(CLEAN_COLUMNS, 'x')}"
+        f", x AS (SELECT * FROM clean WHERE adults = 3) {_select(CLEAN_COLUMNS, 'x')}"
     )
     sql["search_arrival_day"] = _hits(
         "arrival_date = (SELECT min(arrival_date) FROM clean)"
@@ -581,13 +662,15 @@ def _build() -> dict[str, str]:
     # reports
     for name, body in _REPORTS.items():
         sql[f"report_{name}"] = clean_sql(body)
-    sizes = []
-    for name, body in _REPORTS.items():
-        inner = body.strip()
-        if inner.startswith(","):
-            inner = f"WITH {inner[1:]}"
-        sizes.append(f"SELECT '{name}' AS report, count(*) AS n_rows FROM ({inner})")
-    sql["all_reports"] = clean_sql(" UNION ALL ".join(sizes))
+    values = " UNION ALL ".join(_report_values(name) for name in _REPORTS)
+    sql["all_reports"] = clean_sql(values)
+    some = "id % 3 = 1 AND id % 2 = 0 AND id % 5 <> 0"
+    sql["reports_after_updates"] = clean_sql(
+        f""", before AS (SELECT * FROM clean), changed AS (SELECT * REPLACE (
+              CASE WHEN {some} THEN adr + 10 ELSE adr END AS adr, CASE WHEN {some} THEN 'City Hotel' ELSE hotel END AS hotel,
+              CASE WHEN {some} THEN 1 - is_canceled ELSE is_canceled END AS is_canceled) FROM before)
+        SELECT * FROM (WITH clean AS (SELECT * FROM changed) {values})"""
+    )
 
     # display shapes
     sql["pivot_cancellation_rate"] = _shaped(
@@ -696,6 +779,12 @@ def _build() -> dict[str, str]:
         f"{found} SELECT id AS doc_id, round(CAST(score AS DOUBLE), 4) AS score FROM matched"
         " ORDER BY matched.score DESC, id LIMIT 10"
     )
+    scores = "SELECT id AS doc_id, round(CAST(score AS DOUBLE), 4) AS score FROM matched"
+    sql["full_text_indexed"] = f"{found} {scores}"
+    sql["full_text_index_updated"] = f"""WITH changed AS (
+          SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' worthless there' ELSE text END AS text
+          FROM documents WHERE doc_id % 7 <> 0),
+        {_fulltext('changed', 'doc_id', ['text'], ['worthles', 'there'])} {scores}"""
     sql["full_text_total"] = (
         f"{found} SELECT count(*) AS total FROM matched"
     )

@@ -1,8 +1,10 @@
 """The sixteen booking reports.
 
 A report is a grouping (keys and metrics, the only pass over the table) followed
-by a ranking of the grouped rows. One report runs its own grouping; all reports
-together share a single grouping-sets pass.
+by a ranking of the grouped rows. One report runs its own grouping. All reports
+together share a lattice: one pass keeps partial sums for a few groupings (BASES), each finer than several reports', and
+every report rolls the smallest base above it up. Partial sums merge, so they also follow changes of the table without
+reading it again: see ``rollups``.
 """
 
 from __future__ import annotations
@@ -24,14 +26,36 @@ from lodgeframe.operators.buckets import (
     top,
     top_then_months,
 )
-from lodgeframe.sources.workspace import checkpointed
+from lodgeframe.sources.workspace import stored
 
 _MONTH = month_of("arrival_date")
-_CANCELLATION = {"cancellation_rate": "avg(is_canceled)"}
-_ADR = {"average_adr": "avg(adr)"}
-_LEAD = {"average_lead_time": "avg(lead_time)"}
-_STAY = {"average_stay_length": f"avg({TOTAL_NIGHTS})"}
-_REQUESTS = {"special_requests_count": "avg(total_of_special_requests)"}
+
+#: What is averaged or added up, by name.
+MEASURES = {
+    "canceled": "is_canceled",
+    "adr": "adr",
+    "lead": "lead_time",
+    "stay": TOTAL_NIGHTS,
+    "requests": "total_of_special_requests",
+    "revenue": REVENUE,
+}
+#: Metrics as (aggregate, measure).
+_CANCELLATION = {"cancellation_rate": ("avg", "canceled")}
+_ADR = {"average_adr": ("avg", "adr")}
+_LEAD = {"average_lead_time": ("avg", "lead")}
+_STAY = {"average_stay_length": ("avg", "stay")}
+_REQUESTS = {"special_requests_count": ("avg", "requests")}
+
+#: Groupings whose partial sums are kept; every report's keys are among those of one of them.
+BASES = (
+    ("market_segment", "hotel", "distribution_channel", "is_canceled"),
+    ("month", "hotel", "reserved_room_type"),
+    ("is_repeated_guest", "country", "hotel"),
+    ("length_of_stay", "total_of_special_requests"),
+    ("lead_time_bucket",),
+    ("booking_composition",),
+    ("adr",),
+)
 
 
 @dataclass(frozen=True)
@@ -39,10 +63,27 @@ class Report:
     keys: Mapping[str, str]
     rank: Callable[[DataFrame], DataFrame]
     columns: tuple[str, ...]
-    metrics: Mapping[str, str] = field(default_factory=dict)
+    metrics: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+
+    def from_rows(self) -> dict[str, str]:
+        """SQL of the metrics over rows of the table."""
+        return {name: f"{kind}({MEASURES[of]})" for name, (kind, of) in self.metrics.items()}
+
+    def from_sums(self) -> dict[str, str]:
+        """SQL of the metrics over partial sums."""
+        sums = {"avg": "try_divide(double(sum({m}_sum)), sum({m}_count))", "sum": "sum({m}_sum)", "count": "sum({m}_count)"}
+        return {name: sums[kind].format(m=of) for name, (kind, of) in self.metrics.items()}
+
+    def base(self) -> tuple[str, ...]:
+        """The smallest base that is finer than the report."""
+        return min((b for b in BASES if set(self.keys) <= set(b)), key=len)
+
+    def labels(self) -> list[str]:
+        """The columns that tell the report's rows apart; the others are values."""
+        return [c for c in self.columns if c in self.keys or c in ("section", "key")]
 
 
-def _simple(key: str, metrics: Mapping[str, str] | None = None, sql: str | None = None, **how):
+def _simple(key: str, metrics: Mapping[str, tuple[str, str]] | None = None, sql: str | None = None, **how):
     metrics = dict(metrics or {})
     return Report(
         keys={key: sql or key},
@@ -113,7 +154,7 @@ REPORTS: dict[str, Report] = {
     "booking_source": _simple("distribution_channel", size=5),
     "revenue": Report(
         keys={"reserved_room_type": "reserved_room_type", "month": _MONTH},
-        metrics={"revenue": f"sum({REVENUE})"},
+        metrics={"revenue": ("sum", "revenue")},
         rank=lambda pairs: _months_as_text(
             top_then_months(pairs, "reserved_room_type", outer_count="room_doc_count")
         ),
@@ -127,7 +168,7 @@ REPORTS: dict[str, Report] = {
     ),
     "repeat_guests": Report(
         keys={"is_repeated_guest": "is_repeated_guest", "country": "country", "hotel": "hotel"},
-        metrics={"lead_time_sum": "sum(lead_time)", "lead_time_count": "count(lead_time)"},
+        metrics={"lead_time_sum": ("sum", "lead"), "lead_time_count": ("count", "lead")},
         rank=_repeat_guests,
         columns=("is_repeated_guest", "section", "key", "doc_count", "average_lead_time"),
     ),
@@ -142,53 +183,45 @@ REPORTS: dict[str, Report] = {
 def report(name: str, df: DataFrame) -> DataFrame:
     """One report over a cleaned bookings table."""
     spec = REPORTS[name]
-    counted = count_by(df, spec.keys, spec.metrics)
+    counted = count_by(df, spec.keys, spec.from_rows())
     return spec.rank(counted).select(*spec.columns)
 
 
-def report_groups(df: DataFrame) -> DataFrame:
-    """Every grouping any report needs, from one scan and one shuffle (grouping sets).
+#: SQL of every key of a base, in a fixed order.
+BASE_KEYS = {key: sql for base in BASES for key in base for spec in REPORTS.values() for name, sql in spec.keys.items() if name == key}
+SUMS = [f"{m}_{part}" for m in MEASURES for part in ("sum", "count")]
 
-    The result is small next to the table (one row per distinct report key), so
-    this is what to keep when several reports are wanted.
-    """
-    keys: dict[str, str] = {}
-    metrics: dict[str, str] = {}
-    for spec in REPORTS.values():
-        keys.update({f"k_{name}": sql for name, sql in spec.keys.items()})
-        metrics.update(spec.metrics)
-    sets = _key_sets()
-    return (
-        df.withColumns({name: F.expr(sql) for name, sql in keys.items()})
-        .groupingSets(sets, *keys)
-        .agg(
-            F.grouping_id().alias("grouping"),
-            F.count(F.lit(1)).alias("doc_count"),
-            *[F.expr(sql).alias(name) for name, sql in metrics.items()],
-        )
-    )
 
+def base_sums(df: DataFrame, sign: int = 1) -> DataFrame:
+    """(base, the keys of all bases, doc_count, a sum and a count for each measure): one row for each group of each base.
 
-def _key_sets() -> list[list[str]]:
-    sets: list[list[str]] = []
-    for spec in REPORTS.values():
-        names = [f"k_{name}" for name in spec.keys]
-        if names not in sets:
-            sets.append(names)
-    return sets
+    One scan and one shuffle (grouping sets). Keys that are not the base's are null. With ``sign=-1`` the rows count as taken away.
+    """
+    rows = df.select(
+        *[F.expr(sql).alias(f"k_{key}") for key, sql in BASE_KEYS.items()],
+        *[F.expr(sql).alias(f"m_{m}") for m, sql in MEASURES.items()],
+    )
+    keys = [f"k_{key}" for key in BASE_KEYS]
+    sums = []
+    for m, sql in MEASURES.items():
+        sums += [(F.sum(f"m_{m}") * sign).alias(f"{m}_sum"), (F.count(f"m_{m}") * sign).alias(f"{m}_count")]
+    grouped = rows.groupingSets([[f"k_{key}" for key in base] for base in BASES], *keys).agg(
+        F.grouping_id().alias("_set"), (F.count(F.lit(1)) * sign).alias("doc_count"), *sums
+    )
+    # The grouping number has a 1 bit for every key left out, first key highest.
+    numbers = {int("".join("0" if key in base else "1" for key in BASE_KEYS), 2): n for n, base in enumerate(BASES)}
+    cases = " ".join(f"WHEN {number} THEN {n}" for number, n in numbers.items())
+    named = [F.col(f"k_{key}").alias(key) for key in BASE_KEYS]
+    return grouped.select(F.expr(f"CASE _set {cases} END").alias("base"), *named, "doc_count", *SUMS)
 
 
-def reports_from_groups(groups: DataFrame) -> dict[str, DataFrame]:
-    """All reports by name, read off the result of :func:`report_groups`."""
-    order = [c for c in groups.columns if c.startswith("k_")]
+def reports_from_sums(sums: DataFrame) -> dict[str, DataFrame]:
+    """All reports by name, rolled up from :func:`base_sums`."""
     out = {}
     for name, spec in REPORTS.items():
-        # The grouping number has a 1 bit for every key left out, first key highest.
-        used = {f"k_{key}" for key in spec.keys}
-        number = int("".join("0" if c in used else "1" for c in order), 2)
-        counted = groups.where(F.col("grouping") == number).select(
-            *[F.col(f"k_{key}").alias(key) for key in spec.keys], "doc_count", *spec.metrics
-        )
+        base = sums.where(F.col("base") == BASES.index(spec.base()))
+        metrics = [F.expr(sql).alias(metric) for metric, sql in spec.from_sums().items()]
+        counted = base.groupBy(*spec.keys).agg(F.sum("doc_count").alias("doc_count"), *metrics)
         out[name] = spec.rank(counted).select(*spec.columns)
     return out
 
@@ -196,10 +229,22 @@ def reports_from_groups(groups: DataFrame) -> dict[str, DataFrame]:
 def all_reports(df: DataFrame) -> dict[str, DataFrame]:
     """All sixteen reports by name over one shared pass.
 
-    The grouped rows are written once to the shared checkpoint folder: each report
+    The sums are written once to the shared folder: each report
     filters and prunes them differently, which would otherwise repeat the scan.
     """
-    return reports_from_groups(checkpointed(report_groups(df)))
+    return reports_from_sums(stored(base_sums(df), "sums"))
+
+
+def report_values(reports: Mapping[str, DataFrame]) -> DataFrame:
+    """(report, labels, metric, value) of all given reports as one table: their labels joined by '|', a row for each value."""
+    parts = []
+    for name, frame in reports.items():
+        labels = REPORTS[name].labels()
+        values = [c for c in frame.columns if c not in labels]
+        cells = ", ".join(f"struct('{c}' AS metric, double(`{c}`) AS value)" for c in values)
+        told = F.concat_ws("|", *[F.col(c).cast("string") for c in labels])
+        parts.append(frame.select(F.lit(name).alias("report"), told.alias("labels"), F.expr(f"inline(array({cells}))")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def report_sizes(df: DataFrame) -> DataFrame:

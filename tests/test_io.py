@@ -186,3 +186,58 @@ def test_sync_updates_inserts_and_keeps(spark, tmp_path):
     table(spark, [{"id": 2, "adr": 9.0}, {"id": 3, "adr": 3.0}]).write.parquet(source)
     got = store.sync(spark, source, first, second)
     assert sorted(values(got, "id", "adr")) == [(1, 1.0), (2, 9.0), (3, 3.0)]
+
+
+def test_cells_with_line_feeds_quotes_and_blanks_at_their_ends_come_back(spark, tmp_path):
+    cells = ["a\nb", ' "x", y\n', "\n", "  ", 'say "hi"\n\n,', "plain"]
+    rows = table(spark, [{"id": k, "hotel": c} for k, c in enumerate(cells)])
+    copy = files.write_clean_csv(rows, str(tmp_path / "clean"), "1")
+    assert [h for _, h in sorted(values(files.read_clean_csv(spark, copy), "id", "hotel"))] == cells
+    first = files.read_clean_csv(spark, copy)
+    again = files.write_clean_csv(first, str(tmp_path / "clean"), "2")
+    assert sorted(values(files.read_clean_csv(spark, again))) == sorted(values(first))
+
+
+def test_torn_rows_fail_or_go_to_quarantine_with_their_place(spark, tmp_path):
+    header = list(RAW_COLUMNS)
+    row = dict(zip(header, map(str, values(raw(spark, [{}]))[0])))
+    good = ",".join({**row, "hotel": '"two\nlines"'}.values())
+    lines = [",".join(header), good, "torn,row", ",".join({**row, "adults": "x", "adr": "1,5"}.values()), ",".join({**row, "adults": "many"}.values()), good]
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "up" / "b.csv").write_text("\n".join([lines[0], good, good]) + "\n")
+    path = str(tmp_path / "up")
+    for used in (lambda df: df.count(), lambda df: df.select("hotel").collect()):
+        with pytest.raises(Exception, match="torn row"):
+            used(files.read_bookings_csv(spark, path))
+    kept, rejects = files.quarantine_bookings_csv(spark, path)
+    assert values(kept, "hotel") == ["two\nlines"] * 4 and kept.columns == header
+    got = sorted((r.file.rsplit("/", 1)[1], r.place, r.reason, r.bad_columns) for r in rejects.collect())
+    assert got == [("a.csv", 1, "torn", ""), ("a.csv", 2, "torn", ""), ("a.csv", 3, "type", "adults")]
+    files.write_rejects(rejects, str(tmp_path / "rejects"))
+    assert spark.read.parquet(str(tmp_path / "rejects")).where("row LIKE 'torn,row%'").count() == 1
+
+
+def test_an_old_file_that_comes_late_wins_nothing(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    for name, price, written in (("new", 9.0, 3000), ("old", 1.0, 1000), ("middle", 5.0, 2000)):
+        path = tmp_path / "up" / f"{name}.csv"
+        ids = {"new": ["1"], "old": ["1", "2", "3", "3"], "middle": ["1", "2"]}[name]
+        _write_csv(spark, path, [{"adr": price + k / 10} for k in range(len(ids))], ids)
+        os.utime(path, (written, written))
+        got = _sync(spark, tmp_path)
+    assert sorted(values(got, "id", "adr")) == [(1, 9.0), (2, 5.1), (3, 1.3)]
+    together = tmp_path / "together"
+    together.mkdir()
+    (tmp_path / "up").rename(together / "up")
+    assert sorted(values(_sync(spark, together, files_per_batch=None), "id", "adr")) == [(1, 9.0), (2, 5.1), (3, 1.3)]
+    compacted = uploads.compact(spark, str(together / "table"), str(together / "compact"))
+    assert sorted(values(compacted, "id", "adr")) == [(1, 9.0), (2, 5.1), (3, 1.3)]
+
+
+def test_a_sync_sends_bad_rows_to_their_table(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    _write_csv(spark, tmp_path / "up" / "0.csv", [{"adr": 1.0}, {"adr": 2.0}], ["1", "x"])
+    got = _sync(spark, tmp_path, rejects=str(tmp_path / "rejects"))
+    assert values(got, "id", "adr") == [(1, 1.0)]
+    assert values(spark.read.parquet(str(tmp_path / "rejects")), "reason", "bad_columns") == [("type", "id")]
