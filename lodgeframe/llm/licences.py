@@ -2,12 +2,15 @@
 
 Each licence has a label, the SPDX identifiers that stand for it, a regex of its name and, where it has one, of its
 address. FORMS turns every one into rules of different weight: a tag, a grant, a reference, an address, a bare title. PHRASES
-are sentences from licence texts. Regexes see the text with A-Z in lower case; a keyword is a literal
-that every match contains, and rules are tried only where it occurs.
+are sentences from licence texts. Regexes see the text with A-Z in lower case. They are written with single blanks between
+words; ``spaced`` makes each stand for any gap between words: blanks, line ends, and comment marks at the start of
+a line. A keyword is a literal that every match contains once its gaps are single blanks, and rules are tried only where it occurs.
 """
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 
@@ -22,6 +25,17 @@ class Rule:
     weight: float
 
 
+#: Between two words: white space, and what a line of a comment may begin with.
+GAP = r"(?:\s+(?:(?:[-#*/;%!>|]+|dnl|rem|\.\.)\s+|//\s*|#+\s*)?)"
+
+
+def spaced(regex: str) -> str:
+    """The regex with a gap for every blank; in a character class, any white space; counted dots also match line ends."""
+    parts = re.split(r"(\[\^?(?:\\.|[^\]\\])*\])", regex)  # classes stand at odd places
+    outside = lambda p: re.sub(r"(?<!\\)\.\{", r"[\\s\\S]{", p.replace(" ", GAP))
+    return "".join(p.replace(" ", r"\s") if k % 2 else outside(p) for k, p in enumerate(parts))
+
+
 _V = r"(?:,? ?(?:version|v\.?) ?)"
 
 #: label, SPDX identifiers, keyword of the name, name, address (or None)
@@ -134,6 +148,50 @@ PHRASES = [
     ("proprietary", "all rights reserved", r"all rights reserved", 0.4),
     ("proprietary", "confidential", r"proprietary and confidential", 0.6),
     ("proprietary", "unauthorized copying", r"unauthorized copying of this (?:file|document|software)", 0.7),
+    ("lgpl", "this library is free", r"this library is free software[;:] you can redistribute it and/or modify", 0.9),
+    ("agpl-3.0", "affero", r"under the terms of the gnu affero general public licen[cs]e as published", 1.0),
+    ("agpl-3.0", "remote network interaction", r"remote network interaction; use with the gnu general public licen[cs]e", 0.9),
+    ("gfdl", "free documentation", r"copy, distribute and/or modify this document under the terms of the gnu free documentation", 1.0),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation", 0.8),
+    ("apache-2.0", "limitations under the", r"governing permissions and limitations under the licen[cs]e", 0.6),
+    ("apache-2.0", "terms and conditions for use", r"terms and conditions for use, reproduction, and distribution", 0.8),
+    ("mpl-2.0", "incompatible with secondary", r"incompatible with secondary licen[cs]es, as defined by", 0.8),
+    ("epl-2.0", "accompanying materials", r"accompanying materials are made available under the terms of the eclipse public licen[cs]e,?(?: v\.? ?| version )2", 1.0),
+    ("epl-1.0", "accompanying materials", r"accompanying materials are made available under the terms of the eclipse public licen[cs]e,?(?: v\.? ?| version )1", 1.0),
+    ("cddl-1.0", "common development", r"subject to the terms of the common development and distribution licen[cs]e", 1.0),
+    ("cpl-1.0", "common public", r"is provided under the terms of this common public licen[cs]e", 1.0),
+    ("artistic-1.0", "artistic control", r"copyright holder maintains some semblance of artistic control over the development of the package", 1.0),
+    ("artistic-2.0", "artistic licen", r"this package is distributed under the terms of the artistic licen[cs]e,? (?:version )?2", 0.9),
+    ("zlib", "origin of this software", r"the origin of this software must not be misrepresented", 0.9),
+    ("libpng", "png reference library", r"the png reference library is supplied [\"']?as is", 1.0),
+    ("bsl-1.0", "any person or organization", r"any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e", 1.0),
+    ("unlicense", "anyone is free to copy", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", 1.0),
+    ("wtfpl", "what the f", r"you just do what the f\S{3} you want to", 1.0),
+    ("python-2.0", "making python available", r"psf is making python available to licensee on an [\"']?as is", 1.0),
+    ("php-3.01", "php software", r"this product includes php software, freely available from", 1.0),
+    ("ofl-1.1", "goals of the open font", r"the goals of the open font licen[cs]e", 0.9),
+    ("eupl-1.2", "eupl", r"licensed under the eupl(?:,? (?:version |v\.? ?)?1\.2)?", 0.9),
+    ("ms-pl", "governs use of the accompanying", r"this licen[cs]e governs use of the accompanying software", 0.8),
+    ("osl-3.0", "open software", r"licensed under the open software licen[cs]e", 0.9),
+    ("afl-3.0", "academic free", r"licensed under the academic free licen[cs]e", 0.9),
+    ("ncsa", "deal with the software", r"to deal with the software without restriction", 0.9),
+    ("upl-1.0", "larger works", r"any and all copyright rights in the software, and any and all patent rights .{1,90}? larger works", 0.9),
+    ("postgresql", "without a written agreement", r"without fee, and without a written agreement is hereby granted", 1.0),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project", 1.0),
+    ("curl", "purpose with or without fee", r"software for any purpose with or without fee is hereby granted, provided that the above copyright", 0.8),
+    ("w3c", "copying this work", r"by (?:obtaining, using and/or|obtaining and/or) copying this work, you", 1.0),
+    ("x11", "x consortium", r"the name of the x consortium shall not be used in advertising", 1.0),
+    ("vim", "unmodified copies of vim", r"no restrictions on distributing unmodified copies of vim", 1.0),
+    ("sleepycat", "obtain complete source", r"redistributions in any form must be accompanied by information on how to obtain complete source code", 1.0),
+    ("qpl-1.0", "q public", r"under the terms of the q public licen[cs]e", 0.9),
+    ("odbl-1.0", "open database", r"the open database licen[cs]e \(odbl\) is a licen[cs]e agreement intended to allow users to freely share", 1.0),
+    ("cc0-1.0", "dedicated the work", r"has dedicated the work to the public domain by waiving all", 1.0),
+    ("cc-by", "for any purpose, even commercially", r"remix, transform, and build upon the material for any purpose, even commercially", 0.7),
+    ("cc-by-nc", "for commercial purposes", r"you may not use the material for commercial purposes", 0.8),
+    ("bsd-2-clause", "views and conclusions", r"the views and conclusions contained in the software and documentation are those of the authors", 0.7),
+    ("isc", "disclaims all warranties", r"the author disclaims all warranties with regard to this software", 0.7),
+    ("ruby", "same terms as ruby", r"(?:under|on) the same terms as ruby", 0.9),
+    ("gpl", "preamble", r"preamble the licen[cs]es for most software are designed to take away your freedom", 1.0),
     ("proprietary", "may not be reproduced", r"may not be reproduced,? (?:distributed )?.{0,60}?without (?:prior )?written permission", 0.7),
 ]
 

@@ -99,17 +99,21 @@ def test_phrases_equal_brute_force(spark):
 
 
 def python_detections(text):
+    """All matches of all rules; each is held against every other one."""
     lower, found = (text or "").translate(LOWER), []
+    gate = re.sub(licences.GAP, " ", lower)
     for rule in licences.rules():
-        if rule.keyword in lower:
-            found += [(m.start(), -m.end(), rule.rank, rule.label, rule.weight) for m in re.finditer(rule.regex, lower)]
-    reach, rank, out = 0, 1 << 30, []
-    for start, end, r, label, _ in sorted(found):
-        if not (-end <= reach and rank <= r):
-            out.append((start, -end, label))
-        if -end > reach:
-            reach, rank = -end, r
-    return out
+        if rule.keyword in gate:
+            found += [(m.start(), -m.end(), rule.rank, rule.label, rule.weight) for m in re.finditer(licences.spaced(rule.regex), lower)]
+    found = sorted(found)
+
+    def suppressed(k):
+        start, end, rank, _, _ = found[k]
+        return any(
+            a <= start and b <= end and r <= rank and ((a, b) != (start, end) or j < k) for j, (a, b, r, _, _) in enumerate(found) if j != k
+        )
+
+    return [(s, -e, label) for k, (s, e, _, label, _) in enumerate(found) if not suppressed(k)]
 
 
 def test_detections_equal_the_rules_in_order(spark):
@@ -151,3 +155,62 @@ def test_licences_named_without_the_usual_words(spark):
     rows = [(1, "No copyright is claimed here."), (2, "Under the Open Data Commons Database License 1.0."), (3, "Open Database Licence")]
     found = {r.doc_id: {d.label for d in r._detections} for r in licence_scan.scan(frame(spark, rows)).collect()}
     assert found == {1: {"public-domain"}, 2: {"odbl-1.0"}, 3: {"odbl-1.0"}}
+
+
+NOTICES = {
+    "gpl": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as"
+    " published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is"
+    " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this"
+    ' permission notice shall be included in all copies. The software is provided "as is", without warranty of any kind.',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must"
+    " retain the above copyright notice. Neither the name of the copyright holder nor the names of its contributors may be used.",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."
+    ' Distributed on an "AS IS" BASIS.',
+}
+
+
+def test_wrapped_and_commented_notices_give_the_same_detections(spark):
+    import textwrap
+
+    marks, rows = ["", " * ", "# ", "// ", "//", "-- ", "; ", "   "], []
+    for k, notice in enumerate(NOTICES.values()):
+        rows.append((1000 * k, notice))
+        for m, mark in enumerate(marks):
+            rows += [(1000 * k + 10 * m + n, "\n".join(mark + line for line in textwrap.wrap(notice, width))) for n, width in ((1, 72), (2, 40), (3, 25))]
+    found = {r.doc_id: [(d.label, d.rank) for d in r._detections] for r in licence_scan.scan(frame(spark, rows)).collect()}
+    for i, got in found.items():
+        whole = found[i // 1000 * 1000]
+        assert {list(NOTICES)[i // 1000]} <= {x for x, _ in whole} and len(whole) >= 3
+        assert got == whole, rows[i % 1000]
+
+
+def test_an_interval_inside_an_earlier_one_is_suppressed_whatever_stands_between(spark):
+    from pyspark.sql import functions as F
+
+    dice = random.Random(9)
+    for case in range(30):
+        spans = [(s := dice.randrange(20), s + dice.randrange(1, 12), dice.choice([10, 20, 60])) for _ in range(dice.randrange(1, 9))]
+        if case == 0:
+            spans = [(0, 15, 10), (4, 19, 60), (8, 11, 20)]
+        rows = sorted((s, -e, r, f"l{k}") for k, (s, e, r) in enumerate(spans))
+        cells = F.array(*(F.struct(F.lit(s).alias("start"), F.lit(e).alias("_end"), F.lit(r).alias("rank"), F.lit(n).alias("label"), F.lit(1.0).alias("weight")) for s, e, r, n in rows))
+        got = [d.label for d in spark.range(1).select(licence_scan.unsuppressed(cells, [10, 20, 60]).alias("d")).first().d]
+        want = [
+            n for k, (s, e, r, n) in enumerate(rows)
+            if not any(a <= s and b <= e and q <= r and ((a, b) != (s, e) or j < k) for j, (a, b, q, _) in enumerate(rows) if j != k)
+        ]
+        assert got == want, rows
+
+
+def test_scans_leave_columns_of_any_name_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, LICENCES)
+    clash = docs.withColumns({name: F.lit("own") for name in ("_quick", "_lower", "_gate", "_tried", "_detections", "_words", "_places")})
+    for operator, name in ((licence_scan.scan, "_detections"), (licence_scan.phrase_places, "_places")):
+        want = {r.doc_id: r[name] for r in operator(docs).collect()}
+        out = operator(clash)
+        assert out.columns == [*clash.columns, "_" + name]
+        rows = out.collect()
+        assert {r.doc_id: r["_" + name] for r in rows} == want and all(r[c] == "own" for r in rows for c in clash.columns[5:])

@@ -20,9 +20,9 @@ def test_entities_of_each_kind():
     assert s.entities(None) == s.entities("") == []
 
 
-@pytest.mark.parametrize("part", [s._MAIL, s._CARD, s._IP, s._PHONE, s._NAME])
+@pytest.mark.parametrize("part", [s._MAIL, s._CARD, s._IP, s._PHONE, s._NAME, s._SOCIAL, s._ACCOUNT, s._IP6, s._FULL])
 def test_the_hint_refuses_no_entity(part):
-    matched = [t for t in samples(part, random.Random(3), 4000) if s.PATTERN.search(t)]
+    matched = [t for t in samples(part, random.Random(3), 4000) if s.entities(t) or s.PATTERN.search(t)]
     assert len(matched) > 100
     assert [t for t in matched if not s.HINT.search(t)] == []
 
@@ -78,3 +78,100 @@ def test_awkward_rows_and_empty_tables(spark):
     assert [r.text for r in found if r.doc_id == 1] == [None]
     assert len({r.text for r in found if r.doc_id == 60}) == 1
     assert s.pseudonymise(frame(spark, []), KEY).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 4096, 4097])
+def test_permutations_are_one_cycle_through_all(size):
+    move = s.Permutation(KEY, "x", size)
+    seen, x = [], 0
+    for _ in range(size):
+        seen.append(x)
+        x = move(x)
+    assert x == 0 and sorted(seen) == list(range(size))
+    odd = [k for k in range(size) if k % 2]
+    if len(odd) > 1:
+        moved = [move.within(k, lambda v: v % 2 == 1) for k in odd]
+        assert sorted(moved) == odd and all(a != b for a, b in zip(odd, moved))
+
+
+def test_full_formats_are_permuted_in_one_pass(spark):
+    private = [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(256)]
+    phones = [("phone", f"+1{k:04d}") for k in range(10_000)]
+    table = s.surrogates(spark.createDataFrame(private + phones, "kind string, entity string").repartition(8), KEY).collect()
+    assert {(r.kind, r.surrogate) for r in table} == set(private + phones)
+    assert all(r.entity != r.surrogate for r in table) and len(table) == 75_536
+
+
+def test_kinds_keep_their_form_and_check():
+    dice = random.Random(2)
+    for _ in range(300):
+        digits = "".join(dice.choices("0123456789", k=16))
+        moved = s.permuted(KEY, "card", digits)
+        right = lambda c: s.check_digit(c[:-1]) == c[-1]
+        assert len(moved) == 16 and moved != digits and right(moved) == right(digits)
+        address = ".".join(str(dice.randrange(256)) for _ in range(4))
+        number = lambda a: int.from_bytes(bytes(map(int, a.split("."))), "big")
+        assert s._network(number(s.permuted(KEY, "ip", address))) == s._network(number(address))
+    moved = s.permuted(KEY, "account", "GB29NWBK60161331926819")
+    assert moved[:2] == "GB" and moved[4:8].isalpha() and moved[8:].isdigit() and int(moved[2:4]) == s.account_check(moved)
+    assert s.permuted(KEY, "ip6", "2001:db8::1").startswith("2001:") and s.permuted(KEY, "social", "078051120") != "078051120"
+
+
+LETTER = (
+    "Mr Karl Turner called. Karl Turner said his number is 555-123-4567, SSN 078-05-1120, IBAN DE89 3704 0044 0532 0130 00 PAID and"
+    " GB29NWBK60161331926819, host 2001:db8:85a3::8a2e:370:7334 at 12:34:56. TURNER left.\nKind regards,\nPaula Novak\nNovak again."
+)
+
+
+def test_recall_beyond_titles_and_coreference(spark):
+    found = [(k, e) for _, _, k, e in s.entities(LETTER)]
+    names = [("given-m", "Karl"), ("family", "Turner")]
+    assert found == [
+        *names, *names, ("phone", "555-123-4567"), ("social", "078-05-1120"), ("account", "DE89 3704 0044 0532 0130 00"),
+        ("account", "GB29NWBK60161331926819"), ("ip6", "2001:db8:85a3::8a2e:370:7334"), ("family", "TURNER"),
+        ("given-f", "Paula"), ("family", "Novak"), ("family", "Novak"),
+    ]
+    (out,) = s.pseudonymise(frame(spark, [(1, LETTER)]), KEY).collect()
+    for leak in ("Turner", "TURNER", "Karl", "555-123", "078-05", "3704 0044", "NWBK60161331926819", "370:7334", "Novak"):
+        assert leak not in out.text
+    by = [e.surrogate for e in out._entities]
+    assert by[0] == by[2] and by[1] == by[3] and by[9] == by[1].upper() and by[11] == by[12]
+    assert len({normal for normal in map(str.lower, by)}) == len({s.normal(k, e) for k, e in found})
+
+
+def test_account_candidates_that_are_none_hide_nothing():
+    assert s.entities("AB12 4111 1111 1111 1111 X")[0][2:] == ("card", "4111 1111 1111 1111")
+    assert s.entities("IN20 THIS YEAR WAS GOOD AND 12:34:56 or ::1") == []
+
+
+def test_each_replaced_text_equals_a_plain_replacement(spark):
+    """Distinctness and coreference over many documents, held against the entities of each text one by one."""
+    dice = random.Random(8)
+    people = [f"{g} {f}" for g in ("Karl", "Anna", "Zed") for f in ("Turner", "Novak", "Abbott", "Quill")]
+
+    def sentence():
+        kind = dice.randrange(5)
+        return [
+            f"Mr {dice.choice(people)} wrote", f"call +1 22 33{dice.randrange(9)}", f"see 192.168.{dice.randrange(3)}.{dice.randrange(9)}",
+            f"mail a{dice.randrange(9)}@b.example.com", "nothing here",
+        ][kind]
+
+    rows = [(k, ". ".join(sentence() for _ in range(dice.randrange(6)))) for k in range(60)]
+    out = {r.doc_id: r for r in s.pseudonymise(frame(spark, rows), KEY).collect()}
+    of, back = {}, {}
+    for k, text in rows:
+        built, last = "", 0
+        for (a, b, kind, written), e in zip(s.entities(text), out[k]._entities, strict=True):
+            assert e.kind == kind
+            built, last = built + text[last:a] + e.surrogate, b
+            plain, made = (kind, s.normal(kind, written)), (kind, s.normal(kind, e.surrogate))
+            assert of.setdefault(plain, made) == made and back.setdefault(made, plain) == plain and made != plain
+        assert out[k].text == built + text[last:]
+    assert len(of) > 30
+
+
+def test_columns_of_any_name_stay(spark):
+    for name in ("_doc", "_entities", "_given", "_h", "_block", "_bitmap"):
+        docs = frame(spark, [(1, LETTER), (2, "none")]).withColumnRenamed("lang", name)
+        out = s.pseudonymise(docs, KEY)
+        assert out.columns[:-1] == docs.columns and {r[name] for r in out.collect()} == {"en"}
