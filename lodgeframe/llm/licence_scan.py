@@ -34,7 +34,7 @@ def _stems(keywords: set[str]) -> list[str]:
 
     def stem(keyword: str) -> str:
         longest = max(keyword.split(), key=lambda w: (len(w), w))
-        return next((c for c in common if c in keyword), longest if len(longest) > 3 else keyword)
+        return next((c for c in common if c in keyword), longest if len(longest) > 4 else keyword)
 
     stems = sorted({stem(k) for k in keywords}, key=lambda w: (len(w), w))
     return [s for n, s in enumerate(stems) if not any(t in s for t in stems[:n])]
@@ -88,16 +88,23 @@ def scan(df: DataFrame, text: str = "text", entries: list[Rule] | None = None) -
     """``df`` with _detections array<struct<start,end,rank,label,weight>>, in order, after suppression."""
     entries = rules() if entries is None else entries
     own = [f"`{c}`" for c in df.columns]
-    prefix = free_prefix(df, "quick", "lower", "gate", "tried", "detections")
-    quick, lower, gate, tried = (prefix + name for name in ("quick", "lower", "gate", "tried"))
+    prefix = free_prefix(df, "quick", "lower", "tried", "detections")
+    quick, lower, tried = (prefix + name for name in ("quick", "lower", "tried"))
     # Full lower case is quick and never loses an ASCII literal.
     stems = _stems({r.keyword for r in entries})
     possible = reduce(or_, (_holds(F.col(quick), s) for s in stems), F.lit(False))
     lowered = df.withColumn(quick, F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     lowered = lowered.select(*own, F.when(possible, ascii_lower(F.col(f"`{text}`"))).alias(lower))
-    lowered = lowered.withColumn(gate, F.regexp_replace(F.col(lower), GAP, " "))
-    here = F.filter(_constant(entries), lambda r: F.contains(F.col(gate), r["keyword"]) & F.rlike(F.col(lower), r["regex"]))
-    lowered = lowered.withColumn(tried, F.when(F.col(lower).isNotNull(), here))
+    # Bound by a transform over one element, the text with single blanks is made once, not again for every keyword; a
+    # keyword that many rules share is looked for once.
+    single = F.array(F.regexp_replace(F.col(lower), GAP, " "))
+    keywords = F.array(*(F.lit(k) for k in sorted({r.keyword for r in entries}))).cast("array<string>")
+    present = F.transform(single, lambda gate: F.filter(keywords, lambda k: F.contains(gate, k)))
+    here = F.transform(
+        present,
+        lambda found: F.filter(_constant(entries), lambda r: F.array_contains(found, r["keyword"]) & F.rlike(F.col(lower), r["regex"])),
+    )
+    lowered = lowered.withColumn(tried, F.when(F.col(lower).isNotNull(), F.element_at(here, 1)))
 
     def detections(rule: Column) -> Column:
         return F.transform(
