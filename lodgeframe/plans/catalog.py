@@ -22,7 +22,7 @@ from lodgeframe.operators.upsert import upsert
 from lodgeframe.plans import rollups, shaping
 from lodgeframe.plans.reports import REPORTS, all_reports, report, report_values
 from lodgeframe.schema import OUTLIER_COLUMNS, RAW_COLUMNS, TABLE_COLUMNS
-from lodgeframe.sources import files, table
+from lodgeframe.sources import files, keyed, table
 from lodgeframe.sources.workspace import fresh_path, stored
 from lodgeframe.streaming import uploads
 
@@ -201,6 +201,22 @@ def _(spark, sf_dir):
     return rounded(table.sync(spark, f"{base}/second", f"{base}/copy1", f"{base}/copy2"))
 
 
+@query("sync_changed_buckets")
+def _(spark, sf_dir):
+    """Three syncs into one copy: the whole table, the same again, then one with changes in the rows of some buckets only."""
+    path, clean = fresh_path(spark, "copy"), stored(bookings(spark, sf_dir).select(*TABLE_COLUMNS), "clean")
+    for _ in range(2):
+        keyed.sync_copy(clean, path)
+    some = "pmod(xxhash64(id), 64) < 5"
+    changed = clean.withColumn("hotel", F.expr(f"IF({some} AND id % 2 = 0, concat(hotel, ' *'), hotel)"))
+    rewritten = keyed.sync_copy(changed.where(f"NOT ({some} AND id % 3 = 0)"), path)
+    copy = keyed.read_copy(spark, path, schema.TABLE_SCHEMA)
+    # The checking database has no such hash, so the marks are judged here: each where it should be.
+    marked = F.expr(f"{some} AND id % 2 = 0 AND id % 3 <> 0") == F.col("hotel").endswith(" *")
+    plain = F.regexp_replace("hotel", r" \*$", "")
+    return rounded(copy.withColumns({"hotel": plain, "as_expected": marked & F.lit(rewritten == [0, 1, 2, 3, 4])}))
+
+
 @query("field_catalogue")
 def _(spark, sf_dir):
     columns = bookings(spark, sf_dir).dtypes

@@ -391,6 +391,7 @@ def _build() -> dict[str, str]:
     sql["scan_latest_file"] = clean_sql(
         f"SELECT {', '.join(_TABLE)} FROM (SELECT * REPLACE (hotel || ' 2' AS hotel) FROM clean)"
     )
+    sql["sync_changed_buckets"] = clean_sql(f"SELECT *, true AS as_expected FROM ({_select(_TABLE, 'clean')})")
     cells = ("id", "hotel", "country", "lead_time", "market_segment", "adr", "arrival_date", "reservation_status_date")
     sql["sink_clean_csv"] = clean_sql(f"SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in cells)} FROM clean")
     rows = _select(CLEAN_COLUMNS, "clean")
