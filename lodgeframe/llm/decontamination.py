@@ -6,7 +6,7 @@ Windows of WINDOW tokens (a shorter item: all of it) with LITERALS words or more
 hash-joined between documents and benchmark items, and so are all plain windows, of words and numbers as they are in lower
 case, which find copies in another case and items of numbers or names. Windows that continue each other form an
 alignment; its placeholders must map each of the item's values to one value of the document's, else the
-texts only share a frame (different values may become equal). A document is contaminated by an item if one alignment and those
+texts only share a frame (different values may become equal); plain windows alone count whatever the placeholders say. A document is contaminated by an item if one alignment and those
 that begin at most WINDOW tokens later, as after dropped or inserted words, cover COVER tokens, or all
 but two of a shorter item's.
 
@@ -260,11 +260,15 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
     def union(name: str, only: Column) -> Column:
         return F.array_distinct(F.flatten(F.collect_list(F.when(only, F.col(name)))))
 
-    # Plain windows join the template ones, but what these say alone stays, as plain ones may lie beyond them.
+    # Plain windows join the template ones, but what either says alone stays: plain ones may lie beyond template ones, and a
+    # stretch that is unchanged counts whatever the values elsewhere in the alignment became.
     aligned = hits.groupBy("doc", "item", "begin").agg(
         F.max("tokens").alias("tokens"),
         F.array(
-            *(F.struct(union("places", c).alias("places"), union("slots", c).alias("slots")) for c in (F.lit(True), ~F.col("plain")))
+            *(
+                F.struct(union("places", c).alias("places"), union("slots", c).alias("slots"))
+                for c in (F.lit(True), ~F.col("plain"), F.col("plain"))
+            )
         ).alias("ways"),
     ).select("doc", "item", "begin", "tokens", F.explode("ways").alias("way")).select("doc", "item", "begin", "tokens", "way.*")
     asked = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["asked"]))))
