@@ -78,10 +78,11 @@ def _upload_with_bad_rows(spark, sf_dir) -> str:
     rows = bookings_raw(spark, sf_dir).withColumn("lead_time", F.expr("if(id % 97 = 5, concat('x', lead_time), string(lead_time))"))
     cells = ", ".join(f"coalesce(string(`{c}`), '')" for c in rows.columns)
     torn = f"if(id % 89 = 7, concat_ws(',', slice(array({cells}), 1, 20)), concat_ws(',', {cells}))"
-    header = spark.range(1).selectExpr(f"'{','.join(rows.columns)}' AS value")
-    # One file: the header and all rows; files are what an upload consists of.
-    lines = header.unionByName(rows.selectExpr(f"{torn} AS value")).coalesce(1)
-    lines.write.text(path)
+    header = f"'{','.join(rows.columns)}'"
+    # A file for each partition, all with the header; one more holds nothing else, as there may be no rows.
+    first = "monotonically_increasing_id() % 8589934592 = 0"
+    lines = rows.selectExpr(f"{torn} AS line").selectExpr(f"explode(IF({first}, array({header}, line), array(line))) AS value")
+    spark.range(0, 1, 1, 1).selectExpr(f"{header} AS value").unionByName(lines).write.text(path)
     return path
 
 

@@ -42,10 +42,31 @@ TORN = "_torn_row"
 def read_cells(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> DataFrame:
     """The cells of CSV files as text, and :data:`TORN`. Every file must have this header.
 
-    Quotes inside quoted cells are doubled, and quoted cells may hold line feeds; a file is then read by one task.
-    ``multi_line=False`` lets tasks share large files that are known to hold one row in each line.
+    Quotes inside quoted cells are doubled, and quoted cells may hold line feeds. Tasks share large files where a scan of
+    the lines finds that each holds one row; a folder with a row over several lines is read by one task for each file.
+    ``multi_line=False`` says that there are none, and spares the scan.
     """
-    return csv_reader(spark.read, columns, multi_line).csv(path)
+    return csv_reader(spark.read, columns, multi_line and not one_line_rows(spark, path)).csv(path)
+
+
+#: A line without escaped quotes and closed quoted cells; what is left opens a cell that does not end in the line.
+_UNCLOSED = r"""regexp_replace(replace(value, '""', ''), r'(^|,)"[^"]*"[^,]*', '$1') RLIKE r'(^|,)"'"""
+
+
+def one_line_rows(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether reading CSV files line by line gives the rows that reading them whole does; one scan, shared by tasks.
+
+    It does if no line ends within a quoted cell, none consists of blanks, and a file's lines end in line feeds only or
+    all in a carriage return and line feed.
+    """
+    lines = spark.read.text(path, lineSep="\n").selectExpr(
+        "_metadata.file_path AS file",
+        rf"""contains(value, '"') AND {_UNCLOSED} OR value RLIKE r'^[\x00-\x20]*[\x00-\x0C\x0E-\x20][\x00-\x20]*$'
+            OR instr(value, '\r') BETWEEN 1 AND length(value) - 1 AS whole""",
+        r"endswith(value, '\r') AS returned",
+    )
+    by_file = lines.groupBy("file").agg(F.expr("max(whole) OR max(returned) <> min(returned) AS whole"))
+    return not by_file.agg(F.max("whole").alias("whole")).first().whole
 
 
 def csv_reader(reader, columns: list[str], multi_line: bool = True):

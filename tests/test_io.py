@@ -241,3 +241,54 @@ def test_a_sync_sends_bad_rows_to_their_table(spark, tmp_path):
     got = _sync(spark, tmp_path, rejects=str(tmp_path / "rejects"))
     assert values(got, "id", "adr") == [(1, 1.0)]
     assert values(spark.read.parquet(str(tmp_path / "rejects")), "reason", "bad_columns") == [("type", "id")]
+
+
+def _partitions(spark, path, header):
+    return files.read_cells(spark, path, header).rdd.getNumPartitions()
+
+
+def test_tasks_share_a_file_unless_a_row_has_several_lines(spark, tmp_path):
+    header = ["id", "a", "b"]
+    odd = ['"say ""hi"""', '""', 'x"y', '"a,b"', '"a" b"c', '""""', " \"x"]
+    lines = [f"{k},{odd[k % len(odd)]},{k % 7}" for k in range(300)]
+    kinds = {
+        "plain": ("\n".join(["id,a,b", *lines]) + "\n", True),
+        "returns": ("\r\n".join(["id,a,b", *lines]) + "\r\n", True),
+        "feed": ("\n".join(["id,a,b", *lines, '300,"two\nlines",1', "301,x,2"]) + "\n", False),
+        "escaped": ("\n".join(["id,a,b", *lines, '300,"""two\nlines""",1']) + "\n", False),
+        "inner": ("\n".join(["id,a,b", *lines, '300,x\ry,1']) + "\n", False),
+        "blank": ("\n".join(["id,a,b", *lines, "   "]) + "\n", False),
+    }
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for name, (text, shared) in kinds.items():
+            (tmp_path / name).mkdir()
+            (tmp_path / name / "a.csv").write_bytes(text.encode())
+            path = str(tmp_path / name)
+            assert files.one_line_rows(spark, path) == shared, name
+            assert (_partitions(spark, path, header) > 1) == shared, name
+            want = files.csv_reader(spark.read, header).csv(path)
+            assert sorted(map(repr, values(files.read_cells(spark, path, header)))) == sorted(map(repr, values(want))), name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_an_upload_of_odd_name_is_synced(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    _write_csv(spark, tmp_path / "up" / "a [1]{x} b%20.csv", [{"adr": 3.0}], ["1"])
+    assert values(_sync(spark, tmp_path), "id", "adr") == [(1, 3.0)]
+
+
+def test_files_of_built_uploads_can_be_shared_out(spark, tmp_path):
+    from lodgeframe.plans import catalog
+
+    spark.range(20_000).selectExpr(
+        "id AS o_orderkey", "id % 50 AS o_custkey", "DATE'2020-01-01' AS o_orderdate", "100D AS o_totalprice", "'1-URGENT' AS o_orderpriority"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(50).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey", "'AUTOMOBILE' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    path = catalog._upload_with_bad_rows(spark, str(tmp_path))
+    assert len(spark.read.text(path).inputFiles()) > 2
+    good, bad = files.quarantine_bookings_csv(spark, path)
+    bad_ids = [k for k in range(20_000) if k % 97 == 5 or k % 89 == 7]
+    assert good.count() == 20_000 - len(bad_ids) and bad.count() == len(bad_ids)
