@@ -833,15 +833,21 @@ def _(spark, sf_dir):
     return rounded(uploads.read_synced(spark, f"{base}/table"))
 
 
+LATE_ROWS = 500_000
+
+
 @query("stream_late_file")
 def _(spark, sf_dir):
     """Three uploads, stored newest first: what the older ones hold of the same bookings comes late, and wins nowhere."""
     base = fresh_path(spark, "late")
+    raw = stored(bookings_raw(spark, sf_dir), "raw")
+    # All uploads have the same number of files, of 500,000 rows at most, so a batch of so many is one upload.
+    parts = -(-max(raw.count(), 1) // LATE_ROWS)
     for name, keep, shift in (("1", "true", 1000), ("2", "id % 2 = 0", 1), ("3", "id % 3 = 0", 2)):
-        rows = bookings_raw(spark, sf_dir).where(keep).withColumn("lead_time", F.expr(f"lead_time + {shift}"))
-        rows.coalesce(1).write.options(**files.CSV_OPTIONS).csv(f"{base}/uploads/{name}")
+        rows = raw.where(keep).withColumn("lead_time", F.expr(f"lead_time + {shift}"))
+        rows.repartition(parts).write.options(**files.CSV_OPTIONS).csv(f"{base}/uploads/{name}")
     uploads.start_upload_sync(
-        spark, f"{base}/uploads/*", f"{base}/table", f"{base}/checkpoint", every=None, newest_first=True
+        spark, f"{base}/uploads/*", f"{base}/table", f"{base}/checkpoint", every=None, files_per_batch=parts, newest_first=True
     ).awaitTermination()
     return uploads.read_synced(spark, f"{base}/table").select("id", "lead_time", "hotel", "arrival_date")
 

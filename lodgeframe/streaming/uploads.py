@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from lodgeframe.operators.cleaning import clean
 from lodgeframe.operators.upsert import latest
 from lodgeframe.schema import RAW_COLUMNS, TABLE_COLUMNS, TABLE_SCHEMA
-from lodgeframe.sources.files import csv_reader, parse_cells, split_rejects, whole_rows, write_rejects
+from lodgeframe.sources.files import parse_cells, read_cells, split_rejects, whole_rows, write_rejects
 from lodgeframe.sources.table import with_new_ids
+from lodgeframe.sources.workspace import stored
 
 
 #: What orders two versions of a booking: when its file was written, the file's name, and the row's place in it.
@@ -47,20 +50,23 @@ def start_upload_sync(
     ``every=None`` handles the files present and stops. ``newest_first`` stores the newest of several waiting files first.
     """
     columns = {"id": "bigint", **RAW_COLUMNS} if with_ids else dict(RAW_COLUMNS)
-    reader = csv_reader(spark.readStream, list(columns)).option("latestFirst", newest_first)
+    # Only the files' names are streamed; a batch finds out how tasks may share its files, and reads them.
+    reader = spark.readStream.format("binaryFile").schema(_FILE).option("latestFirst", newest_first)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    uploads = reader.csv(folder).select("*", "_metadata")
+    uploads = reader.load(folder).select("path")
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        cells = read_cells(spark, [_literal(file.path) for file in batch.collect()], list(columns))
         # Rows of a file block stand in one partition in their order, so the growing number orders them.
-        batch = batch.selectExpr("*", f"{_VERSION_OF} AS {VERSION}")
+        batch = cells.selectExpr("*", "_metadata", f"{_VERSION_OF} AS {VERSION}")
         if rejects is None:
             good = parse_cells(whole_rows(batch), columns, VERSION)
         else:
             good, bad = split_rejects(batch, columns, VERSION)
             write_rejects(bad, rejects)
-        cleaned = clean(good)
+        # Stored, so that cleaning, which scans its input more than once, parses no cell again.
+        cleaned = clean(stored(good, "batch"))
         if with_ids:
             given = "coalesce(id, raise_error('a booking has no id')) AS id"
             rows = latest(cleaned.selectExpr(given, *[f"`{c}`" for c in cleaned.columns if c != "id"]), "id", VERSION)
@@ -77,6 +83,14 @@ def start_upload_sync(
     )
 
 
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _literal(path: str) -> str:
+    """A pattern that matches just this path."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 _VERSION_FIELD = T.StructField(
     VERSION,
     T.StructType(
