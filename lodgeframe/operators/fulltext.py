@@ -36,7 +36,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _near(column: str, word: str) -> str:
+def near_condition(column: str, word: str) -> str:
     """Cheap necessary condition for being within the allowed edits of ``word``.
 
     The built-in distance counts a swap as two edits, so twice the edits bound it.
@@ -64,7 +64,7 @@ def vocabulary(
         .select("field", F.explode("_tokens").alias("token"))
     )
     if words is not None:
-        occurring = occurring.where(" OR ".join(_near("token", w) for w in words) or "false")
+        occurring = occurring.where(" OR ".join(near_condition("token", w) for w in words) or "false")
     return occurring.groupBy("field", "token").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
@@ -123,7 +123,7 @@ def _found(term: Sequence[str], j: int, lists: str = "t") -> str:
     """
     parts = []
     for w in dict.fromkeys(term):
-        measured = f"""transform(filter({lists}.d{j}, x -> {_near('x', w)}),
+        measured = f"""transform(filter({lists}.d{j}, x -> {near_condition('x', w)}),
               x -> struct(x AS token, {edit_distance('x', _quoted(w))} AS distance, {len(w)} AS letters))"""
         parts.append(f"filter({measured}, x -> x.distance <= {allowed_edits(w)})")
     return f"concat({', '.join(parts)})"

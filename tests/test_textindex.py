@@ -107,3 +107,18 @@ def test_the_expansion_is_an_equi_join(spark, capsys):
     fulltext.expand_terms(vocab, ["gamma", "deltas"]).explain()
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan and ("HashJoin [variant" in plan or "SortMergeJoin [variant" in plan)
+
+
+def test_the_index_grows_with_the_letters_of_its_tokens(spark, tmp_path):
+    # Of a token of 300 letters, deletions of two leave some 45,000 strings of 298: none is stored.
+    path = tmp_path / "i"
+    words = ["".join(random.Random(k).choices("abcdefgh", k=300)) for k in range(10)]
+    textindex.build(frame(spark, [(k, w, None) for k, w in enumerate(words)]), ["body"], str(path))
+    assert sum(f.stat().st_size for f in path.rglob("*.parquet")) < 300_000
+    assert set(indexed(spark, str(path), words[3][:100] + words[3][102:], ["body"])) == {3}
+
+
+def test_text_is_analysed_once_and_dealt_once(spark, tmp_path, capsys):
+    rows = frame(spark, texts(20, 1))
+    textindex._counted(textindex._dealt(textindex._occurrences(rows, ["body"], "id", 1))).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
