@@ -25,3 +25,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles. Spark takes the size of stored files for that of rows, which is many times as large once they are
+    unpacked or copied to salts, and would send the whole table through the driver."""
+    return df.hint("merge")

@@ -176,3 +176,23 @@ def test_columns_of_any_name_stay(spark):
     out = s.pseudonymise(docs, KEY)
     assert out.columns == [*docs.columns, "__entities"]
     assert all(r[name] == "own" for r in out.collect() for name in names)
+
+
+def test_tables_of_entities_do_not_go_through_the_driver(spark, tmp_path, monkeypatch):
+    rows = [(k, f"write to user{k}@firm{k % 7}.example or call +47 22 12 34 {10 + k}") for k in range(40)]
+    plans = []
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        path = f"{tmp_path}/{len(plans)}-{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(s, "stored", kept)
+    out = s.pseudonymise(frame(spark, rows), KEY)
+    assert {"marked", "given"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "BroadcastExchange" in plan] == []
+    # Only the filter of documents is sent: it has a bounded size.
+    sent = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert sent and all("_block" in line for line in sent)
+    assert len({e.surrogate for r in out.collect() for e in r._entities}) == 80
