@@ -34,7 +34,7 @@ from pyspark.sql.types import LongType, StringType, StructField
 
 from lodgeframe.llm.bloom import split
 from lodgeframe.llm.columns import free_prefix, widened
-from lodgeframe.llm.storage import stored
+from lodgeframe.llm.storage import stored, unsent
 from lodgeframe.llm.textarrays import mixed, slices, utf8
 
 #: A run has at least so many words, and at least so many periods.
@@ -141,13 +141,17 @@ def tiles(texts: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["mark", "octave", "at", "ids"])
 
+        known = set()  # of the texts with tiles that this task has had
         for batch in batches:
             for part in slices(batch, "text"):
                 data, begins = utf8(part.column(1))
                 rows, size = [], 0
                 for mark, a, e in zip(part.column(0).to_pylist(), begins[:-1], begins[1:]):
+                    if mark in known:
+                        continue
                     ids = numbered(data[a:e].tobytes())
                     for octave, at in open_tiles(ids):
+                        known.add(mark)
                         rows.append((mark, octave, at, ids[at : at + (CORE + OVERLAP << octave)].tobytes()))
                         if (size := size + len(rows[-1][3])) > 1 << 22:
                             yield out(rows)
@@ -190,8 +194,10 @@ def find_runs(df: DataFrame, text: str = "text") -> DataFrame:
     Texts without runs do not shuffle: a filter of the marks of texts with runs lets the others pass.
     """
     texts = df.select(_mark(text).alias("mark"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    # Copies of a text bring the same tiles: they are reduced within each task before the shuffle.
-    spread = tiles(texts).groupBy("mark", "octave", "at").agg(F.first("ids").alias("ids"))
+    # Copies of a text bring the same tiles: a task sends those of one copy. Tiles are small once compressed and long to solve, so Spark,
+    # which would join partitions by their size until one task had them all, is given a number.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = tiles(texts).repartition(parts, "mark", "octave", "at").groupBy("mark", "octave", "at").agg(F.first("ids").alias("ids"))
     found = stored(stitched(solved(spread).distinct()), "runs")
 
     prefix = free_prefix(df, "runs", "mark")
@@ -199,7 +205,7 @@ def find_runs(df: DataFrame, text: str = "text") -> DataFrame:
     marked = df.withColumn(mark, _mark(text))
     none = F.array().cast(RUN)
     open_rows, closed = split(marked, mark, found.select(F.col("mark").alias(mark)))
-    joined = open_rows.join(found.select(F.col("mark").alias(mark), F.col("runs").alias(name)), mark, "left")
+    joined = open_rows.join(unsent(found.select(F.col("mark").alias(mark), F.col("runs").alias(name))), mark, "left")
     kept = [f"`{c}`" for c in df.columns]
     return closed.select(*kept, none.alias(name)).unionByName(joined.select(*kept, F.coalesce(name, none).cast(RUN).alias(name)))
 

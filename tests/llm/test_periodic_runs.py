@@ -95,3 +95,27 @@ def test_awkward_rows_copies_names_and_empty_tables(spark):
         words = (r.text or "").encode().split()
         assert [tuple(x) for x in r["__runs"]] == brute(words) and r._n == len(words)
     assert periodic_runs.collapse(periodic_runs.find_runs(frame(spark, []))).count() == 0
+
+
+def test_tiles_stay_spread_and_runs_do_not_go_through_the_driver(spark, monkeypatch):
+    rows = [(k, dice_joined(words, k)) for k, words in enumerate(samples())]
+    spread, solve = [], periodic_runs.solved
+
+    def counted(tiles):
+        spread.append((tiles.rdd.getNumPartitions(), tiles.count()))
+        return solve(tiles)
+
+    monkeypatch.setattr(periodic_runs, "solved", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        out = periodic_runs.find_runs(frame(spark, rows))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        copies = frame(spark, [*rows, *rows]).coalesce(1).selectExpr("unhex(sha2(text, 256)) AS mark", "text")
+        sent = periodic_runs.tiles(copies).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert spread[0][0] == 7  # small once compressed, so Spark would have joined them
+    assert sent == spread[0][1]  # one task sends the tiles of one copy
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("_block" in line for line in joins)
