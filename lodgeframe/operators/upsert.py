@@ -10,14 +10,13 @@ def latest(df: DataFrame, key: str, order_by: str | None = None) -> DataFrame:
     """One row per key: the one with the highest ``order_by`` (then the highest row).
 
     An aggregation rather than a window, so versions of a hot key are reduced
-    before the shuffle.
+    before the shuffle; what moves holds every column once.
     """
     rest = [c for c in df.columns if c != key]
     if not rest:
         return df.distinct()
-    row = F.struct(*rest)
-    rank = F.struct(F.col(order_by), row) if order_by else row
-    best = df.groupBy(key).agg(F.max_by(row, rank).alias("_row"))
+    ranked = [order_by, *(c for c in rest if c != order_by)] if order_by and order_by != key else rest
+    best = df.groupBy(key).agg(F.max(F.struct(*ranked)).alias("_row"))
     return best.select(*[c if c == key else F.col("_row")[c].alias(c) for c in df.columns])
 
 

@@ -23,7 +23,7 @@ from lodgeframe.plans import rollups, shaping
 from lodgeframe.plans.reports import REPORTS, all_reports, report, report_values
 from lodgeframe.schema import OUTLIER_COLUMNS, RAW_COLUMNS, TABLE_COLUMNS
 from lodgeframe.sources import files, keyed, table
-from lodgeframe.sources.workspace import fresh_path, stored
+from lodgeframe.sources.workspace import fresh_path, stored, tidy_session
 from lodgeframe.streaming import uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -840,7 +840,7 @@ LATE_ROWS = 500_000
 def _(spark, sf_dir):
     """Three uploads, stored newest first: what the older ones hold of the same bookings comes late, and wins nowhere."""
     base = fresh_path(spark, "late")
-    raw = stored(bookings_raw(spark, sf_dir), "raw")
+    raw = stored(bookings_raw(tidy_session(spark), sf_dir), "raw")
     # All uploads have the same number of files, of 500,000 rows at most, so a batch of so many is one upload.
     parts = -(-max(raw.count(), 1) // LATE_ROWS)
     for name, keep, shift in (("1", "true", 1000), ("2", "id % 2 = 0", 1), ("3", "id % 3 = 0", 2)):

@@ -15,7 +15,7 @@ from lodgeframe.operators.upsert import latest
 from lodgeframe.schema import RAW_COLUMNS, TABLE_COLUMNS, TABLE_SCHEMA
 from lodgeframe.sources.files import parse_cells, read_cells, split_rejects, whole_rows, write_rejects
 from lodgeframe.sources.table import with_new_ids
-from lodgeframe.sources.workspace import stored
+from lodgeframe.sources.workspace import stored_meanwhile, tidy_session
 
 
 #: What orders two versions of a booking: when its file was written, the file's name, and the row's place in it.
@@ -55,9 +55,11 @@ def start_upload_sync(
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     uploads = reader.load(folder).select("path")
+    # Numbering rows checkpoints them, which runs their query again.
+    own = tidy_session(spark) if with_ids else spark
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        cells = read_cells(spark, [_literal(file.path) for file in batch.collect()], list(columns))
+        cells = read_cells(own, [_literal(file.path) for file in batch.collect()], list(columns))
         # Rows of a file block stand in one partition in their order, so the growing number orders them.
         batch = cells.selectExpr("*", "_metadata", f"{_VERSION_OF} AS {VERSION}")
         if rejects is None:
@@ -66,13 +68,14 @@ def start_upload_sync(
             good, bad = split_rejects(batch, columns, VERSION)
             write_rejects(bad, rejects)
         # Stored, so that cleaning, which scans its input more than once, parses no cell again.
-        cleaned = clean(stored(good, "batch"))
-        if with_ids:
-            given = "coalesce(id, raise_error('a booking has no id')) AS id"
-            rows = latest(cleaned.selectExpr(given, *[f"`{c}`" for c in cleaned.columns if c != "id"]), "id", VERSION)
-        else:
-            rows = with_new_ids(cleaned, _last_id(spark, table, batch_id) + 1)
-        rows.select(*TABLE_COLUMNS, VERSION).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        with stored_meanwhile(good, "batch") as parsed:
+            cleaned = clean(parsed)
+            if with_ids:
+                given = "coalesce(id, raise_error('a booking has no id')) AS id"
+                rows = latest(cleaned.selectExpr(given, *[f"`{c}`" for c in cleaned.columns if c != "id"]), "id", VERSION)
+            else:
+                rows = with_new_ids(cleaned, _last_id(spark, table, batch_id) + 1)
+            rows.select(*TABLE_COLUMNS, VERSION).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return (

@@ -2,9 +2,10 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 from rows import raw, table, values
 
-from lodgeframe.operators.upsert import upsert
+from lodgeframe.operators.upsert import latest, upsert
 from lodgeframe.schema import RAW_COLUMNS, TABLE_COLUMNS
 from lodgeframe.sources import files
 from lodgeframe.sources import table as store
@@ -292,3 +293,30 @@ def test_files_of_built_uploads_can_be_shared_out(spark, tmp_path):
     good, bad = files.quarantine_bookings_csv(spark, path)
     bad_ids = [k for k in range(20_000) if k % 97 == 5 or k % 89 == 7]
     assert good.count() == 20_000 - len(bad_ids) and bad.count() == len(bad_ids)
+
+
+def test_a_sync_leaves_only_its_table(spark, tmp_path):
+    from lodgeframe.sources.workspace import shared_folder, tidy_session
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = {f for f in os.listdir(folder) if f.startswith("batch-")}
+    rows = raw(spark, [{"lead_time": k} for k in range(4)]).withColumn("id", F.monotonically_increasing_id())
+    rows.select("id", *[c for c in rows.columns if c != "id"]).coalesce(1).write.options(**files.CSV_OPTIONS).csv(f"{tmp_path}/up")
+    uploads.start_upload_sync(spark, f"{tmp_path}/up", f"{tmp_path}/table", f"{tmp_path}/check", every=None).awaitTermination()
+    assert uploads.read_synced(spark, f"{tmp_path}/table").count() == 4
+    assert {f for f in os.listdir(folder) if f.startswith("batch-")} == before
+    own, name = tidy_session(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert own.conf.get(name) == "true" and own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+def test_the_last_version_moves_every_column_once(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 2, None), (1, "b", 2, 0.5), (1, "z", 1, 9.0), (1, "y", None, 9.0), (2, None, None, None), (2, "a", None, None), (3, "c", 7, -1.0)],
+        "id int, name string, v int, x double",
+    )
+    out = latest(rows, "id", "v")
+    assert sorted(values(out)) == [(1, "b", 2, 0.5), (2, "a", None, None), (3, "c", 7, -1.0)]
+    assert sorted(values(latest(rows, "id"))) == [(1, "z", 1, 9.0), (2, "a", None, None), (3, "c", 7, -1.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = next(line for line in plan.splitlines() if "partial_max" in line)
+    assert moved.split("partial_max", 1)[1].split("]")[0].count("name#") == 1
