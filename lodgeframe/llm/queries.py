@@ -178,7 +178,8 @@ def _planted_period(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     n, a, p = F.col("n"), F.col("a").cast("int"), F.col("p").cast("int")
     split = docs.where(some).select("doc_id", words.alias("words")).withColumn("n", F.size("words")).where("n > 0")
-    split = split.withColumn("a", g % n).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    # Later filters may be moved before this one, so what is made of a text without words must not fail.
+    split = split.withColumn("a", g % F.greatest(n, F.lit(1))).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
     repeated = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
     made = F.array_join(F.concat(F.slice("words", F.lit(1), a), F.slice(repeated, F.lit(1), n - a)), " ")
     empty = some & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
